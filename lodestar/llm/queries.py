@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.llm.chat import OP2_SQL, op2_chat
+from lodestar.llm.imatch import op3_imatch
+from lodestar.llm.packing import op1_packing
 from lodestar.llm.pieces import op8_pieces
 from lodestar.llm.token_output import op4_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": op1_packing,
+        "op2_chat": op2_chat,
+        "op3_imatch": op3_imatch,
         "op4_token_files": op4_token_files,
         "op8_pieces": op8_pieces,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat": OP2_SQL}
