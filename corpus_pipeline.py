@@ -30,8 +30,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the least doc_id of each component of texts whose shingle sets have a Jaccard similarity of 0.75 or more.
 
-    Rows without shingles and rows with a null doc_id are in no group and stay. Of rows that share a doc_id and are the
-    least of a component, the first by text stays.
+    Rows without shingles and rows with a null doc_id are in no group and stay. A document is a doc_id: its rows stay or
+    go together.
     """
     groups = ngram_join.similar_documents(docs).where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(groups, "doc_id", "left_anti").select(*COLUMNS)

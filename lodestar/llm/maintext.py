@@ -104,7 +104,7 @@ def runs(page: str) -> Iterator[Run]:
 class Weights:
     """Scores of a word by where it stands, and of tags; tags that the labelled pages lack score `other`."""
 
-    words: dict[str, float] = field(default_factory=lambda: {"word": 1.0, "link": 0.2, "aside": -1.5})
+    words: dict[str, float] = field(default_factory=lambda: {"word": 1.0, "link": 0.2, "aside": -0.5})
     tags: dict[str, float] = field(default_factory=lambda: {f"<{t}>": -0.02 for t in "p br b i em strong h1 h2 h3 blockquote pre code".split()})
     other: float = -1.0
 
@@ -126,7 +126,7 @@ def fit(pages: list[str]) -> Weights:
     if not inside:
         return Weights()
     odds = {f: math.log((inside[f] + 0.5) / (outside[f] + 0.5)) for f in inside | outside}
-    words = {"word": min(2.0, max(0.25, odds.get("word", 1.0))), "link": min(1.0, max(-2.0, odds.get("link", 0.2))), "aside": min(-1.0, odds.get("aside", -1.5))}
+    words = {"word": min(2.0, max(0.25, odds.get("word", 1.0))), "link": min(1.0, max(-2.0, odds.get("link", 0.2))), "aside": -0.5}
     tags = {f: min(-0.02, max(-LEAST if f[1:-1] in BLOCK else -LEAST_INLINE, w)) for f, w in odds.items() if f[0] == "<"}
     return Weights(words, Weights().tags | tags)
 
