@@ -6,6 +6,8 @@ each of several randomised subsets of the lexicon, hashed. Two texts are alike a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,19 +34,24 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: flo
     return [r[0] for r in band.orderBy(F.desc("df"), "term").limit(size).select("term").collect()]
 
 
-def subset_hashes(text: Column, terms: list[str], subsets: int = SUBSETS, rate: int = RATE) -> Column:
-    """array<long>: for each subset the hash of the text's sorted distinct terms in it, null where it has none."""
-    own = F.array_sort(F.array_distinct(F.filter(words(text), lambda w: w.isin(terms)))) if terms else F.array().cast("array<string>")
-    coded = F.transform(own, lambda t: F.xxhash64(t))
-    within = lambda k: F.filter(coded, lambda h: F.pmod(F.xxhash64(h, k), F.lit(rate)) == 0)
-    hashed = lambda found: F.when(F.size(found) > 0, F.xxhash64(found))
-    return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: hashed(within(k)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
 
+def fingerprint(text: Column, terms: list[str], subsets: int = SUBSETS, rate: int = RATE) -> Column:
+    """For each subset of the lexicon the hash of the text's sorted distinct terms in it, "-" where it has none, as one string.
 
-def fingerprint(text: Column, hashes: Column) -> Column:
-    """The subset hashes as one string; the text's own hash where the text has no lexicon term."""
-    shown = F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("-"))), ".")
-    return F.when(F.exists(hashes, lambda h: h.isNotNull()), shown).otherwise(F.concat(F.lit("text."), F.md5(text.cast("binary"))))
+    A text without any lexicon term gets its own hash.
+    """
+    known = F.filter(words(text), lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+    coded = F.transform(F.array_sort(F.array_distinct(known)), lambda t: F.xxhash64(t))
+    subset = lambda own, k: F.filter(own, lambda h: F.pmod(F.xxhash64(h, k), F.lit(rate)) == 0)
+    shown = lambda own, k: _let(subset(own, k), lambda found: F.when(F.size(found) > 0, F.lower(F.hex(F.xxhash64(found)))).otherwise("-"))
+    each = F.sequence(F.lit(0), F.lit(subsets - 1))
+    joined = lambda own: F.array_join(F.transform(each, lambda k: shown(own, k)), ".")
+    alone = F.concat(F.lit("text."), F.md5(text.cast("binary")))
+    return _let(coded, lambda own: _let(joined(own), lambda f: F.when(f.rlike("[0-9a-f]"), f).otherwise(alone)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -59,7 +66,7 @@ def fingerprints(docs: DataFrame, text: str = "text", terms: list[str] | None =
     """docs with a column fingerprint of every whole text; a null text is empty. Equal texts have equal fingerprints."""
     whole = F.coalesce(F.col(text), F.lit(""))
     chosen = lexicon(docs, text) if terms is None else terms
-    return docs.withColumn("fingerprint", fingerprint(whole, subset_hashes(whole, chosen)))
+    return docs.withColumn("fingerprint", fingerprint(whole, chosen))
 
 
 def _run_of(key: Column, cuts: list[int]) -> Column:
@@ -72,8 +79,8 @@ def _run_of(key: Column, cuts: list[int]) -> Column:
     return F.greatest(block - 1, F.lit(0)) * FAN + F.size(F.filter(fine, lambda c: c <= key))
 
 
-def with_next(docs: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """docs (key, payload...) with next_<column>: the payload of the next row by descending key, after the last the first.
+def with_next(docs: DataFrame, key: str, payload: list[str], derived: dict[str, Column]) -> DataFrame:
+    """docs (key, payload...) with derived columns, and next_<column> of the next row by descending key, after the last the first.
 
     Rows are cut into runs of neighbouring keys; each run also gets, as its last row, a copy of the first row of the run
     that follows. So no run waits for another, and a payload is shuffled once. A null key sorts last; rows of one key are
@@ -92,18 +99,19 @@ def with_next(docs: DataFrame, key: str, payload: list[str]) -> DataFrame:
     best = firsts.groupBy("to").agg(F.min(F.struct(*payload)).alias("p"))
     ghosts = best.select(F.lit(lowest).alias("k"), F.lit(None).cast("long").alias(key), *[F.col(f"p.{c}").alias(c) for c in payload], F.col("to").alias("run"), F.lit(1).alias("ghost"))
     order = Window.partitionBy("run").orderBy("ghost", F.desc("k"), *payload)
-    led = placed.unionByName(ghosts).withColumn("nx", F.lead(F.struct(*payload)).over(order))
-    return led.where("ghost = 0").select(key, *payload, *[F.col(f"nx.{c}").alias(f"next_{c}") for c in payload])
+    carried = [*payload, *derived]
+    led = placed.unionByName(ghosts).withColumns(derived).withColumn("nx", F.lead(F.struct(*carried)).over(order))
+    return led.where("ghost = 0").select(key, *carried, *[F.col(f"nx.{c}").alias(f"next_{c}") for c in carried])
 
 
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: fingerprints of each text, of its edited text, and their likeness."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = lexicon(docs)
-    paired = with_next(fingerprints(docs, terms=terms), "doc_id", ["text", "fingerprint"])
+    paired = with_next(docs, "doc_id", ["text"], {"fingerprint": fingerprint(F.col("text"), terms)})
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    both = paired.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("edited"), subset_hashes(F.col("edited"), terms)))
+    both = paired.withColumn("edited", edited).withColumn("edited_fingerprint", fingerprint(F.col("edited"), terms))
     return both.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
