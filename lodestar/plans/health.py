@@ -1 +1,161 @@
-"""Queries."""
+"""Health of a store: near copies, contradictions, gaps, trust, retention."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestar.functions.scalars import jaccard, word_set
+from lodestar.registry import query, table
+
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}_-]+'), lambda w: length(w) > 1))"
+
+
+def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of rows (id, bucket, words) in one bucket whose word sets have at least this Jaccard similarity.
+
+    Exact prefix filter: with words in a global order, rarest first, two sets can only be as alike if they share one of
+    the first n - ceil(least * n) + 1 words. So a rare word pairs few rows; all pairs of a bucket are never made.
+    """
+    words = rows.select("id", "bucket", F.explode("words").alias("w"))
+    rarity = words.groupBy("bucket", "w").agg(F.count("*").alias("df"))
+    ordered = words.join(rarity, ["bucket", "w"]).groupBy("id", "bucket").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+    kept = (F.size("o") - F.ceil(F.size("o") * least) + 1).cast("int")
+    prefix = ordered.select("id", "bucket", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), kept)).alias("p")).where("p.df > 1").select("id", "bucket", "n", F.col("p.w").alias("w"))
+    left, right = prefix.select("bucket", "w", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("bucket", "w", F.col("id").alias("b"), F.col("n").alias("nb"))
+    sized = (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))
+    maybe = left.join(right, ["bucket", "w"]).where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    sets = rows.select("id", "words")
+    both = maybe.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    return both.select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+_PAIRS = f"""d AS (SELECT min(conv_id * 100 + turn) AS id, role AS bucket, text AS t FROM conversations WHERE text IS NOT NULL GROUP BY role, text),
+s AS (SELECT id, bucket, t, {_WORDS} AS w FROM d), p AS (SELECT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS j FROM s a JOIN s b ON a.bucket = b.bucket AND a.id < b.id
+AND len(a.w) * 0.6 <= len(b.w) AND len(b.w) * 0.6 <= len(a.w)),"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct turns by role: (id, bucket, text, words)."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    rows = rows.groupBy(F.col("role").alias("bucket"), "text").agg(F.min(F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+    return rows.withColumn("words", word_set(F.col("text")))
+
+
+@query("lexical_near_dups", f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.8")
+def lexical_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of one role whose words have a Jaccard similarity of .8 or more."""
+    return similar_pairs(_turns(spark, sf_dir), 0.8)
+
+
+@query("note_contradictions", f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.6 AND (len(list_intersect(regexp_split_to_array(lower(ta), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0) <> (len(list_intersect(regexp_split_to_array(lower(tb), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0)")
+def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns alike of which one negates and the other doesn't."""
+    rows = _turns(spark, sf_dir)
+    markers = F.array(*[F.lit(w) for w in ("not", "nicht", "pas", "no")])
+    stance = rows.select("id", F.arrays_overlap("words", markers).alias("no"))
+    pairs = similar_pairs(rows, 0.6)
+    told = pairs.join(stance.select(F.col("id").alias("a"), F.col("no").alias("na")), "a").join(stance.select(F.col("id").alias("b"), F.col("no").alias("nb")), "b")
+    return told.where("na <> nb").select("a", "b", "similarity")
+
+
+@query(
+    "concept_gaps",
+    """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents), g AS (SELECT lower(term) AS term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1), c AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term FROM benchmark)
+    SELECT term, df FROM g WHERE df >= 20 AND term NOT IN (SELECT term FROM c)""",
+)
+def concept_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised terms of twenty documents or more that the benchmark texts don't cover."""
+    terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0)), F.lower))).alias("term"))
+    df = terms.groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+    covered = table(spark, sf_dir, "benchmark").select(F.explode(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower)).alias("term")).distinct()
+    return df.join(covered, "term", "left_anti")
+
+
+@query(
+    "duplicate_candidates",
+    """WITH k AS (SELECT doc_id, lang || '|' || lower(trim(regexp_replace(substr(coalesce(text, ''), 1, 40), '[ \\t\\n\\r]+', ' ', 'g'))) AS key FROM documents)
+    SELECT min(doc_id) AS canonical, count(*) AS members FROM k GROUP BY key HAVING count(*) >= 2""",
+)
+def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of two or more rows with one normalised title (the first forty characters); the oldest is canonical."""
+    title = F.lower(F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), r"[ \t\n\r]+", " ")))
+    k = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("|"), title).alias("key"))
+    return k.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("members")).where("members >= 2").drop("key")
+
+
+@query(
+    "retention_review",
+    """WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS applied, count(*) FILTER (WHERE event_type = 'error') AS violated, (epoch(TIMESTAMP '2024-02-01') - epoch(max(ts))) / 86400 AS age FROM events GROUP BY user_id)
+    SELECT user_id, applied, violated, CASE WHEN violated > applied THEN 'prune' WHEN applied = 0 AND age > 14 THEN 'park' WHEN violated * 3 > applied THEN 'improve' ELSE 'keep' END AS verdict FROM r""",
+)
+def retention_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keep, improve, park or prune, by counters and age."""
+    from lodestar.plans.folds import age_days, events
+
+    r = events(spark, sf_dir).groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("applied"), F.count(F.when(F.col("event_type") == "error", 1)).alias("violated"), F.min(age_days(F.col("ts"))).alias("age"))
+    verdict = F.when(F.col("violated") > F.col("applied"), "prune").when((F.col("applied") == 0) & (F.col("age") > 14), "park").when(F.col("violated") * 3 > F.col("applied"), "improve").otherwise("keep")
+    return r.select("user_id", "applied", "violated", verdict.alias("verdict"))
+
+
+@query(
+    "rule_quality",
+    r"""WITH f AS (SELECT conv_id, turn, coalesce(text, '') AS t, list_filter(regexp_split_to_array(trim(coalesce(text, '')), '[ \t\n\r]+'), lambda w: w <> '') AS w FROM conversations WHERE role = 'system')
+    SELECT conv_id, turn, len(w) AS words, CASE WHEN len(w) <= 1 THEN 'reject' WHEN length(t) > 280 OR NOT regexp_matches(t, '[0-9=<>]') THEN 'warn' ELSE 'accept' END AS verdict FROM f""",
+)
+def rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty or one-word rules are rejected; long ones and ones without a figure or operator get a warning."""
+    f = table(spark, sf_dir, "conversations").where("role = 'system'").withColumn("t", F.coalesce("text", F.lit(""))).withColumn("w", F.filter(F.split(F.trim("t"), r"[ \t\n\r]+"), lambda w: w != ""))
+    verdict = F.when(F.size("w") <= 1, "reject").when((F.length("t") > 280) | ~F.col("t").rlike("[0-9=<>]"), "warn").otherwise("accept")
+    return f.select("conv_id", "turn", F.size("w").cast("long").alias("words"), verdict.alias("verdict"))
+
+
+@query(
+    "trust_verdict",
+    """WITH s AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) FILTER (WHERE event_type = 'view' AND value < 5) AS warnings, count(*) AS n FROM events GROUP BY user_id)
+    SELECT user_id, errors, warnings, CASE WHEN errors * 4 > n THEN 'investigate' WHEN warnings >= 2 THEN 'watch' ELSE 'trust' END AS verdict FROM s""",
+)
+def trust_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    s = e.groupBy("user_id").agg(F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.count(F.when((F.col("event_type") == "view") & (F.col("value") < 5), 1)).alias("warnings"), F.count("*").alias("n"))
+    return s.select("user_id", "errors", "warnings", F.when(F.col("errors") * 4 > F.col("n"), "investigate").when(F.col("warnings") >= 2, "watch").otherwise("trust").alias("verdict"))
+
+
+@query(
+    "never_recalled",
+    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL) AND c_acctbal > 0",
+)
+def never_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of value that no one has asked for."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").where("c_acctbal > 0").join(asked, "c_custkey", "left_anti").select("c_custkey")
+
+
+@query(
+    "rank_correlation",
+    """WITH v AS (SELECT l_linenumber AS lane, l_orderkey, l_quantity AS a, l_extendedprice AS b FROM lineitem),
+    r AS (SELECT lane, rank() OVER (PARTITION BY lane ORDER BY a) + (count(*) OVER (PARTITION BY lane, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY lane ORDER BY b) + (count(*) OVER (PARTITION BY lane, b) - 1) / 2.0 AS rb FROM v)
+    SELECT CAST(lane AS BIGINT) AS lane, round(corr(ra, rb), 4) AS rho FROM r GROUP BY lane""",
+)
+def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spearman's rho of two scores, ties by their mean rank."""
+    v = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("lane"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
+    mean_rank = lambda c: F.rank().over(Window.partitionBy("lane").orderBy(c)) + (F.count("*").over(Window.partitionBy("lane", c)) - 1) / 2.0
+    r = v.select("lane", mean_rank("a").alias("ra"), mean_rank("b").alias("rb"))
+    return r.groupBy("lane").agg(F.round(F.corr("ra", "rb"), 4).alias("rho"))
+
+
+@query(
+    "observed_use",
+    """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+    p AS (SELECT u.conv_id, u.turn, len(list_intersect(list_distinct(regexp_extract_all(lower(u.text), '[\\p{L}\\p{N}]{4,}')), list_distinct(regexp_extract_all(lower(a.text), '[\\p{L}\\p{N}]{4,}')))) AS shared FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)
+    SELECT conv_id, turn, CASE WHEN coalesce(shared, 0) >= 2 THEN 'used' ELSE 'ignored' END AS verdict FROM p""",
+)
+def observed_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the answer to a turn takes up two of its longer words."""
+    long_words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0)))
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", long_words.alias("w"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), long_words.alias("v"))
+    shared = F.coalesce(F.size(F.array_intersect("w", "v")), F.lit(0))
+    return asked.join(said, ["conv_id", "turn"], "left").select("conv_id", "turn", F.when(shared >= 2, "used").otherwise("ignored").alias("verdict"))
