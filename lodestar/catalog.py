@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar import registry
 from lodestar.plans import filters, folds, graph, health, retrieval, temporal, text  # noqa: F401  they register their queries
+from lodestar.streaming import ingest  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
