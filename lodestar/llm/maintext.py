@@ -65,7 +65,7 @@ class Run:
 
 
 def runs(page: str) -> Iterator[Run]:
-    """Tags and texts of a page. Features of a text: "word", "link" within a link, "aside" within an element around the main text."""
+    """Tags and texts of a page. Features of a text: "word", or "link" within a link; "aside": all of an element around the main text."""
     stack: list[tuple[str, bool]] = []
     asides = links = articles = at = 0
     for m in _TOKEN.finditer(page):
@@ -76,7 +76,7 @@ def runs(page: str) -> Iterator[Run]:
             if m[1]:
                 yield Run("<raw>", inside=articles > 0)
             continue
-        tag = m[3].lower()
+        tag, within = m[3].lower(), asides
         if m[2]:
             if any(t == tag for t, _ in stack):
                 while stack:
@@ -95,16 +95,20 @@ def runs(page: str) -> Iterator[Run]:
                 asides += was
                 links += tag == "a"
                 articles += tag == "article"
-        yield Run(f"<{tag}>", ends_block=tag in BLOCK, inside=articles > 0 or (bool(m[2]) and tag == "article"))
+        yield Run("aside" if within or asides else f"<{tag}>", ends_block=tag in BLOCK, inside=articles > 0 or (bool(m[2]) and tag == "article"))
     if at < len(page):
         yield Run("aside" if asides else "link" if links else "word", page[at:], inside=articles > 0)
 
 
 @dataclass
 class Weights:
-    """Scores of a word by where it stands, and of tags; tags that the labelled pages lack score `other`."""
+    """Scores of a word by where it stands, and of tags; tags that the labelled pages lack score `other`.
 
-    words: dict[str, float] = field(default_factory=lambda: {"word": 1.0, "link": 0.2, "aside": -0.5})
+    Elements around the main text are left out of it anyway, so that they cost little: one between two paragraphs must
+    not part them.
+    """
+
+    words: dict[str, float] = field(default_factory=lambda: {"word": 1.0, "link": 0.2, "aside": -0.02})
     tags: dict[str, float] = field(default_factory=lambda: {f"<{t}>": -0.02 for t in "p br b i em strong h1 h2 h3 blockquote pre code".split()})
     other: float = -1.0
 
@@ -126,7 +130,7 @@ def fit(pages: list[str]) -> Weights:
     if not inside:
         return Weights()
     odds = {f: math.log((inside[f] + 0.5) / (outside[f] + 0.5)) for f in inside | outside}
-    words = {"word": min(2.0, max(0.25, odds.get("word", 1.0))), "link": min(1.0, max(-2.0, odds.get("link", 0.2))), "aside": -0.5}
+    words = {"word": min(2.0, max(0.25, odds.get("word", 1.0))), "link": min(1.0, max(-2.0, odds.get("link", 0.2))), "aside": Weights().words["aside"]}
     tags = {f: min(-0.02, max(-LEAST if f[1:-1] in BLOCK else -LEAST_INLINE, w)) for f, w in odds.items() if f[0] == "<"}
     return Weights(words, Weights().tags | tags)
 
@@ -140,7 +144,7 @@ def main_text(page: str, weights: Weights) -> str:
     found = list(runs(page))
     best, best_ends, total, begin = 0.0, (0, 0), 0.0, 0
     for i, r in enumerate(found):
-        score = len(r.text.split()) * weights.words[r.feature] if r.text else weights.tags.get(r.feature, weights.other)
+        score = len(r.text.split()) * weights.words[r.feature] if r.text else weights.words["aside"] if r.feature == "aside" else weights.tags.get(r.feature, weights.other)
         if total <= 0:
             total, begin = 0.0, i
         total += score

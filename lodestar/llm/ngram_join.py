@@ -41,6 +41,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True)], ["bucket", "batch", "kind", "a", "b"])
 
 
+def _stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if lo < hi]
+
+
 def _least_share(n: int) -> int:
     return -(-prefixtree.LEAST * n // prefixtree.PER)
 
@@ -83,8 +89,7 @@ def _deal(buckets: int, words: int):
                 rows = [(number % buckets, number, _DOCS, pickle.dumps(held), None)]
                 for kind, chosen in ((_SINGLE, ~several), (_SEVERAL, several)):
                     at, e, c = home[chosen], entry[chosen], count[chosen]
-                    cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
-                    for lo, hi in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                    for lo, hi in _stretches(at):
                         rows.append((int(at[lo]), number, kind, e[lo:hi].tobytes(), c[lo:hi].astype("<u4").tobytes() if kind == _SEVERAL else None))
                 yield _rows(rows)
                 number += 1
@@ -112,8 +117,7 @@ def _count(table: pa.Table) -> pa.Table:
         batches = np.array([r["batch"] for r in rows], np.int64)[owner[shared]]
         by = np.argsort(batches, kind="stable")
         shared, batches = shared[by], batches[by]
-        cuts = np.flatnonzero(np.concatenate([[True], batches[1:] != batches[:-1]])) if len(batches) else []
-        for lo, hi in zip(cuts, [*cuts[1:], len(batches)], strict=True):
+        for lo, hi in _stretches(batches):
             some = shared[lo:hi]
             out.append((rows[0]["bucket"], int(batches[lo]), _SHARED, entry[some].tobytes(), np.minimum(each[some], 255).astype(np.uint8).tobytes()))
     return pa.Table.from_batches([_rows(out)])
