@@ -2,65 +2,73 @@
 
 A chunk is what lies between two lone spaces. Where the tokenizer never lets a token cross the start of such a chunk,
 every distinct chunk is tokenised once per worker and the ids are joined back by position with array gathers.
-Texts with other white space around a space (runs of spaces, a space at either end) go to the library whole.
+Texts where that doesn't hold go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A space that has white space or an end of the text beside it (RE2 syntax; white space as in Unicode).
-IRREGULAR = r"(?:^ )|(?: $)|[\t-\r \x{85}\p{Z}] | [\t-\r\x{85}\p{Z}]"
 SLICE_BYTES = 6 << 20
-TABLE_ROWS = 400_000
+TABLE_ROWS = 700_000
+Ids = tuple[np.ndarray, np.ndarray]
 
 
 class ChunkTable:
     """ids of texts from ids of distinct chunks.
 
-    encode: list of strings -> list of id lists. lead: put a space before every chunk but a text's first
-    (byte-level BPE keeps the space with the word). irregular: RE2 pattern of texts that must be encoded whole,
-    None if every text can be cut at every space. The table is emptied when it holds over `rows` chunks.
+    encode: list of strings -> (their ids one after another, number of ids of each). irregular: RE2 pattern of texts that
+    must be encoded whole, None if every text can be cut at every space. prepare: a change of texts that doesn't change
+    their ids. When the table would hold over `rows` chunks, those go that only one slice of rows has asked for.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], lead: bool, irregular: str | None, rows: int = TABLE_ROWS):
-        self.encode_batch, self.lead, self.irregular, self.limit = encode, lead, irregular, rows
+    def __init__(self, encode: Callable[[list[str]], Ids], irregular: str | None, rows: int = TABLE_ROWS, prepare: Callable[[pa.Array], pa.Array] = lambda texts: texts):
+        self.encode_batch, self.irregular, self.limit, self.prepare = encode, irregular, rows, prepare
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.values = np.empty(1 << 16, np.uint16)
         self.used = 0
-        self.starts, self.counts = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.starts, self.counts, self.asked = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
 
-    def _add(self, words: list[str]) -> None:
-        got = self.encode_batch(words)
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint16, int(counts.sum()))
+    def _store(self, words: list[str], flat: np.ndarray, counts: np.ndarray) -> None:
         base, at = len(self.index), self.used
         while at + len(flat) > len(self.values):
             self.values = np.concatenate([self.values, np.empty_like(self.values)])
-        while base + len(got) > len(self.starts):
-            self.starts, self.counts = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.counts))
+        while base + len(words) > len(self.starts):
+            self.starts, self.counts, self.asked = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts, self.asked))
         self.values[at : at + len(flat)] = flat
         self.used += len(flat)
-        self.counts[base : base + len(got)] = counts
-        self.starts[base : base + len(got)] = at + np.cumsum(counts) - counts
-        self.index.update(zip(words, range(base, base + len(got)), strict=True))
+        self.counts[base : base + len(words)] = counts
+        self.starts[base : base + len(words)] = at + np.cumsum(counts) - counts
+        self.index.update(zip(words, range(base, base + len(words)), strict=True))
+
+    def _trim(self) -> None:
+        """Keep the chunks that several slices have asked for, up to half of the rows."""
+        kept = [(w, i) for w, i in self.index.items() if self.asked[i] > 1][: self.limit // 2]
+        rows = np.fromiter((i for _, i in kept), np.int64, len(kept))
+        counts, ends = self.counts[rows], np.cumsum(self.counts[rows])
+        flat = self.values[np.repeat(self.starts[rows] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        self._clear()
+        self._store([w for w, _ in kept], flat, counts)
 
     def _rows(self, words: list[str]) -> np.ndarray:
         """Rows of distinct words in the table."""
         missing = [w for w in words if w not in self.index]
+        if missing and len(self.index) + len(missing) > self.limit:
+            self._trim()
+            missing = [w for w in words if w not in self.index]
         if missing:
-            if len(self.index) + len(missing) > self.limit:
-                self._clear()
-                missing = words
-            self._add(missing)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+            self._store(missing, *self.encode_batch(missing))
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        self.asked[rows] += 1
+        return rows
 
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(texts, " ")
@@ -69,15 +77,7 @@ class ChunkTable:
         coded = parts.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
         first = bounds[:-1]
-        if self.lead:
-            heads, inverse = np.unique(at[first], return_inverse=True)
-            rows = self._rows(list(dict.fromkeys([" " + w for w in words] + [words[i] for i in heads])))
-            lookup = self.index
-            table = np.fromiter((lookup[" " + w] for w in words), np.int64, len(words))
-            at = table[at]
-            at[first] = np.fromiter((lookup[words[i]] for i in heads), np.int64, len(heads))[inverse]
-        else:
-            at = self._rows(words)[at]
+        at = self._rows(words)[at]
         counts = self.counts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -87,19 +87,19 @@ class ChunkTable:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of ids of each text); a null text counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = self.prepare(pc.fill_null(texts.cast(pa.large_string()), ""))
         odd = np.asarray(pc.match_substring_regex(texts, self.irregular)) if self.irregular else np.zeros(len(texts), bool)
         if not odd.any():
             return self._regular(texts)
         ids, lengths = self._regular(texts.filter(pa.array(~odd)))
-        whole = self.encode_batch(texts.filter(pa.array(odd)).to_pylist())
+        whole, sizes = self.encode_batch(texts.filter(pa.array(odd)).to_pylist())
         out = np.empty(len(texts), np.int64)
-        out[~odd], out[odd] = lengths, [len(x) for x in whole]
+        out[~odd], out[odd] = lengths, sizes
         ends = np.cumsum(out)
         values = np.empty(int(ends[-1]), np.uint16)
         keep = np.repeat(~odd, out)
         values[keep] = ids
-        values[~keep] = np.fromiter((i for x in whole for i in x), np.uint16, int(out[odd].sum()))
+        values[~keep] = whole
         return values, out
 
 
@@ -114,9 +114,6 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         at = end
 
 
-_OPENED: dict[tuple, ChunkTable] = {}
-
-
 def _path(name: str) -> str:
     """A file name of the installed tokenizers, or a path."""
     if "/" in name:
@@ -126,15 +123,140 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def hf_table(name: str, lead: bool) -> ChunkTable:
-    """A chunk table over a tokenizers file; strings of special tokens in a text are ordinary text."""
-    if (name, lead) not in _OPENED:
+def as_ids(lists: list[list[int]]) -> Ids:
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), np.uint16, int(counts.sum())), counts
+
+
+#: A sign that gets a word of its own between joined chunks; chunks that hold it are encoded alone.
+SIGN, JOINED = "\u241e", 1500
+
+
+def joined_encoder(tokenizer) -> Callable[[list[str]], Ids]:
+    """Encodes many chunks in one call of the library, with a sign between them, and cuts the ids at the sign's ids.
+
+    The sign stands between spaces and so is a word of its own; the tokenizer must drop white space.
+    """
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int64) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    gap = f" {SIGN} "
+    sign = encode([gap])[0]
+
+    def plain(chunks: list[str]) -> Ids:
+        flats, counts = [], []
+        for at in range(0, len(chunks), JOINED):
+            part = chunks[at : at + JOINED]
+            (ids,) = encode([gap.join(part)])
+            is_sign = np.ones(max(0, len(ids) - len(sign) + 1), bool)
+            for k, value in enumerate(sign):
+                is_sign &= ids[k : len(ids) - len(sign) + 1 + k] == value
+            ends = np.flatnonzero(is_sign)
+            if len(ends) != len(part) - 1:
+                raise ValueError("the chunks can't be told apart")
+            starts = np.concatenate([[0], ends + len(sign)])
+            counts.append(np.concatenate([ends, [len(ids)]]) - starts)
+            keep = np.ones(len(ids), bool)
+            for k in range(len(sign)):
+                keep[ends + k] = False
+            flats.append(ids[keep].astype(np.uint16))
+        return np.concatenate(flats), np.concatenate(counts)
+
+    def alone(chunks: list[str]) -> Ids:
+        return as_ids([x.tolist() for a in range(0, len(chunks), 256) for x in encode(chunks[a : a + 256])])
+
+    def run(chunks: list[str]) -> Ids:
+        odd = [SIGN in c for c in chunks]
+        if not any(odd):
+            return plain(chunks)
+        a, na = plain(usual) if (usual := [c for c, o in zip(chunks, odd, strict=True) if not o]) else as_ids([])
+        b, nb = alone([c for c, o in zip(chunks, odd, strict=True) if o])
+        mask = np.array(odd)
+        counts = np.empty(len(chunks), np.int64)
+        counts[~mask], counts[mask] = na, nb
+        out, own = np.empty(len(a) + len(b), np.uint16), np.repeat(mask, counts)
+        out[~own], out[own] = a, b
+        return out, counts
+
+    return run
+
+
+#: A lower-case word whose letters no normaliser changes.
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: Byte-level vocabularies show a byte as its Latin-1 character, except that these stand in for those without a sign.
+_SHOWN = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+def _as_words(texts: pa.Array) -> pa.Array:
+    """For a tokenizer that lowers case and drops white space: fewer distinct chunks, with the same ids.
+
+    A comma or full stop after a letter and before a space is a word of its own there, and so may stand apart.
+    """
+    texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+    return pc.replace_substring_regex(texts, r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,])( |$)", r"\1 \2\3")
+
+
+def word_encoder(tokenizer) -> Callable[[list[str]], Ids]:
+    """Encodes chunks of a lower-casing tokenizer: simple words by its model alone, other chunks by the whole tokenizer."""
+    model, other = tokenizer.model, joined_encoder(tokenizer)
+
+    def run(chunks: list[str]) -> Ids:
+        simple = [_SIMPLE.fullmatch(c) is not None for c in chunks]
+        mask = np.array(simple, bool)
+        easy = [[t.id for t in model.tokenize(c.encode().decode("latin-1").translate(_SHOWN))] for c, ok in zip(chunks, simple, strict=True) if ok]
+        a, na = as_ids(easy)
+        hard = [c for c, ok in zip(chunks, simple, strict=True) if not ok]
+        b, nb = other(hard) if hard else as_ids([])
+        counts = np.empty(len(chunks), np.int64)
+        counts[mask], counts[~mask] = na, nb
+        out, own = np.empty(len(a) + len(b), np.uint16), np.repeat(mask, counts)
+        out[own], out[~own] = a, b
+        return out, counts
+
+    return run
+
+
+_OPENED: dict[str, ChunkTable] = {}
+
+
+def word_table(name: str) -> ChunkTable:
+    """A chunk table over a tokenizers file that lowers case and drops white space; strings of special tokens are text."""
+    if name not in _OPENED:
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(_path(name))
+        steps = [x["type"] for x in (json.loads(t.to_str())["normalizer"] or {}).get("normalizers", [])]
+        if steps != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("the tokenizer doesn't lower case and drop white space")
         t.encode_special_tokens = True
-        _OPENED[name, lead] = ChunkTable(lambda words: [x.ids for x in t.encode_batch_fast(words, add_special_tokens=False)], lead, IRREGULAR if lead else None)
-    return _OPENED[name, lead]
+        _OPENED[name] = ChunkTable(word_encoder(t), None, prepare=_as_words)
+    return _OPENED[name]
+
+
+_BYTE_LEVEL: dict[str, object] = {}
+
+
+def byte_encoder(name: str):
+    """A tiktoken encoding of a file of ranks; encode with encode_ordinary, which takes all of a text as text."""
+    if name not in _BYTE_LEVEL:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(_path(name), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        _BYTE_LEVEL[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _BYTE_LEVEL[name]
+
+
+def encode_bytes(name: str, texts: list[str]) -> Ids:
+    """(ids of all texts one after another, number of ids of each)."""
+    encoder = byte_encoder(name)
+    got = [encoder.encode_to_numpy(t, disallowed_special=()) for t in texts]
+    return np.concatenate(got).astype(np.uint16) if got else np.empty(0, np.uint16), np.fromiter(map(len, got), np.int64, len(got))

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.chunktable import hf_table, slices
+from lodestar.llm.chunktable import encode_bytes, slices
 from lodestar.session import materialize
 
-VOCABULARY = "byte_bpe_50k.json"
+#: The ranks of byte_bpe_50k.json: the same vocabulary, and so the same ids, in less than half of the time.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 SEQUENCE, END_ID = 2048, 1
 #: Buckets of a hashed document vector, axes that it is projected to, bits of an axis on the curve.
 BUCKETS, AXES, BITS = 256, 3, 10
@@ -72,11 +73,10 @@ def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
     """(doc_id, n, ids as little-endian 16 bits, x array<double>) of every whole text, with end_id after it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = hf_table(tokenizer, lead=True)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                values, lengths = table.encode(part.column(1))
+                values, lengths = encode_bytes(tokenizer, part.column(1).to_pylist())
                 at = coordinates(values, lengths)
                 values, lengths = np.insert(values, np.cumsum(lengths), end_id), lengths + 1
                 ends = np.cumsum(lengths)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.chunktable import ChunkTable, _path, slices
+from lodestar.llm.chunktable import ChunkTable, _path, as_ids, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -33,7 +33,7 @@ def open_model(name: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=_path(name))
         if not pieces_stay_in_words(sp):
             raise ValueError("the model has pieces that cross word marks; texts must be encoded whole")
-        _OPENED[name] = sp, ChunkTable(lambda words: sp.encode(words, num_threads=1), False, IRREGULAR)
+        _OPENED[name] = sp, ChunkTable(lambda words: as_ids(sp.encode(words, num_threads=1)), IRREGULAR)
     return _OPENED[name]
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm import idfiles
-from lodestar.llm.chunktable import hf_table, slices
+from lodestar.llm.chunktable import slices, word_table
 from lodestar.session import scratch
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,7 +40,7 @@ def write_token_files(docs: DataFrame, folder: str, key: str = "doc_id", text: s
         context = TaskContext.get()
         name = f"shard-{context.partitionId():06d}-{context.taskAttemptId()}"
         fs, path = open_fs(folder)
-        table, out, ids, null, counts = hf_table(tokenizer, lead=False), None, [], [], []
+        table, out, ids, null, counts = word_table(tokenizer), None, [], [], []
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)

@@ -2,11 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestar.llm.chunktable import hf_table, slices
+from lodestar.llm.chunktable import encode_bytes, slices, word_table
 from lodestar.llm.pieces import open_model
 
 ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "\ta \n\n b\r\n", "x  y", "x 　y", "␞ ␞ a", "é ́a", "</s> <|endoftext|> a", "Ω ΑΣ ΑΣ. ς", "日本語 テキスト", "a▁b ▁▁ c", "a" * 5000, " .b 12 3's don't", "\x00 a\x1f b", "ﬁ Ⅳ ½", "🙂 a🙂 b"]
@@ -18,17 +17,30 @@ def ids_of(table, texts):
     return [x.tolist() for x in np.split(values, np.cumsum(lengths)[:-1])]
 
 
-@pytest.mark.parametrize(("name", "lead"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-@settings(max_examples=60, deadline=None)
-@given(texts=st.lists(TEXT, min_size=1, max_size=8))
-def test_hf(name, lead, texts):
+def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
+    return t
+
+
+@settings(max_examples=80, deadline=None)
+@given(texts=st.lists(TEXT, min_size=1, max_size=8))
+def test_words(texts):
+    texts = texts + ODD
+    want = [x.ids for x in library("word_bpe_49k.json").encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(word_table("word_bpe_49k.json"), texts) == want
+
+
+@settings(max_examples=80, deadline=None)
+@given(texts=st.lists(TEXT, min_size=1, max_size=8))
+def test_bytes(texts):
     texts = texts + ODD
-    assert ids_of(hf_table(name, lead), texts) == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    values, lengths = encode_bytes("byte_bpe_50k.tiktoken", texts)
+    want = [x.ids for x in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(values, np.cumsum(lengths)[:-1])] == want
 
 
 @settings(max_examples=60, deadline=None)
