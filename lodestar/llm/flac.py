@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
 BLOCK, RATE, SEEK_FRAMES = 192, 8000, 8
 PRECISION, SHIFT = 8, 6
+#: Frames that are written, and bytes of frames that are read, in one go: the bound of memory.
+AT_ONCE, READ_AT_ONCE = 1536, 1_500_000
 #: Predictors of the format's fixed subframes: weights of the samples before, the nearest first.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
@@ -81,17 +84,8 @@ def _coded_number(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """FLAC streams of payloads, each of a positive multiple of BLOCK bytes; a sample is a byte less 128."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    if (sizes % BLOCK).any() or (sizes == 0).any():
-        raise ValueError(f"payloads must have a positive multiple of {BLOCK} bytes")
-    raw = np.frombuffer(b"".join(payloads), np.uint8)
-    x = raw.reshape(-1, BLOCK).astype(np.int32) - 128
-    frames = sizes // BLOCK
-    first = np.cumsum(frames) - frames
-    number = np.arange(len(x)) - np.repeat(first, frames)
-
+def _frames(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(coded frames one after another, bytes of each) of rows of samples with these frame numbers."""
     # Of five predictors, the one whose residuals are least in all.
     zeros = np.zeros(len(x), np.int32)
     lpc = _linear(x)
@@ -157,8 +151,23 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     data[starts + head - 1] = crc_of(data, starts, head - 1, 8)
     crc = crc_of(data, starts, size - 2, 16)
     data[starts + size - 2], data[starts + size - 1] = crc >> 8, crc & 0xFF
+    return data.tobytes(), size
 
-    body, out = data.tobytes(), []
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """FLAC streams of payloads, each of a positive multiple of BLOCK bytes; a sample is a byte less 128."""
+    sizes = np.array([len(p) for p in payloads], np.int64)
+    if (sizes % BLOCK).any() or (sizes == 0).any():
+        raise ValueError(f"payloads must have a positive multiple of {BLOCK} bytes")
+    raw = np.frombuffer(b"".join(payloads), np.uint8)
+    rows = raw.reshape(-1, BLOCK)
+    frames = sizes // BLOCK
+    first = np.cumsum(frames) - frames
+    number = np.arange(len(rows)) - np.repeat(first, frames)
+    parts = [_frames(rows[a : a + AT_ONCE].astype(np.int32) - 128, number[a : a + AT_ONCE]) for a in range(0, len(rows), AT_ONCE)]
+    body = b"".join(p for p, _ in parts)
+    size = np.concatenate([s for _, s in parts]) if parts else np.empty(0, np.int64)
+    starts, out = np.cumsum(size) - size, []
     signed = (raw ^ 0x80).tobytes()
     from_sample = np.cumsum(sizes) - sizes
     for d in range(len(payloads)):
@@ -194,24 +203,11 @@ def _metadata(stream: bytes) -> tuple[int, bytes, list[tuple[int, int]], int]:
     return samples, md5, points or [(0, 0)], at
 
 
-def decode(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
-    """(payload bytes, [(first sample, byte of its frame in the stream) of each frame]) of every stream.
-
-    Frames between two seek points are read one after another, those of different seek points side by side. A wrong
-    checksum of a header, a frame or a whole stream is an error.
-    """
-    meta = [_metadata(s) for s in streams]
-    base = np.cumsum([0, *map(len, streams)])
-    raw = np.frombuffer(b"".join(streams) + b"\0" * 16, np.uint8)
+def _read(raw: np.ndarray, at: np.ndarray, stop: np.ndarray, sample: np.ndarray, pcm: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Decodes the frames from `at` to `stop` of raw into pcm, from `sample` on; gives (first samples, bytes) of frames."""
     window = np.zeros(len(raw) - 8, np.uint64)  # at each byte: the next eight bytes
     for j in range(8):
         window = (window << np.uint64(8)) | raw[j : j + len(window)]
-    sample_base = np.cumsum([0, *[m[0] for m in meta]])
-    pcm = np.zeros(int(sample_base[-1]), np.int64)
-
-    units = [(base[d] + m[3] + byte, base[d] + m[3] + (m[2][i + 1][1] if i + 1 < len(m[2]) else len(streams[d]) - m[3]), sample_base[d] + sample) for d, m in enumerate(meta) for i, (sample, byte) in enumerate(m[2])]
-    at, stop, sample = (np.array(c, np.int64) for c in zip(*units, strict=True)) if units else (np.empty(0, np.int64),) * 3
-    found = []
 
     def bits_at(pos: np.ndarray, n) -> np.ndarray:
         """n bits, 1 to 32, at bit positions."""
@@ -313,12 +309,36 @@ def decode(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int]
         if (crc_of(raw, at, end - at, 16) != (raw[end].astype(np.int64) << 8 | raw[end + 1])).any():
             raise ValueError("a frame's checksum is wrong")
         pcm[(sample[:, None] + np.arange(BLOCK)).ravel()] = x.T.ravel()
-        found.append((sample, at))
+        yield sample, at
         at, sample = end + 2, sample + BLOCK
         left = at < stop
         at, sample, stop = at[left], sample[left], stop[left]
 
-    bytes_ = (pcm.astype(np.int8).view(np.uint8)).tobytes()
+
+def decode(streams: list[bytes]) -> tuple[list[bytes], list[list[tuple[int, int]]]]:
+    """(payload bytes, [(first sample, byte of its frame in the stream) of each frame]) of every stream.
+
+    Frames between two seek points are read one after another, those of different seek points side by side. A wrong
+    checksum of a header, a frame or a whole stream is an error.
+    """
+    meta = [_metadata(s) for s in streams]
+    base = np.cumsum([0, *map(len, streams)])
+    raw = np.frombuffer(b"".join(streams) + b"\0" * 16, np.uint8)
+    sample_base = np.cumsum([0, *[m[0] for m in meta]])
+    pcm = np.zeros(int(sample_base[-1]), np.int8)
+
+    units = [(base[d] + m[3] + byte, base[d] + m[3] + (m[2][i + 1][1] if i + 1 < len(m[2]) else len(streams[d]) - m[3]), sample_base[d] + sample) for d, m in enumerate(meta) for i, (sample, byte) in enumerate(m[2])]
+    at, stop, sample = (np.array(c, np.int64) for c in zip(*units, strict=True)) if units else (np.empty(0, np.int64),) * 3
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    done = 0
+    while done < len(at):  # seek points whose frames lie in the next stretch of bytes
+        end = max(done + 1, int(np.searchsorted(stop, at[done] + READ_AT_ONCE, "right")))
+        lo = int(at[done])
+        for begun, places in _read(raw[lo : int(stop[end - 1]) + 16], at[done:end] - lo, stop[done:end] - lo, sample[done:end], pcm):
+            found.append((begun, places + lo))
+        done = end
+
+    bytes_ = pcm.view(np.uint8).tobytes()
     samples, places = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
     by_sample = np.argsort(samples, kind="stable")
     samples, places = samples[by_sample], places[by_sample]

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from lodestar.llm import flac
 from lodestar.llm.chunktable import slices
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 BLOCKS = T.ArrayType(T.StructType([T.StructField("sample", T.LongType()), T.StructField("byte", T.LongType())]))
 
 
