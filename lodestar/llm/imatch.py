@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Terms with low <= idf = ln(N / df) <= high and df >= 2 form the lexicon; the most frequent `size` of them, ties by term.
-IDF_LOW, IDF_HIGH, LEXICON_SIZE = 3.0, 7.6, 4096
+IDF_LOW, IDF_HIGH, LEXICON_SIZE = 3.0, 7.6, 2048
 #: Subsets of the lexicon; each holds one term in RATE.
 SUBSETS, RATE = 48, 48
-_SEPARATORS = r"[^\p{L}\p{N}]+"
+_SEPARATORS = r"[\s\p{Punct}]+"
 #: Documents in a run of neighbours, and runs at most.
 RUN, RUNS, FAN = 500, 4096, 64
 
@@ -45,7 +45,7 @@ def fingerprint(text: Column, terms: list[str], subsets: int = SUBSETS, rate: in
     A text without any lexicon term gets its own hash.
     """
     known = F.filter(words(text), lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
-    coded = F.transform(F.array_sort(F.array_distinct(known)), lambda t: F.xxhash64(t))
+    coded = F.transform(F.sort_array(F.array_distinct(known)), lambda t: F.xxhash64(t))
     subset = lambda own, k: F.filter(own, lambda h: F.pmod(F.xxhash64(h, k), F.lit(rate)) == 0)
     shown = lambda own, k: _let(subset(own, k), lambda found: F.when(F.size(found) > 0, F.lower(F.hex(F.xxhash64(found)))).otherwise("-"))
     each = F.sequence(F.lit(0), F.lit(subsets - 1))
