@@ -6,16 +6,20 @@ each of several randomised subsets of the lexicon, hashed. Two texts are alike a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Terms with low <= idf = ln(N / df) <= high and df >= 2 form the lexicon; the most frequent `size` of them, ties by term.
-IDF_LOW, IDF_HIGH, LEXICON_SIZE = 3.0, 7.6, 2048
+#: All terms with low <= idf = ln(N / df) <= high and df >= 2 form the lexicon. As df >= N / e^high, it has at most e^high
+#: (about 2000) times as many terms as a document has distinct ones on average, however many documents there are.
+IDF_LOW, IDF_HIGH = 3.0, 7.6
+#: Buckets of the lexicon's lookup table.
+BUCKETS = 1 << 16
 #: Subsets of the lexicon; each holds one term in RATE.
 SUBSETS, RATE = 48, 48
-_SEPARATORS = r"[\s\p{Punct}]+"
+_SEPARATORS = r"[^\p{L}\p{N}]+"
 #: Documents in a run of neighbours, and runs at most.
 RUN, RUNS, FAN = 500, 4096, 64
 
@@ -24,14 +28,25 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), _SEPARATORS)
 
 
-def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH, size: int = LEXICON_SIZE) -> list[str]:
-    """The lexicon of all documents: at most `size` terms, so that they can travel inside the plan."""
+def _in_subset(h: Column, k: Column, rate: int) -> Column:
+    return F.pmod(F.xxhash64(h, k), F.lit(rate)) == 0
+
+
+def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH, subsets: int = SUBSETS, rate: int = RATE) -> Column:
+    """The lexicon of all documents: its terms' 64-bit hashes h, each with every subset k that has it, dealt to buckets by h.
+
+    Terms of no subset are of no use and left out. The table is one constant of the plan, which the optimizer folds.
+    """
     total = docs.count()
     terms = docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
     counted = terms.where("term != ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
-    band = counted.where((F.col("df") >= 2) & (idf >= low) & (idf <= high))
-    return [r[0] for r in band.orderBy(F.desc("df"), "term").limit(size).select("term").collect()]
+    band = counted.where((F.col("df") >= 2) & (idf >= low) & (idf <= high)).select(F.xxhash64("term").alias("h"))
+    within = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: _in_subset(F.col("h"), k, rate))
+    buckets = [[] for _ in range(BUCKETS)]
+    for h, ks in band.select("h", within).collect():
+        buckets[h % BUCKETS].extend({"h": h, "k": k} for k in ks)
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<h:bigint,k:int>>>")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,19 +54,30 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fingerprint(text: Column, terms: list[str], subsets: int = SUBSETS, rate: int = RATE) -> Column:
+def _hits(text: Column, terms: list[str] | Column, subsets: int, rate: int) -> Column:
+    """(h, k) for each subset k of each distinct lexicon term of the text, in the order of the terms."""
+    found = F.sort_array(F.array_distinct(words(text)))
+    if isinstance(terms, Column):
+        place = lambda h: (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")
+        of = lambda t, h: F.filter(F.element_at(t, place(h)), lambda e: e["h"] == h)
+        return _let(terms, lambda t: F.flatten(F.transform(found, lambda w: _let(F.xxhash64(w), lambda h: of(t, h)))))
+    known = F.filter(found, lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
+    each = F.sequence(F.lit(0), F.lit(subsets - 1))
+    of = lambda h: F.transform(F.filter(each, lambda k: _in_subset(h, k, rate)), lambda k: F.struct(h.alias("h"), k.alias("k")))
+    return F.flatten(F.transform(known, lambda w: _let(F.xxhash64(w), of)))
+
+
+def fingerprint(text: Column, terms: list[str] | Column, subsets: int = SUBSETS, rate: int = RATE) -> Column:
     """For each subset of the lexicon the hash of the text's sorted distinct terms in it, "-" where it has none, as one string.
 
-    A text without any lexicon term gets its own hash.
+    terms is a short list or a lexicon() of the same subsets. A text without any lexicon term in a subset gets its own hash.
     """
-    known = F.filter(words(text), lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
-    coded = F.transform(F.sort_array(F.array_distinct(known)), lambda t: F.xxhash64(t))
-    subset = lambda own, k: F.filter(own, lambda h: F.pmod(F.xxhash64(h, k), F.lit(rate)) == 0)
-    shown = lambda own, k: _let(subset(own, k), lambda found: F.when(F.size(found) > 0, F.lower(F.hex(F.xxhash64(found)))).otherwise("-"))
+    subset = lambda hits, k: F.transform(F.filter(hits, lambda e: e["k"] == k), lambda e: e["h"])
+    shown = lambda hits, k: _let(subset(hits, k), lambda found: F.when(F.size(found) > 0, F.lower(F.hex(F.xxhash64(found)))).otherwise("-"))
     each = F.sequence(F.lit(0), F.lit(subsets - 1))
-    joined = lambda own: F.array_join(F.transform(each, lambda k: shown(own, k)), ".")
+    joined = lambda hits: F.array_join(F.transform(each, lambda k: shown(hits, k)), ".")
     alone = F.concat(F.lit("text."), F.md5(text.cast("binary")))
-    return _let(coded, lambda own: _let(joined(own), lambda f: F.when(f.rlike("[0-9a-f]"), f).otherwise(alone)))
+    return _let(_hits(text, terms, subsets, rate), lambda hits: _let(joined(hits), lambda f: F.when(f.rlike("[0-9a-f]"), f).otherwise(alone)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -62,7 +88,7 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(a.startswith("text.") | b.startswith("text."), F.lit(0.0)).otherwise(same / F.size(used))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", terms: list[str] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", terms: list[str] | Column | None = None) -> DataFrame:
     """docs with a column fingerprint of every whole text; a null text is empty. Equal texts have equal fingerprints."""
     whole = F.coalesce(F.col(text), F.lit(""))
     chosen = lexicon(docs, text) if terms is None else terms

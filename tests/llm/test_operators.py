@@ -95,6 +95,18 @@ def test_imatch(docs, empty):
     assert imatch.fingerprints(empty).count() == 0
 
 
+def test_imatch_uses_the_whole_band(spark):
+    texts = [" ".join(f"w{(i * 50 + j) // 2}x" for j in range(100)) for i in range(100)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(f"a{i}" for i in range(50)), "w7x\u2014w9x", "w7x w9x"])], "doc_id long, text string")
+    words = sorted({w for t in texts for w in t.split()})
+    assert len(words) > 2048
+    small = {r.doc_id: r.fingerprint for r in imatch.fingerprints(rows.where("doc_id < 100")).collect()}
+    listed = {r.doc_id: r.fingerprint for r in imatch.fingerprints(rows.where("doc_id < 100"), terms=words).collect()}
+    assert all(small[i] == listed[i] for i in range(1, 99))  # each of their words is in four texts, so within the band
+    both = [r.fingerprint for r in imatch.fingerprints(rows.where("doc_id >= 150"), terms=["w7x", "w9x"]).collect()]
+    assert both[0] == both[1]  # a dash that isn't ASCII separates words
+
+
 def test_next_document(spark):
     rows = [(i * i, f"text {i}") for i in range(40)]
     many = spark.createDataFrame(rows, "doc_id long, text string")
