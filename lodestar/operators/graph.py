@@ -39,14 +39,22 @@ def propagate_labels(edges: DataFrame, rounds: int) -> DataFrame:
     return labels
 
 
-def chain_tips(links: DataFrame, rounds: int) -> DataFrame:
-    """(node, tip, hops) for links (node, next): follows next by doubling, so `rounds` cover 2^rounds steps.
+def chain_tips(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, tip, hops) for links (node, next): follows next by doubling, until every tip is a node without a link.
 
-    A node without a link is its own tip; a cycle stops at the node that the cap reaches.
+    A node without a link is its own tip. A cycle has no tip and raises ValueError. With `rounds`, 2^rounds steps at most.
+    Each round is written to the shared folder; a chain of n links takes about log2(n) rounds.
     """
     nodes = links.select("node").union(links.select("next")).distinct()
-    jump = nodes.join(links, "node", "left").select("node", F.coalesce("next", "node").alias("tip"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("hops"))
-    for _ in range(rounds):
+    jump = nodes.join(links, "node", "left").select("node", F.coalesce("next", "node").alias("tip"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"))
+    jump = materialize(jump, "chain")
+    total, done = jump.count(), 0
+    while rounds is None or done < rounds:
         further = jump.select(F.col("node").alias("tip"), F.col("tip").alias("t2"), F.col("hops").alias("h2"))
-        jump = materialize(jump.join(further, "tip").select("node", F.col("t2").alias("tip"), (F.col("hops") + F.col("h2")).alias("hops")), "chain")
-    return jump
+        jump = materialize(jump.join(further, "tip").select("node", F.col("t2").alias("tip"), (F.col("hops") + F.col("h2")).alias("hops"), (F.col("h2") > 0).alias("moved")), "chain")
+        done += 1
+        if jump.where("moved").limit(1).count() == 0:
+            break
+        if rounds is None and 2 ** (done - 1) > total:
+            raise ValueError("the links form a cycle")
+    return jump.select("node", "tip", "hops")

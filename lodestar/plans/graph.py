@@ -138,7 +138,7 @@ def supersede_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document that a later copy supersedes, and the last copy, by following one link at a time."""
     later = Window.partitionBy(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).orderBy("doc_id")
     chain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.lead("doc_id").over(later).alias("next")).where("next IS NOT NULL")
-    return chain_tips(chain, 12).withColumn("hops", F.col("hops").cast("long"))
+    return chain_tips(chain)
 
 
 @query(

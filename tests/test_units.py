@@ -10,6 +10,7 @@ from lodestar.functions import scalars as S
 from lodestar.operators import graph
 from lodestar.operators.chunking import chunks
 from lodestar.operators.ranking import mmr
+from lodestar.plans.graph import supersede_tips
 from lodestar.plans.health import similar_pairs
 from lodestar.sources import sinks, vault
 from lodestar.streaming import ingest
@@ -58,6 +59,15 @@ def test_graph(spark):
     assert tips == {1: (4, 3), 2: (4, 2), 3: (4, 1), 4: (4, 0)}
 
 
+def test_chains_are_followed_to_their_ends(spark, tmp_path):
+    n = 5000  # longer than 2^12 links
+    spark.range(n).selectExpr("id AS doc_id", "'same' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.node: (r.tip, r.hops) for r in supersede_tips(spark, str(tmp_path)).collect()}
+    assert found == {i: (n - 1, n - 1 - i) for i in range(n)}
+    with pytest.raises(ValueError):
+        graph.chain_tips(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, next long"))
+
+
 def test_pages_and_logs(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text('---\ntitle: "A b"\ntags: [x, y]\n---\n# Body\n')
