@@ -210,8 +210,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     Two rows link when their sets of `words`-word shingles have a Jaccard similarity of at least 0.75, exactly. A null or
     empty text, or one without words, has an empty set and links with nothing; a text of fewer words is one shingle.
-    Rows with equal sets share a class. A null key is never a component's least key unless the component has no other.
-    Repeated rows stay. Shingles are told apart by 64-bit hashes, within a bucket by 40 further bits.
+    Rows with equal sets share a class, which is named by 64 bits of the set's digest: keys may repeat or be null. A null
+    key joins its component, but is never its least key unless it has no other. Repeated rows stay. Shingles are told apart by 64-bit hashes, within a bucket by 40 further bits.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -220,8 +220,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     counted = dealt.groupBy("bucket").applyInArrow(_count, _DEALT)
     sets = materialize(counted.groupBy("batch").applyInArrow(_gather, _SETS), "join-sets")
 
-    alike = sets.where("shared IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class"), F.first(F.struct("n", "probe", "shared")).alias("s"))
-    classes = materialize(alike.where("class IS NOT NULL").select("digest", "class", "s.n", "s.probe", "s.shared"), "join-classes")
+    alike = sets.where("shared IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first(F.struct("n", "probe", "shared")).alias("s"))
+    classes = materialize(alike.select("digest", F.xxhash64("digest").alias("class"), "least", "s.n", "s.probe", "s.shared"), "join-classes")
     prefixes = classes.select("class", "probe", "shared").mapInArrow(_prefixes, "token long, class long")
     hubs = prefixes.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last").select("token", "hub")
     ties = prefixes.join(hubs, "token").where("class <> hub").select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct()
@@ -232,9 +232,10 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     large = members.where(F.col("size") > block_classes)
     if large.select("block").limit(1).count():
         roots = roots.unionByName(_large_blocks(large, block_classes))
-    rooted = classes.select("digest", "class").join(roots, "class", "left").select("digest", F.coalesce("root", "class").alias("root"))
-    told = sets.select("doc_id", "n", "digest").join(rooted, "digest", "left")
-    return told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
+    rooted = materialize(classes.select("digest", "class", "least").join(roots, "class", "left").select("digest", "least", F.coalesce("root", "class").alias("root")), "join-roots")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "component")
+    told = sets.select("doc_id", "n", "digest").join(named, "digest", "left")
+    return told.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

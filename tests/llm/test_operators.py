@@ -220,6 +220,17 @@ def plain_components(rows):
     return sorted(((k, len(s), least[find(i)]) for i, ((k, _), s) in enumerate(zip(rows, sets, strict=True))), key=str)
 
 
+def test_ngram_join_of_repeated_and_null_keys(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    bridge = " ".join(f"c{i}" for i in range(5, 65))
+    # two texts under the key 1, each with a near copy; a text without a key between two that don't link themselves
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (7, c), (None, bridge), (9, " ".join(f"c{i}" for i in range(10, 70)))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(table).collect()), key=str)
+    assert got == plain_components(rows)
+    assert [c for k, _, c in got if k in (2, 3, 9, None)].count(1) == 2 and (9, 56, 7) in got and (None, 56, 7) in got
+
+
 @pytest.mark.parametrize("block", [1500, 3])
 def test_ngram_join(spark, docs, empty, block):
     rng = np.random.default_rng(2)
