@@ -1,39 +1,5 @@
-"""Connected components of a graph of edges, as joins and groupings."""
+"""Connected components, which lodestar.operators has."""
 
-from __future__ import annotations
+from lodestar.operators.components import connect
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from lodestar.session import materialize
-
-ROUNDS = 60
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def connect(edges: DataFrame) -> DataFrame:
-    """(u, root) for every node of edges (u, v): root is the least node of its component.
-
-    Every round ties the neighbours of a node that are larger than it to the least of them (large star), then those that
-    are smaller (small star), until nothing changes; each round is written to the shared folder, so a lost executor costs
-    one round. The number of rounds grows with the logarithm of the longest path. Nothing is collected but a checksum.
-    """
-    pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs = materialize(pairs, "components")
-    before = _state(pairs)
-    for _ in range(ROUNDS):
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        ties = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialize(lowest.select("u", F.col("m").alias("v")).unionByName(ties).where("u <> v").distinct(), "components")
-        now = _state(pairs)
-        if now == before:
-            return pairs.select("u", F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())
-        before = now
-    raise RuntimeError("the components did not settle")
+__all__ = ["connect"]

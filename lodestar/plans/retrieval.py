@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import coverage_idf, dot, significant_terms
+from lodestar.operators.components import connect
 from lodestar.operators.lexical import bm25, query_terms, top
 from lodestar.registry import query, table
+from lodestar.session import materialize
 
 POOL, LIMIT = 50, 10
 
@@ -136,6 +141,58 @@ def near_dup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("score >= 0.97")
 
 
+#: Least cosine of near-duplicate vectors; vectors that one task compares with as many others.
+NEAR, VECTOR_BLOCK = 0.97, 2000
+
+
+def _near_links(table: pa.Table) -> pa.Table:
+    """(u, v) for one pair of blocks: each vector with the least of its component by the near pairs of first and second."""
+    left, right = (table.filter(pc.equal(table["side"], s)) for s in (0, 1))
+    u, v = (t["node"].to_numpy() for t in (left, right))
+    found_u, found_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(u) and len(v):
+        a, b = (np.array(t["embedding"].to_pylist(), np.float64) for t in (left, right))
+        for lo in range(0, len(u), 256):
+            i, j = np.nonzero(np.round(a[lo : lo + 256] @ b.T, 6) >= NEAR)
+            found_u.append(u[lo + i])
+            found_v.append(v[j])
+    nodes, at = np.unique(np.concatenate([*found_u, *found_v]), return_inverse=True)
+    i, j = np.split(at, 2)
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        np.minimum.at(label, i, before[j])
+        np.minimum.at(label, j, before[i])
+        label = label[label]
+    tied = nodes[label] != nodes
+    return pa.table({"u": pa.array(nodes[tied], pa.int64()), "v": pa.array(nodes[label][tied], pa.int64())})
+
+
+def near_vector_groups(vectors: DataFrame, block: int = VECTOR_BLOCK) -> DataFrame:
+    """(vec_id, group) of all rows (vec_id, embedding): the least id of its component by cosines of .97 or more.
+
+    Exact over all pairs: equal vectors are one class, classes are dealt to blocks, every pair of blocks is compared by
+    one task. The work grows with the square of the number of distinct vectors; no pair of equal vectors is made.
+    """
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", "embedding")
+    classes = materialize(rows.groupBy("embedding").agg(F.min("vec_id").alias("node")), "vector-classes")
+    blocks = max(1, -(-classes.count() // block))
+    dealt = classes.select("node", "embedding", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("b"))
+    each = F.lit(blocks - 1)
+    first = dealt.select("node", "embedding", F.col("b").alias("x"), F.explode(F.sequence(F.col("b"), each)).alias("y"), F.lit(0).alias("side"))
+    second = dealt.select("node", "embedding", F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"))
+    links = first.unionByName(second).groupBy("x", "y").applyInArrow(_near_links, "u long, v long")
+    roots = connect(links).select(F.col("u").alias("node"), "root")
+    named = classes.join(roots, "node", "left").select("embedding", F.coalesce("root", "node").alias("group"))
+    return rows.join(named, "embedding").select("vec_id", "group")
+
+
+@query("near_dup_vector_groups")
+def near_dup_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector and its group of near-duplicates, over all pairs of vectors (near_dup_vectors has only the query set's)."""
+    return near_vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query("novelty", f"WITH {_KNN} SELECT query, round(avg(sqrt(greatest(0.0, 2 - 2 * score))), 6) AS novelty FROM near WHERE rank <= 5 GROUP BY query")
 def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean distance to the five nearest other vectors."""

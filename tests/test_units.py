@@ -1,6 +1,7 @@
 """Operators on small tables."""
 
 import json
+import math
 
 import pandas as pd
 import pytest
@@ -12,6 +13,7 @@ from lodestar.operators.chunking import chunks
 from lodestar.operators.ranking import mmr
 from lodestar.plans.graph import supersede_tips
 from lodestar.plans.health import similar_pairs
+from lodestar.plans.retrieval import near_vector_groups
 from lodestar.sources import sinks, vault
 from lodestar.streaming import ingest
 
@@ -68,6 +70,15 @@ def test_chains_are_followed_to_their_ends(spark, tmp_path):
         graph.chain_tips(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node long, next long"))
 
 
+def test_near_vectors_of_any_ids_are_grouped(spark):
+    at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
+    rows = [(1, at(0)), (2, at(10)), (3, at(20)), (7, at(60)), (8, at(60)), (51, at(120)), (99, at(200))]  # cos 10 degrees is .985, cos 20 is .94
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 51: 51, 99: 99}
+    for block in (2000, 2):
+        assert {r.vec_id: r.group for r in near_vector_groups(table, block).collect()} == want
+
+
 def test_pages_and_logs(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text('---\ntitle: "A b"\ntags: [x, y]\n---\n# Body\n')
