@@ -60,6 +60,25 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(shared, "query", "shared", "doc", 5).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    "trigram_term_candidates",
+    r"""WITH t AS (SELECT DISTINCT item_id AS query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM benchmark),
+    q AS (SELECT DISTINCT query, unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i + 2])) AS g FROM t WHERE length(w) >= 3),
+    d AS (SELECT DISTINCT conv_id, turn, g FROM (SELECT conv_id, turn, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(text)[i:i + 2])) AS g FROM conversations) WHERE g IN (SELECT g FROM q)),
+    m AS (SELECT query, conv_id, turn, count(*) AS shared FROM q JOIN d USING (g) GROUP BY ALL)
+    SELECT query, conv_id, turn, shared, row_number() OVER (PARTITION BY query ORDER BY shared DESC, conv_id, turn) AS rank FROM m QUALIFY rank <= 5""",
+)
+def trigram_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five turns that share most trigrams with all terms of each query (trigram_candidates has those of its beginning)."""
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 3)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.flatten(F.transform(words, grams))).alias("g")).distinct()
+    turns = table(spark, sf_dir, "conversations").where(F.length(F.lower("text")) >= 3).select(F.struct("conv_id", "turn").alias("doc"), F.lower("text").alias("t"))
+    d = turns.select("doc", F.explode(F.array_distinct(grams(F.col("t")))).alias("g")).join(q.select("g").distinct(), "g", "left_semi").distinct()
+    shared = q.join(d, "g").groupBy("query", "doc").agg(F.count("*").alias("shared"))
+    return top(shared, "query", "shared", "doc", 5).select("query", "doc.conv_id", "doc.turn", "shared", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     "query_intents",
     r"""WITH u AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations WHERE role = 'user'),

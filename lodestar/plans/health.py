@@ -84,6 +84,19 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("members")).where("members >= 2").drop("key")
 
 
+@query(
+    "duplicate_documents",
+    """WITH k AS (SELECT doc_id, md5(coalesce(lang, '') || '|' || lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')))) AS key FROM documents)
+    SELECT min(doc_id) AS canonical, count(*) AS members FROM k GROUP BY key HAVING count(*) >= 2""",
+)
+def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of two or more rows of one language and whole normalised text (duplicate_candidates has its first forty characters)."""
+    whole = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r]+", " ")))
+    key = F.md5(F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), whole).cast("binary"))
+    k = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
+    return k.groupBy("key").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("members")).where("members >= 2").drop("key")
+
+
 @query(
     "retention_review",
     """WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS applied, count(*) FILTER (WHERE event_type = 'error') AS violated, (epoch(TIMESTAMP '2024-02-01') - epoch(max(ts))) / 86400 AS age FROM events GROUP BY user_id)

@@ -11,8 +11,9 @@ from lodestar.functions import scalars as S
 from lodestar.operators import graph
 from lodestar.operators.chunking import chunks
 from lodestar.operators.ranking import mmr
+from lodestar.plans.evidence import trigram_term_candidates
 from lodestar.plans.graph import supersede_tips
-from lodestar.plans.health import similar_pairs
+from lodestar.plans.health import duplicate_documents, similar_pairs
 from lodestar.plans.retrieval import near_vector_groups
 from lodestar.sources import sinks, vault
 from lodestar.streaming import ingest
@@ -79,6 +80,18 @@ def test_near_vectors_of_any_ids_are_grouped(spark):
         assert {r.vec_id: r.group for r in near_vector_groups(table, block).collect()} == want
 
 
+def test_duplicates_and_trigrams_use_whole_texts(spark, tmp_path):
+    head = "one opening that is longer than forty characters, "
+    docs = [(1, None, head + "a"), (2, None, head + "b"), (3, None, head + " A"), (4, "en", head + "a")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in duplicate_documents(spark, str(tmp_path)).collect()] == [(1, 2)]
+    spark.createDataFrame([(1, "the beginning and then zebra"), (2, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    turns = [(1, 150, "a zebra"), (2, 50, "zebr")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = sorted((r["query"], r.conv_id, r.turn, r.shared, r["rank"]) for r in trigram_term_candidates(spark, str(tmp_path)).collect())
+    assert found == [(1, 1, 150, 3, 1), (1, 2, 50, 2, 2), (2, 1, 150, 3, 1), (2, 2, 50, 2, 2)]
+
+
 def test_pages_and_logs(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text('---\ntitle: "A b"\ntags: [x, y]\n---\n# Body\n')
