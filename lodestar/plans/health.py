@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import jaccard, word_set
-from lodestar.registry import query, table
+from lodestar.registry import ORACLES, query, table
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}_-]+'), lambda w: length(w) > 1))"
 
@@ -51,7 +51,10 @@ def lexical_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("note_contradictions", f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.6 AND (len(list_intersect(regexp_split_to_array(lower(ta), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0) <> (len(list_intersect(regexp_split_to_array(lower(tb), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0)")
 def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns alike of which one negates and the other doesn't."""
-    rows = _turns(spark, sf_dir)
+    return _contradicting(_turns(spark, sf_dir))
+
+
+def _contradicting(rows: DataFrame) -> DataFrame:
     markers = F.array(*[F.lit(w) for w in ("not", "nicht", "pas", "no")])
     stance = rows.select("id", F.arrays_overlap("words", markers).alias("no"))
     pairs = similar_pairs(rows, 0.6)
@@ -59,6 +62,44 @@ def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.where("na <> nb").select("a", "b", "similarity")
 
 
+def _turn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _turns, but a class's id is its least (conv_id, turn), so that no two classes share one."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    rows = rows.groupBy(F.coalesce("role", F.lit("")).alias("bucket"), "text").agg(F.min(F.struct("conv_id", "turn")).alias("id"))
+    return rows.withColumn("words", word_set(F.col("text")))
+
+
+def _flat(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a.conv_id").alias("a_conv"), F.col("a.turn").alias("a_turn"), F.col("b.conv_id").alias("b_conv"), F.col("b.turn").alias("b_turn"), "similarity")
+
+
+@query("turn_classes", "SELECT conv_id, turn, min(conv_id) OVER w AS rep_conv, first_value(turn) OVER (w ORDER BY conv_id, turn) AS rep_turn, count(*) OVER w AS members FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY coalesce(role, ''), text)")
+def turn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with the first of the turns of its role and text, and their number: the members behind near_dup_turns."""
+    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    rows = rows.select("conv_id", "turn", F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("|"), F.col("text")).cast("binary"), 256).alias("key"))
+    reps = rows.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("rep"), F.count("*").alias("members"))
+    return rows.join(reps, "key").select("conv_id", "turn", F.col("rep.conv_id").alias("rep_conv"), F.col("rep.turn").alias("rep_turn"), "members")
+
+
+def _by_turn(sql: str) -> str:
+    """The same SQL over classes named by (conv_id, turn)."""
+    named = sql.replace("min(conv_id * 100 + turn) AS id, role AS bucket", "min({'conv_id': conv_id, 'turn': turn}) AS id, coalesce(role, '') AS bucket").replace("GROUP BY role, text", "GROUP BY coalesce(role, ''), text")
+    return named.replace("SELECT a, b, round", "SELECT a['conv_id'] AS a_conv, a['turn'] AS a_turn, b['conv_id'] AS b_conv, b['turn'] AS b_turn, round")
+
+
+@query("near_dup_turns", _by_turn(ORACLES["lexical_near_dups"]))
+def near_dup_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As lexical_near_dups, with classes of equal turns named by (conv_id, turn); turn_classes has their members."""
+    return _flat(similar_pairs(_turn_classes(spark, sf_dir), 0.8))
+
+
+@query("turn_contradictions", _by_turn(ORACLES["note_contradictions"]))
+def turn_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As note_contradictions, with classes of equal turns named by (conv_id, turn); turn_classes has their members."""
+    return _flat(_contradicting(_turn_classes(spark, sf_dir)))
+
+
 @query(
     "concept_gaps",
     """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents), g AS (SELECT lower(term) AS term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1), c AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term FROM benchmark)

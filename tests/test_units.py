@@ -13,7 +13,7 @@ from lodestar.operators.chunking import chunks
 from lodestar.operators.ranking import mmr
 from lodestar.plans.evidence import trigram_term_candidates
 from lodestar.plans.graph import supersede_tips
-from lodestar.plans.health import duplicate_documents, similar_pairs
+from lodestar.plans.health import duplicate_documents, near_dup_turns, similar_pairs, turn_classes, turn_contradictions
 from lodestar.plans.retrieval import near_vector_groups
 from lodestar.sources import sinks, vault
 from lodestar.streaming import ingest
@@ -92,6 +92,18 @@ def test_duplicates_and_trigrams_use_whole_texts(spark, tmp_path):
     assert found == [(1, 1, 150, 3, 1), (1, 2, 50, 2, 2), (2, 1, 150, 3, 1), (2, 2, 50, 2, 2)]
 
 
+def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(20))
+    turns = [(1, 150, "user", words), (2, 50, "user", "other text"), (3, 1, "user", words), (4, 1, "user", words + " not"), (4, 2, "user", words + " more")]  # 1 * 100 + 150 is 2 * 100 + 50
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    near = {tuple(r)[:4] for r in near_dup_turns(spark, str(tmp_path)).collect()}
+    assert near == {(1, 150, 4, 1), (1, 150, 4, 2), (4, 1, 4, 2)}
+    against = {tuple(r)[:4] for r in turn_contradictions(spark, str(tmp_path)).collect()}
+    assert against == {(1, 150, 4, 1), (4, 1, 4, 2)}
+    members = {(r.conv_id, r.turn): (r.rep_conv, r.rep_turn, r.members) for r in turn_classes(spark, str(tmp_path)).collect()}
+    assert members == {(1, 150): (1, 150, 2), (3, 1): (1, 150, 2), (2, 50): (2, 50, 1), (4, 1): (4, 1, 1), (4, 2): (4, 2, 1)}
+
+
 def test_pages_and_logs(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text('---\ntitle: "A b"\ntags: [x, y]\n---\n# Body\n')
