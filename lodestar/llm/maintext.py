@@ -1,195 +1,364 @@
-"""Main text of web pages: the contiguous region of the highest score, words counting for it and tags against."""
+"""Main text of web pages: the contiguous region of the highest score, words counting for it and tags against.
+
+A page is a row of tags and texts. A word scores by the elements that it is in, a tag by how often it stands outside of
+main text; both weights are fitted to labelled pages. One linear scan gives the stretches of the greatest sums: the best is
+the main text, together with those that come near it. The same scan over the negated scores of such a stretch finds what
+speaks against it, an advert between two paragraphs, say, and its words go. Nothing else leaves a text out.
+"""
 
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.chunktable import slices
-
-#: Labelled pages that weights are fitted on (the bound of the sample).
-TRAIN_PAGES = 400
-LEAST, LEAST_INLINE = 1.5, 0.3
-
-# Elements without text of their own, elements that never hold main text, elements that end a block.
-RAW = "script style noscript template title svg math iframe object canvas audio video textarea select option head"
-ASIDE = frozenset("nav header footer aside form button dialog menu".split())
-BLOCK = frozenset("p div section article main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr pre blockquote figure figcaption hr address details summary fieldset".split()) | ASIDE
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer "
-    "header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments respond reply replies disqus pagination pager widget toolbar search skip hidden".split()
+from lodestar.llm.columns import map_column, quoted
+
+#: Labelled pages that weights are fitted on, and kinds of places in them (the bounds of the sample).
+TRAIN_PAGES, PLACES = 400, 5000
+#: Class and id names that get a weight of their own, the most frequent first.
+OWN_NAMES = 400
+#: Stretches of at least this share of the best one's score count as main text too.
+SHARE = 0.2
+#: A stretch that speaks against main text within it goes when its words score -CUT or less.
+CUT = 0.45
+#: Least and greatest score of a word. A few words that speak against a stretch must not part what surrounds them.
+WORST, BEST = -0.5, 1.5
+#: What a tag costs that always stands outside of main text; spread of a fitted weight around its prior.
+TAG_COST, SPREAD = 0.5, 1.0
+
+# Elements whose content isn't markup, elements whose text isn't shown, and the kinds of elements.
+RAW = "script style textarea title iframe xmp noembed noframes"
+SILENT = frozenset("head template svg math object canvas audio video select option datalist noscript".split())
+BLOCK = frozenset(
+    "p div section article main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr pre blockquote figure figcaption hr address details summary "
+    "fieldset nav header footer aside form button dialog menu".split()
+)
+VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
+INLINE = frozenset("b i em strong span u s small big font tt code kbd samp var sub sup abbr cite mark q label time a ins del bdi bdo dfn strike".split())
+GAP = frozenset("br td th img".split())
+#: An opening tag ends an open element of these kinds, up to the nearest of the others.
+ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+ENDS = {tag: (frozenset(ended.split()), frozenset(up_to.split())) for tag, (ended, up_to) in ENDS.items()}
+# Words for what stands around a main text, and words that say nothing about it, in class and id names.
+AROUND = frozenset(
+    "ad advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb sidebar aside footer header masthead cookie consent gdpr "
+    "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment respond reply disqus pagination pager widget toolbar "
+    "search skip hidden".split()
 )
+NEUTRAL = frozenset("box block section wrapper wrap container area list item bar main site page top bottom left right inner outer global unit slot zone group button link post content form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(x for x in RAW.split() if x != "head") + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
-_SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
-
-
-def _is_aside(tag: str, attributes: str) -> bool:
-    """Whether an element is one of those around the main text, by its tag, its names or its role."""
-    if tag in ASIDE:
-        return True
-    if not attributes or tag in ("html", "body", "main", "article"):
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and any(w.lower() in NAMES for w in _SPLIT.split(value)):
-            return True
-    return False
-
-
-@dataclass
+#: Prior weights of the places that a word can be in. "word" holds everywhere.
+PRIOR = {
+    "word": 1.0, "p": 0.5, "main": 0.5, "link": -0.4, "heading": 0.3, "nav": -3.0, "footer": -3.0, "aside": -3.0, "menu": -3.0, "dialog": -3.0, "button": -3.0, "form": -2.5,
+    "header": -3.0, "named": -3.0, "role": -3.0, "hidden": -5.0, "silent": -6.0,
+}
+HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
+
+_QUOTED = r"""(?:[^>"']|"[^"]{0,65536}"|'[^']{0,65536}')*+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b(?:{_QUOTED}|[^>]*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)(?:({_QUOTED})|([^>]*))>|<[!?/][^>]*>", re.S | re.I)
+_ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+_PARTS = re.compile(r"[_\-]+|(?<=[a-z])(?=[A-Z])")
+
+
+def _around(name: str) -> bool:
+    """Whether a class or id name as a whole is one of something around the main text: "site-header", but not "with-header"."""
+    parts = [p.lower() for p in _PARTS.split(name) if p]
+    known = [any(x in AROUND for x in (p, p.removesuffix("s"))) for p in parts]
+    return any(known) and all(k or p in NEUTRAL or p.removesuffix("s") in NEUTRAL for k, p in zip(known, parts, strict=True))
+
+
+def _places(tag: str, attributes: str, above: frozenset[str]) -> set[str]:
+    """What an element adds to the places of the words in it."""
+    found = {tag} if tag not in INLINE and tag not in ("html", "body", "article", "div", "section", *HEADINGS) else set()
+    if tag in SILENT:
+        found = {"silent"}
+    elif tag == "a":
+        found.add("link")
+    elif tag in HEADINGS:
+        found.add("heading")
+    elif tag == "header" and "in-article" in above:
+        found = set()  # the article's own
+    elif tag == "article":
+        found.add("in-article")
+    elif tag == "main":
+        found.add("in-article")
+    if attributes:
+        for name, value in _ATTRIBUTE.findall(attributes):
+            name, value = name.lower(), value.strip("\"'")
+            if name in ("class", "id"):
+                for v in value.split():
+                    found.add(f".{v}")
+                    if _around(v) and tag not in ("html", "body", "main", "article"):
+                        found.add("named")
+            elif name == "role" and value.lower() in ROLES:
+                found.add("role")
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
+                found.add("hidden")
+    return found
+
+
+@dataclass(slots=True)
 class Run:
-    """A piece of a page in order: a tag (its feature, whether it ends a block), or text (where it stands)."""
+    """A piece of a page in order: a text, or a tag (text is None) that may end a block, with the places that it is in."""
 
-    feature: str
-    text: str = ""
-    ends_block: bool = False
+    tag: str
+    text: str | None = None
+    places: frozenset[str] = frozenset()
     inside: bool = False
 
 
 def runs(page: str) -> Iterator[Run]:
-    """Tags and texts of a page. Features of a text: "word", or "link" within a link; "aside": all of an element around the main text."""
-    stack: list[tuple[str, bool]] = []
-    asides = links = articles = at = 0
-    for m in _TOKEN.finditer(page):
+    """Tags and texts of a page. inside: whether it is in an article element, which labels a page; no place tells it."""
+    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
+    known: dict[tuple, frozenset[str]] = {}
+    at, stop = 0, page.rfind(">") + 1
+    for m in _TOKEN.finditer(page, 0, stop):
         if m.start() > at:
-            yield Run("aside" if asides else "link" if links else "word", page[at : m.start()], inside=articles > 0)
+            yield Run("", page[at : m.start()], stack[-1][1], stack[-1][2])
         at = m.end()
-        if m[3] is None:  # a comment, a declaration, or an element that goes with its content
+        if m[3] is None:  # a comment, a declaration, or an element whose content isn't text
             if m[1]:
-                yield Run("<raw>", inside=articles > 0)
+                yield Run(m[1].lower(), None, stack[-1][1], stack[-1][2])
             continue
-        tag, within = m[3].lower(), asides
+        tag, attributes = m[3].lower(), m[4] if m[4] is not None else m[5]
         if m[2]:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    open_tag, was = stack.pop()
-                    asides -= was
-                    links -= open_tag == "a"
-                    articles -= open_tag == "article"
-                    if open_tag == tag:
-                        break
-        elif tag not in VOID and not m[4].endswith("/"):
-            if tag == "a" and links or tag in ("p", "b", "i", "em", "strong", "span"):
-                pass  # often left open; nothing hangs on them
-            else:
-                was = _is_aside(tag, m[4])
-                stack.append((tag, was))
-                asides += was
-                links += tag == "a"
-                articles += tag == "article"
-        yield Run("aside" if within or asides else f"<{tag}>", ends_block=tag in BLOCK, inside=articles > 0 or (bool(m[2]) and tag == "article"))
+            _, places, inside = stack[-1]
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == tag:
+                    del stack[depth:]
+                    break
+                if tag in INLINE and stack[depth][0] in BLOCK:
+                    break  # an inline element's end ends no block
+            yield Run(tag, None, places, inside)
+            continue
+        if tag in ENDS:
+            ended, up_to = ENDS[tag]
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] in ended:
+                    del stack[depth:]
+                    break
+                if stack[depth][0] in up_to:
+                    break
+        elif tag in BLOCK:
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] in ("p", "head"):
+                    del stack[depth:]
+                    break
+                if stack[depth][0] not in INLINE:
+                    break
+        _, places, inside = stack[-1]
+        if tag == "a":  # no link within a link: the open one ends
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == "a":
+                    del stack[depth:]
+                    _, places, inside = stack[-1]
+                    break
+                if stack[depth][0] in BLOCK:
+                    break
+        inside = inside or tag == "article"
+        yield Run(tag, None, places, inside)
+        if tag not in VOID and not (attributes.endswith("/") and tag in SILENT):
+            key = (places, tag, attributes)
+            if key not in known:
+                known[key] = places | _places(tag, attributes, places)
+            stack.append((tag, known[key], inside))
     if at < len(page):
-        yield Run("aside" if asides else "link" if links else "word", page[at:], inside=articles > 0)
+        yield Run("", page[at:], stack[-1][1], stack[-1][2])
+
+
+def size_of(text: str) -> int:
+    """Words of a text; one without spaces counts by its length."""
+    words = len(text.split())
+    return max(words, len(text) // 20) if words else 0
 
 
 @dataclass
 class Weights:
-    """Scores of a word by where it stands, and of tags; tags that the labelled pages lack score `other`.
+    """Scores of a word by the places that it is in (the sum of theirs), and of tags; other tags score `other`."""
 
-    Elements around the main text are left out of it anyway, so that they cost little: one between two paragraphs must
-    not part them.
-    """
+    places: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
+    tags: dict[str, float] = field(default_factory=dict)
+    other: float = -TAG_COST / 4
+    known: dict[frozenset, float] = field(default_factory=dict, repr=False, compare=False)
 
-    words: dict[str, float] = field(default_factory=lambda: {"word": 1.0, "link": 0.2, "aside": -0.02})
-    tags: dict[str, float] = field(default_factory=lambda: {f"<{t}>": -0.02 for t in "p br b i em strong h1 h2 h3 blockquote pre code".split()})
-    other: float = -1.0
+    def word(self, places: frozenset[str]) -> float:
+        if places not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            found = [self.places["word"], *(self.places.get(p, 0.0) for p in places)]
+            self.known[places] = max(WORST, min(BEST, sum(v for v in found if v > 0)) + sum(v for v in found if v < 0))
+        return self.known[places]
 
+    def score(self, run: Run) -> float:
+        if run.text is None:
+            return self.tags.get(run.tag, self.other)
+        return size_of(run.text) * self.word(run.places)
 
-def fit(pages: list[str]) -> Weights:
-    """Weights from pages labelled by their one article element: log-odds that a word or tag lies inside it.
 
-    Plain words score at least a quarter. A tag scores at most -0.02 and at least -LEAST, an inline one -LEAST_INLINE: that
-    the sample's articles lack a tag must not split those that have it. Other pages are not labelled; without any, defaults.
+def observe(page: str) -> tuple[dict[str, list[int]], dict[str, list[int]]] | None:
+    """({places: [words outside, inside]}, {tag: [outside, inside]}) of a page that one article element labels, else None.
+
+    Tags in a place that speaks against main text by itself, such as the list of links in a menu, aren't counted.
+    """
+    words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    tags: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+    prior, articles = Weights(), 0
+    for r in runs(page):
+        articles += r.text is None and r.tag == "article"
+        if r.text is None:
+            if prior.word(r.places) > 0:
+                tags[r.tag][r.inside] += 1
+        elif n := size_of(r.text):
+            words[" ".join(sorted(r.places - {"in-article"}))][r.inside] += n
+    return (dict(words), dict(tags)) if articles == 2 and any(w[1] for w in words.values()) else None
+
+
+def fit(words: dict[str, list[int]], tags: dict[str, list[int]]) -> Weights:
+    """Weights from counts of labelled words and tags, outside and inside of main text. Without any, the prior ones.
+
+    Places: a logistic regression of whether a word is inside, with a normal prior around PRIOR (0 for a class or id name
+    and for other elements); inside and outside weigh the same. Tags: the share that stands outside, times -TAG_COST.
+    """
+    shares = {t: -TAG_COST * (out + 1) / (out + within + 4) for t, (out, within) in tags.items()}
+    total = [max(1, sum(w[k] for w in words.values())) for k in (0, 1)]
+    if not words:
+        return Weights(tags=shares)
+    often: dict[str, int] = defaultdict(int)
+    for place, (out, within) in words.items():
+        for p in place.split():
+            if p not in PRIOR:
+                often[p] += out + within
+    names = [*PRIOR, *sorted(often, key=lambda p: (-often[p], p))[:OWN_NAMES]]
+    column = {p: i for i, p in enumerate(names)}
+    x = np.zeros((len(words), len(names)))
+    x[:, 0] = 1.0
+    for row, place in enumerate(words):
+        for p in place.split():
+            if p in column:
+                x[row, column[p]] = 1.0
+    # As many observations as there are rows of either label at most, shared out by words.
+    seen = np.array([[out / total[0], within / total[1]] for out, within in words.values()]) * 40.0
+    prior = np.array([PRIOR.get(p, 0.0) for p in names])
+    w = prior.copy()
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (seen[:, 1] - seen.sum(1) * p) - (w - prior) / SPREAD**2
+        curve = (x * (seen.sum(1) * p * (1 - p))[:, None]).T @ x + np.eye(len(names)) / SPREAD**2
+        step = np.linalg.solve(curve, gradient)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return Weights({p: float(round(v, 6)) for p, v in zip(names, w, strict=True)}, shares)
+
+
+def stretches(scores: list[float]) -> list[tuple[int, int, float]]:
+    """All maximal stretches (begin, end, sum) of a row of scores, in order, by one scan.
+
+    A stretch is maximal when no part of it, and no larger one that holds it without falling below zero at an end, sums
+    to more. The scan keeps candidates with the sums before and after them; one that a new stretch outdoes is merged.
     """
-    inside: Counter = Counter()
-    outside: Counter = Counter()
-    for page in pages:
-        found = list(runs(page))
-        if sum(r.feature == "<article>" for r in found) != 2:
+    held: list[tuple[int, int, float, float]] = []  # begin, end, sum before it, sum up to its end
+    total = 0.0
+    for i, s in enumerate(scores):
+        before, total = total, total + s
+        if s <= 0:
             continue
-        for r in found:
-            (inside if r.inside else outside)[r.feature] += len(r.text.split()) if r.text else 1
-    if not inside:
-        return Weights()
-    odds = {f: math.log((inside[f] + 0.5) / (outside[f] + 0.5)) for f in inside | outside}
-    words = {"word": min(2.0, max(0.25, odds.get("word", 1.0))), "link": min(1.0, max(-2.0, odds.get("link", 0.2))), "aside": Weights().words["aside"]}
-    tags = {f: min(-0.02, max(-LEAST if f[1:-1] in BLOCK else -LEAST_INLINE, w)) for f, w in odds.items() if f[0] == "<"}
-    return Weights(words, Weights().tags | tags)
+        begin, left = i, before
+        while True:
+            j = len(held) - 1
+            while j >= 0 and held[j][2] >= left:
+                j -= 1
+            if j < 0 or held[j][3] >= total:
+                held.append((begin, i + 1, left, total))
+                break
+            begin, left = held[j][0], held[j][2]
+            del held[j:]
+    return [(a, b, right - left) for a, b, left, right in held]
 
 
 def main_text(page: str, weights: Weights) -> str:
-    """The blocks of the best region, joined by empty lines; "" where no word counts for any region.
-
-    One scan finds the region: a running sum of scores starts anew when it falls below zero, and the best sum so far is
-    kept with its ends. Within the region, texts of elements around the main text are left out.
-    """
+    """The blocks of the best stretch of the page and of those that come near it, joined by empty lines; "" without any."""
     found = list(runs(page))
-    best, best_ends, total, begin = 0.0, (0, 0), 0.0, 0
-    for i, r in enumerate(found):
-        score = len(r.text.split()) * weights.words[r.feature] if r.text else weights.words["aside"] if r.feature == "aside" else weights.tags.get(r.feature, weights.other)
-        if total <= 0:
-            total, begin = 0.0, i
-        total += score
-        if total > best:
-            best, best_ends = total, (begin, i + 1)
+    scores = [weights.score(r) for r in found]
+    regions = stretches(scores)
+    if not regions:
+        return ""
+    best = max(s for _, _, s in regions)
+    chosen = np.zeros(len(found), bool)
+    for a, b, s in regions:
+        if s >= SHARE * best:
+            chosen[a:b] = True
+            for x, y, _ in stretches([-v for v in scores[a:b]]):
+                if sum(scores[i] for i in range(a + x, a + y) if found[i].text is not None) <= -CUT:
+                    chosen[a + x : a + y] = False
     blocks, pieces = [], []
-    for r in [*found[slice(*best_ends)], Run("<end>", ends_block=True)]:
-        if r.text:
-            if r.feature != "aside":
+    for r, kept in zip([*found, Run("html")], [*chosen.tolist(), False], strict=True):
+        if r.text is not None:
+            if kept:
                 pieces.append(r.text)
-        elif r.ends_block:
+        elif r.tag in BLOCK:
             block = " ".join(html.unescape("".join(pieces)).split())
             if block:
                 blocks.append(block)
             pieces = []
-        elif r.feature in ("<br>", "<td>", "<th>", "<img>"):
+        elif r.tag in GAP:
             pieces.append(" ")
     return "\n\n".join(blocks)
 
 
+_SEEN = "page long, tag boolean, place string, out long, within long"
+
+
 def fit_pages(pages: DataFrame, key: str = "page_id", source: str = "html", most: int = TRAIN_PAGES) -> Weights:
-    """Weights from at most `most` pages, chosen by a hash of their key."""
-    labelled = pages.where(F.col(source).contains("<article")).select(source, F.xxhash64(key).alias("h"))
-    return fit([r[0] for r in labelled.orderBy("h", source).limit(most).collect()])
+    """Weights from at most `most` keys' pages, chosen by a hash of the key; pages that no article element labels don't count.
+
+    Tasks count words and tags by place, Spark adds them up, and at most PLACES sums come to the driver. Rows of one key
+    count once.
+    """
+    hashed = F.xxhash64(quoted(key))
+    last = pages.select(hashed.alias("h")).distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    if last is None:
+        return Weights()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = observe(page)
+                if seen:
+                    rows = [{"page": h, "tag": tag, "place": place, "out": n[0], "within": n[1]} for tag, part in zip((False, True), seen, strict=True) for place, n in part.items()]
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("page", pa.int64()), ("tag", pa.bool_()), ("place", pa.string()), ("out", pa.int64()), ("within", pa.int64())]))
+
+    sample = pages.select(hashed.alias("h"), quoted(source).alias("html")).where((F.col("h") <= last) & F.col("html").contains("<article"))
+    once = sample.mapInArrow(count, _SEEN).groupBy("page", "tag", "place").agg(F.min("out").alias("out"), F.min("within").alias("within"))
+    sums = once.groupBy("tag", "place").agg(F.sum("out").alias("out"), F.sum("within").alias("within"))
+    told = sums.orderBy(F.desc(F.col("out") + F.col("within")), "tag", "place").limit(PLACES).collect()
+    return fit(*[{r["place"]: [r["out"], r["within"]] for r in told if r["tag"] == tag} for tag in (False, True)])
 
 
 def extract(pages: DataFrame, weights: Weights, source: str = "html", text: str = "text") -> DataFrame:
-    """pages with the main text of every whole page; null html is empty. An existing column named as the output is replaced."""
-    kept = [c for c in pages.columns if c != text]
-    schema = T.StructType([*[pages.schema[c] for c in kept], T.StructField(text, T.StringType())])
+    """pages with the main text of every whole page. All other columns stay; one named as the output is replaced.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(batch.num_columns - 1)):
-                part = batch.slice(a, b - a)
-                found = [main_text(p, weights) for p in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.string())], names=schema.names)
+    Null and empty html give an empty text, as does a page without a word that speaks for any stretch; rows that repeat
+    give equal texts; of stretches with equal sums all count; a table without rows gives none.
+    """
+
+    def run(part: pa.Array) -> list[pa.Array]:
+        return [pa.array([main_text(p, weights) for p in part.to_pylist()], pa.string())]
 
-    return pages.select(*kept, F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("__html")).mapInArrow(run, schema)
+    return map_column(pages, F.coalesce(quoted(source), F.lit("")), [T.StructField(text, T.StringType())], run)
 
 
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages: their main text."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    weights = fit_pages(pages)
-    slim = pages.select("page_id", "url", F.col("html").alias("source"))
-    done = extract(slim, weights, source="source").select("page_id", "url", "text")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    done = extract(pages, fit_pages(pages)).select("page_id", "url", "text")
     return done.withColumn("n_chars", F.length("text").cast("long"))

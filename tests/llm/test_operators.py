@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, flac, idfiles, imatch, langid, maintext, media, ngram_join, packing, pieces, prefixtree, shingles, token_output, toxicity
+from lodestar.llm import chat, flac, idfiles, imatch, langid, media, ngram_join, packing, pieces, prefixtree, shingles, token_output, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(WORDS[(i * 7 + i // 3) % 20] + str(i % 50) for i in range(900))
@@ -145,23 +145,6 @@ def test_perfect_hash():
     assert (starts == -1).all()
 
 
-def test_main_text():
-    page = """<html><head><title>T</title></head><body class="has-header"><div id="cookie-notice">We use cookies here</div><nav><a href=a>Home</a></nav>
-    <div class="main"><h1>Head &amp; line</h1><p>First paragraph with <a href=x>some links</a> and&nbsp;more words.</p><div class="share">tweet this</div><p>Second\n one.<script>var x = "<p>";</script></div>
-    <div class="comments"><p>I liked this very much indeed, said a reader.</p></div><form><input> Subscribe please</form></body>"""
-    assert maintext.main_text(page, maintext.Weights()) == "Head & line\n\nFirst paragraph with some links and more words.\n\nSecond one."
-    for odd in ("", "<", "<p", "&amp;lt;", "<!-- x", "<script>x", "</p></div>", "<nav>a b</nav>"):
-        maintext.main_text(odd, maintext.Weights())
-    assert maintext.main_text("<nav>a b c</nav>", maintext.Weights()) == ""
-    labelled = "<html><nav><ul><li>x</li></ul></nav><article><h1>a b</h1><p>c d e f g</p></article><footer>h</footer></html>"
-    assert maintext.main_text(labelled, maintext.fit([labelled] * 3)) == "a b\n\nc d e f g"
-
-
-def test_main_text_of_a_table(spark, empty):
-    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p>a b</p>")], "page_id long, html string")
-    assert [r.text for r in maintext.extract(pages, maintext.fit_pages(pages)).orderBy("page_id").collect()] == ["", "", "a b"]
-
-
 def test_language(spark, docs, empty):
     rng = np.random.default_rng(0)
     word = {"xx": "lorem ipsum dolor sit amet consectetur".split(), "yy": "вода огонь земля воздух небо".split()}
