@@ -264,25 +264,32 @@ def stretches(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal stretches (begin, end, sum) of a row of scores, in order, by one scan.
 
     A stretch is maximal when no part of it, and no larger one that holds it without falling below zero at an end, sums
-    to more. The scan keeps candidates with the sums before and after them; one that a new stretch outdoes is merged.
+    to more. The scan keeps candidates with the sums before and after them, each with the nearest one to its left that
+    begins lower; a candidate that a new stretch outdoes is merged into it.
     """
-    held: list[tuple[int, int, float, float]] = []  # begin, end, sum before it, sum up to its end
+    begins: list[int] = []
+    ends: list[int] = []
+    befores: list[float] = []
+    afters: list[float] = []
+    lower: list[int] = []  # place of the nearest candidate to the left with a smaller sum before it, else -1
     total = 0.0
     for i, s in enumerate(scores):
         before, total = total, total + s
         if s <= 0:
             continue
-        begin, left = i, before
+        begin, left, j = i, before, len(begins) - 1
         while True:
-            j = len(held) - 1
-            while j >= 0 and held[j][2] >= left:
-                j -= 1
-            if j < 0 or held[j][3] >= total:
-                held.append((begin, i + 1, left, total))
+            while j >= 0 and befores[j] >= left:
+                j = lower[j]
+            if j < 0 or afters[j] >= total:
                 break
-            begin, left = held[j][0], held[j][2]
-            del held[j:]
-    return [(a, b, right - left) for a, b, left, right in held]
+            begin, left, outer = begins[j], befores[j], lower[j]
+            for kept in (begins, ends, befores, afters, lower):
+                del kept[j:]
+            j = outer
+        for kept, value in zip((begins, ends, befores, afters, lower), (begin, i + 1, left, total, j), strict=True):
+            kept.append(value)
+    return [(a, b, y - x) for a, b, x, y in zip(begins, ends, befores, afters, strict=True)]
 
 
 def main_text(page: str, weights: Weights) -> str:
