@@ -23,12 +23,13 @@ class ChunkTable:
     """ids of texts from ids of distinct chunks.
 
     encode: list of strings -> (their ids one after another, number of ids of each). irregular: RE2 pattern of texts that
-    must be encoded whole, None if every text can be cut at every space. prepare: a change of texts that doesn't change
-    their ids. When the table would hold over `rows` chunks, those go that only one slice of rows has asked for.
+    must be encoded whole, None if every text can be cut at every space. prepare: a change of the other texts that doesn't
+    change their ids. lead: what goes before each chunk but the first of a text. When the table would hold over `rows`
+    chunks, those go that only one slice of rows has asked for.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Ids], irregular: str | None, rows: int = TABLE_ROWS, prepare: Callable[[pa.Array], pa.Array] = lambda texts: texts):
-        self.encode_batch, self.irregular, self.limit, self.prepare = encode, irregular, rows, prepare
+    def __init__(self, encode: Callable[[list[str]], Ids], irregular: str | None, rows: int = TABLE_ROWS, prepare: Callable[[pa.Array], pa.Array] = lambda texts: texts, lead: str = ""):
+        self.encode_batch, self.irregular, self.limit, self.prepare, self.lead = encode, irregular, rows, prepare, lead
         self._clear()
 
     def _clear(self) -> None:
@@ -71,12 +72,16 @@ class ChunkTable:
         return rows
 
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        parts = pc.split_pattern(texts, " ")
+        parts = pc.split_pattern(self.prepare(texts), " ")
         bounds = np.asarray(parts.offsets, np.int64)
         bounds = bounds - bounds[0]
         coded = parts.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
         first = bounds[:-1]
+        if self.lead:  # a text's first chunk stands without it, after all that are led
+            opening, place = np.unique(at[first], return_inverse=True)
+            at[first] = len(words) + place
+            words = [self.lead + w for w in words] + [words[i] for i in opening]
         at = self._rows(words)[at]
         counts = self.counts[at]
         ends = np.cumsum(counts)
@@ -87,7 +92,7 @@ class ChunkTable:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of ids of each text); a null text counts as empty."""
-        texts = self.prepare(pc.fill_null(texts.cast(pa.large_string()), ""))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = np.asarray(pc.match_substring_regex(texts, self.irregular)) if self.irregular else np.zeros(len(texts), bool)
         if not odd.any():
             return self._regular(texts)
@@ -182,8 +187,9 @@ def joined_encoder(tokenizer) -> Callable[[list[str]], Ids]:
     return run
 
 
-#: A lower-case word whose letters no normaliser changes.
-_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: A lower-case word whose letters no normaliser changes; a word, with a space before it or not, and signs after it.
+_SIMPLE_WORD = re.compile("([a-zß-öø-ÿ]+)()")
+_SIMPLE_BYTES = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Byte-level vocabularies show a byte as its Latin-1 character, except that these stand in for those without a sign.
 _SHOWN = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -197,16 +203,29 @@ def _as_words(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,])( |$)", r"\1 \2\3")
 
 
-def word_encoder(tokenizer) -> Callable[[list[str]], Ids]:
-    """Encodes chunks of a lower-casing tokenizer: simple words by its model alone, other chunks by the whole tokenizer."""
-    model, other = tokenizer.model, joined_encoder(tokenizer)
+def model_encoder(tokenizer, simple: re.Pattern, other: Callable[[list[str]], Ids]) -> Callable[[list[str]], Ids]:
+    """Encodes simple chunks, whose groups are the tokenizer's words, by its model alone, other chunks by `other`."""
+    model, known = tokenizer.model, {}
+
+    def word(w: str) -> list[int]:
+        shown = w.replace(" ", _SHOWN[32]) if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
+        return [t.id for t in model.tokenize(shown)]
+
+    def ids_of(found: re.Match) -> list[int]:
+        ids = word(found[1])
+        if end := found[2]:
+            if end not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                known[end] = word(end)
+            ids = ids + known[end]
+        return ids
 
     def run(chunks: list[str]) -> Ids:
-        simple = [_SIMPLE.fullmatch(c) is not None for c in chunks]
-        mask = np.array(simple, bool)
-        easy = [[t.id for t in model.tokenize(c.encode().decode("latin-1").translate(_SHOWN))] for c, ok in zip(chunks, simple, strict=True) if ok]
-        a, na = as_ids(easy)
-        hard = [c for c, ok in zip(chunks, simple, strict=True) if not ok]
+        found = [simple.fullmatch(c) for c in chunks]
+        mask = np.array([m is not None for m in found], bool)
+        a, na = as_ids([ids_of(m) for m in found if m is not None])
+        hard = [c for c, m in zip(chunks, found, strict=True) if m is None]
         b, nb = other(hard) if hard else as_ids([])
         counts = np.empty(len(chunks), np.int64)
         counts[mask], counts[~mask] = na, nb
@@ -217,46 +236,46 @@ def word_encoder(tokenizer) -> Callable[[list[str]], Ids]:
     return run
 
 
+#: White space next to a space: there the byte-level tokenizer's pieces don't begin at the space.
+_WHITE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _OPENED: dict[str, ChunkTable] = {}
 
 
-def word_table(name: str) -> ChunkTable:
-    """A chunk table over a tokenizers file that lowers case and drops white space; strings of special tokens are text."""
-    if name not in _OPENED:
-        import json
-        import os
+def _library(name: str):
+    """(the tokenizer of a file as it is, its description). Strings of its special tokens in a text become those tokens."""
+    import json
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(_path(name))
-        steps = [x["type"] for x in (json.loads(t.to_str())["normalizer"] or {}).get("normalizers", [])]
+    t = Tokenizer.from_file(_path(name))
+    return t, json.loads(t.to_str())
+
+
+def word_table(name: str) -> ChunkTable:
+    """A chunk table over a tokenizers file that lowers case and drops white space."""
+    if name not in _OPENED:
+        t, about = _library(name)
+        steps = [x["type"] for x in (about["normalizer"] or {}).get("normalizers", [])]
         if steps != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("the tokenizer doesn't lower case and drop white space")
-        t.encode_special_tokens = True
-        _OPENED[name] = ChunkTable(word_encoder(t), None, prepare=_as_words)
+        # Special tokens are found before case is lowered, so texts with anything like them go whole.
+        special = "|".join(re.escape(x["content"]) for x in about["added_tokens"])
+        _OPENED[name] = ChunkTable(model_encoder(t, _SIMPLE_WORD, joined_encoder(t)), f"(?i){special}" if special else None, prepare=_as_words)
     return _OPENED[name]
 
 
-_BYTE_LEVEL: dict[str, object] = {}
-
-
-def byte_encoder(name: str):
-    """A tiktoken encoding of a file of ranks; encode with encode_ordinary, which takes all of a text as text."""
-    if name not in _BYTE_LEVEL:
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(_path(name), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _BYTE_LEVEL[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _BYTE_LEVEL[name]
+def byte_table(name: str) -> ChunkTable:
+    """A chunk table over a byte-level tokenizers file: a lone space opens a chunk, which begins with it."""
+    if name not in _OPENED:
+        t, about = _library(name)
+        kind = about["pre_tokenizer"] or {}
+        if about["normalizer"] or kind.get("type") != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"] or any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in about["added_tokens"]):
+            raise ValueError("the tokenizer isn't a plain byte-level one")
 
+        def encode(chunks: list[str]) -> Ids:
+            return as_ids([x.ids for a in range(0, len(chunks), 2000) for x in t.encode_batch_fast(chunks[a : a + 2000], add_special_tokens=False)])
 
-def encode_bytes(name: str, texts: list[str]) -> Ids:
-    """(ids of all texts one after another, number of ids of each)."""
-    encoder = byte_encoder(name)
-    got = [encoder.encode_to_numpy(t, disallowed_special=()) for t in texts]
-    return np.concatenate(got).astype(np.uint16) if got else np.empty(0, np.uint16), np.fromiter(map(len, got), np.int64, len(got))
+        _OPENED[name] = ChunkTable(model_encoder(t, _SIMPLE_BYTES, encode), f"^ | $|{_WHITE} | {_WHITE}", lead=" ")
+    return _OPENED[name]

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm.chunktable import encode_bytes, slices
+from lodestar.llm.chunktable import byte_table, slices
+from lodestar.llm.columns import quoted
 from lodestar.session import materialize
 
-#: The ranks of byte_bpe_50k.json: the same vocabulary, and so the same ids, in less than half of the time.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE, END_ID = 2048, 1
 #: Buckets of a hashed document vector, axes that it is projected to, bits of an axis on the curve.
 BUCKETS, AXES, BITS = 256, 3, 10
@@ -76,7 +76,7 @@ def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
-                values, lengths = encode_bytes(tokenizer, part.column(1).to_pylist())
+                values, lengths = byte_table(tokenizer).encode(part.column(1))
                 at = coordinates(values, lengths)
                 values, lengths = np.insert(values, np.cumsum(lengths), end_id), lengths + 1
                 ends = np.cumsum(lengths)
@@ -84,7 +84,7 @@ def tokenize(docs: DataFrame, key: str, text: str, tokenizer: str, end_id: int)
                 ids = pa.array([raw[2 * (e - n) : 2 * e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths), ids, pa.array(list(at), pa.list_(pa.float64()))], ["doc_id", "n", "ids", "x"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(quoted(key).cast("long").alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("t"))
     return rows.mapInArrow(run, "doc_id long, n long, ids binary, x array<double>")
 
 
@@ -98,8 +98,9 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     of a stretch is short, and a stretch has millions of tokens.
 
     Returns doc_id, start (ids of the document before the piece), length, ids (little-endian 32 bits), doc_tokens,
-    sequence_id, offset (place in the sequence), hilbert. A null text is empty and gives a piece of end_id alone; null
-    and repeated keys are kept as rows of their own; no rows give no pieces.
+    sequence_id (2^32 times the stretch, and the number in it: in order along the curve, unique, not gapless), offset
+    (place in the sequence), hilbert. A null text is empty and gives a piece of end_id alone; null and repeated keys are
+    kept as rows of their own; other columns, whatever their names, aren't read; no rows give no pieces.
     """
     from statistics import NormalDist
 
@@ -118,7 +119,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at = TaskContext.get().partitionId() * (1 << 36) * length  # tokens of earlier sequences; a stretch has fewer
+        base, at = TaskContext.get().partitionId() << 32, 0  # the stretch's first sequence, and tokens of it so far
         for batch in batches:
             n = np.asarray(batch.column(1), np.int64)
             begin = at + np.cumsum(n) - n
@@ -135,7 +136,7 @@ def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", tok
                 ids = [np.frombuffer(raw[int(d)].as_buffer(), "<u2")[s:e].astype("<u4").tobytes() for d, s, e in zip(doc[cut], (lo - begin[doc])[cut], (hi - begin[doc])[cut], strict=True)]
                 some = pa.array(doc[cut])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(some), pa.array((lo - begin[doc])[cut]), pa.array((hi - lo)[cut]), pa.array(ids, pa.binary()), pa.array(n[doc][cut]), pa.array(sequence[cut]), pa.array((lo - sequence * length)[cut]), batch.column(3).take(some)],
+                    [batch.column(0).take(some), pa.array((lo - begin[doc])[cut]), pa.array((hi - lo)[cut]), pa.array(ids, pa.binary()), pa.array(n[doc][cut]), pa.array(base + sequence[cut]), pa.array((lo - sequence * length)[cut]), batch.column(3).take(some)],
                     ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "hilbert"],
                 )
 

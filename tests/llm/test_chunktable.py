@@ -5,10 +5,10 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestar.llm.chunktable import encode_bytes, slices, word_table
+from lodestar.llm.chunktable import byte_table, slices, word_table
 from lodestar.llm.pieces import open_model
 
-ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "\ta \n\n b\r\n", "x  y", "x 　y", "␞ ␞ a", "é ́a", "</s> <|endoftext|> a", "Ω ΑΣ ΑΣ. ς", "日本語 テキスト", "a▁b ▁▁ c", "a" * 5000, " .b 12 3's don't", "\x00 a\x1f b", "ﬁ Ⅳ ½", "🙂 a🙂 b"]
+ODD = ["", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "\ta \n\n b\r\n", "x  y", "x 　y", "␞ ␞ a", "é ́a", "</s> <|endoftext|> a", "a <|endoftext|> b", "a<|ENDOFTEXT|>b <|StartOfText|> c<|startoftext|>", "<|endoftext|>", "Ω ΑΣ ΑΣ. ς", "日本語 テキスト", "a▁b ▁▁ c", "a" * 5000, " .b 12 3's don't", "\x00 a\x1f b", "ﬁ Ⅳ ½", "🙂 a🙂 b"]
 TEXT = st.text(st.sampled_from("ab Z.,'12\n\t é▁ ́Σ日🙂"), max_size=60)
 
 
@@ -21,9 +21,7 @@ def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @settings(max_examples=80, deadline=None)
@@ -38,9 +36,8 @@ def test_words(texts):
 @given(texts=st.lists(TEXT, min_size=1, max_size=8))
 def test_bytes(texts):
     texts = texts + ODD
-    values, lengths = encode_bytes("byte_bpe_50k.tiktoken", texts)
     want = [x.ids for x in library("byte_bpe_50k.json").encode_batch(texts, add_special_tokens=False)]
-    assert [x.tolist() for x in np.split(values, np.cumsum(lengths)[:-1])] == want
+    assert ids_of(byte_table("byte_bpe_50k.json"), texts) == want
 
 
 @settings(max_examples=60, deadline=None)

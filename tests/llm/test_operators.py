@@ -34,9 +34,7 @@ def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def test_packing_covers_every_id_once(docs, empty):
@@ -58,6 +56,18 @@ def test_packing_covers_every_id_once(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_follows_the_curve(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH_TOKENS", 500)
+    words = [WORDS[:10], WORDS[10:]]
+    rows = [(i, " ".join(words[i % 2][(i + j * 3) % 10] for j in range(40)), "clash", 1) for i in range(60)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, "`doc.id` long, `the.text` string, ids string, n int"), "doc.id", "the.text", length=64).collect()
+    pieces.sort(key=lambda r: (r.sequence_id, r.offset))
+    assert len({r.sequence_id >> 32 for r in pieces}) > 3 and all(r.sequence_id >= 0 for r in pieces)
+    assert [r.hilbert for r in pieces] == sorted(r.hilbert for r in pieces)
+    kinds = [r.doc_id % 2 for r in pieces]  # documents of one vocabulary lie together: few changes along the curve
+    assert sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) < len(kinds) / 4
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([(x, y) for x in range(16) for y in range(16)])
     key = packing.hilbert_key(cells, 4)
