@@ -1,9 +1,10 @@
 """Token-id shard files with a minimal perfect hash index.
 
 A shard is two files. `<name>.ids`: 16 bytes of header (magic, width of an id in bytes, version), then the ids of its
-documents one after another, little-endian. `<name>.mph`: a minimal perfect hash of the document keys and, in hash order,
-a 32-bit fingerprint, the id offset and the id count of each; then the document ids in file order, to list a shard. A lookup hashes the key, finds one slot, compares
-the fingerprint and reads one range of the payload: constant time, whatever the number of documents.
+documents one after another, little-endian. `<name>.mph`: a minimal perfect hash of the document keys; in hash order a
+slot of 20 bytes for each (32-bit fingerprint, id offset, id count); then the document keys in file order, to list a
+shard. A lookup hashes the key, reads one slot, compares the fingerprint and reads one range of the payload: constant
+time, whatever the number of documents.
 
 The hash is built level by level. A level has a bit for about GAMMA keys; a key whose bit no other key wants is placed
 there, the others go on to the next level. The rank of a key's bit among all set bits is its slot.
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,59 +102,83 @@ def occurrences(ids: np.ndarray, null: np.ndarray) -> np.ndarray:
     return np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
 
 
+SLOT = np.dtype([("print", "<u4"), ("start", "<u8"), ("count", "<u8")])
+LISTED = np.dtype([("id", "<i8"), ("null", "u1")])
+
+
 def index_bytes(ids: np.ndarray, null: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> bytes:
-    """The .mph file of a shard whose documents are in sorted order."""
+    """The .mph file of a shard whose documents are in sorted order: head (with its checksum), slots, list, checksum of both."""
     keys = key_of(ids, occurrences(ids, null), null)
     h = PerfectHash.build(keys)
+    slots, listed = np.empty(len(keys), SLOT), np.empty(len(keys), LISTED)
     at = h.slot(keys)
-    order = np.empty(len(keys), np.int64)
-    order[at] = np.arange(len(keys))
-    out = [MAGIC_MPH, struct.pack("<QI", len(keys), len(h.bits))]
-    for b in h.bits:
-        out += [struct.pack("<Q", len(b)), np.packbits(b).tobytes()]
-    out += [fingerprint(keys)[order].astype("<u4").tobytes(), np.asarray(starts, "<u8")[order].tobytes(), np.asarray(counts, "<u8")[order].tobytes()]
-    out += [np.asarray(ids, "<i8").tobytes(), np.asarray(null, np.uint8).tobytes()]
-    body = b"".join(out)
-    return body + struct.pack("<I", zlib.crc32(body))
+    slots["print"][at], slots["start"][at], slots["count"][at] = fingerprint(keys), starts, counts
+    listed["id"], listed["null"] = ids, null
+    head = MAGIC_MPH + struct.pack(f"<QI{len(h.bits)}Q", len(keys), len(h.bits), *map(len, h.bits)) + b"".join(np.packbits(b).tobytes() for b in h.bits)
+    body = slots.tobytes() + listed.tobytes()
+    return head + struct.pack("<I", zlib.crc32(head)) + body + struct.pack("<I", zlib.crc32(body))
 
 
 class ShardIndex:
-    """A .mph file, read back."""
-
-    def __init__(self, data: bytes):
-        body, crc = data[:-4], struct.unpack("<I", data[-4:])[0]
-        if body[:4] != MAGIC_MPH or zlib.crc32(body) != crc:
-            raise ValueError("not an index file, or a damaged one")
-        n, levels = struct.unpack_from("<QI", body, 4)
-        at, bits = 16, []
-        for _ in range(levels):
-            (size,) = struct.unpack_from("<Q", body, at)
-            bits.append(np.unpackbits(np.frombuffer(body, np.uint8, (size + 7) // 8, at + 8))[:size])
-            at += 8 + (size + 7) // 8
-        self.hash, self.n = PerfectHash(bits), n
-        self.prints = np.frombuffer(body, "<u4", n, at)
-        self.starts = np.frombuffer(body, "<u8", n, at + 4 * n).astype(np.int64)
-        self.counts = np.frombuffer(body, "<u8", n, at + 12 * n).astype(np.int64)
-        self.ids = np.frombuffer(body, "<i8", n, at + 20 * n)
-        self.null = np.frombuffer(body, np.uint8, n, at + 28 * n).astype(bool)
+    """A .mph file, read by ranges: read(offset, bytes) gives bytes. Opening it reads the hash, a lookup its keys' slots."""
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        start = read(0, 16)
+        if start[:4] != MAGIC_MPH:
+            raise ValueError("not an index file")
+        self.n, levels = struct.unpack_from("<QI", start, 4)
+        sizes = struct.unpack(f"<{levels}Q", read(16, 8 * levels))
+        end = 16 + 8 * levels + sum((size + 7) // 8 for size in sizes)
+        head = read(0, end + 4)
+        if zlib.crc32(head[:-4]) != struct.unpack("<I", head[-4:])[0]:
+            raise ValueError("a damaged index file")
+        at, bits = 16 + 8 * levels, []
+        for size in sizes:
+            bits.append(np.unpackbits(np.frombuffer(head, np.uint8, (size + 7) // 8, at))[:size])
+            at += (size + 7) // 8
+        self.hash, self.slots_at = PerfectHash(bits), end + 4
+
+    def verify(self) -> None:
+        """Reads all slots and the list, and compares their checksum."""
+        size = self.n * (SLOT.itemsize + LISTED.itemsize)
+        body = self.read(self.slots_at, size + 4)
+        if zlib.crc32(body[:-4]) != struct.unpack("<I", body[-4:])[0]:
+            raise ValueError("a damaged index file")
+
+    def listing(self, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, whether they are null) of documents in file order."""
+        found = np.frombuffer(self.read(self.slots_at + self.n * SLOT.itemsize + begin * LISTED.itemsize, (end - begin) * LISTED.itemsize), LISTED)
+        return found["id"], found["null"].astype(bool)
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, count) of each key; start -1 for a key that the shard doesn't hold (wrong with probability 2^-32)."""
         at = self.hash.slot(keys)
-        safe = np.where(at < 0, 0, at)
-        if not self.n:
-            return np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        there = (at >= 0) & (self.prints[safe] == fingerprint(keys))
-        return np.where(there, self.starts[safe], -1), np.where(there, self.counts[safe], 0)
+        found = np.zeros(len(keys), SLOT)
+        if len(keys) * 8 > self.n:  # many keys: one read of all slots
+            slots = np.frombuffer(self.read(self.slots_at, self.n * SLOT.itemsize), SLOT)
+            found[at >= 0] = slots[at[at >= 0]]
+        else:
+            for i in np.flatnonzero(at >= 0):
+                found[i] = np.frombuffer(self.read(self.slots_at + int(at[i]) * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+        there = (at >= 0) & (found["print"] == fingerprint(keys))
+        return np.where(there, found["start"].astype(np.int64), -1), np.where(there, found["count"].astype(np.int64), 0)
+
+
+HEADER_BYTES = 16
 
 
 def header(width: int) -> bytes:
     return MAGIC_IDS + struct.pack("<IQ", width, 1)
 
 
-def read_ids(data: bytes) -> np.ndarray:
-    """The ids of a whole .ids file."""
-    if data[:4] != MAGIC_IDS:
+def read_ids(read: Callable[[int, int], bytes], start: int, count: int) -> np.ndarray:
+    """Ids of a .ids file from place `start` on, by one range of it."""
+    head = read(0, HEADER_BYTES)
+    if head[:4] != MAGIC_IDS:
         raise ValueError("not an id file")
-    width, _ = struct.unpack("<IQ", data[4:16])
-    return np.frombuffer(data, {2: "<u2", 4: "<u4"}[width], offset=16)
+    width, _ = struct.unpack("<IQ", head[4:16])
+    data = read(HEADER_BYTES + start * width, count * width)
+    if len(data) != count * width:
+        raise ValueError("an id file ends early")
+    return np.frombuffer(data, {2: "<u2", 4: "<u4"}[width])

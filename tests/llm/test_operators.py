@@ -129,18 +129,24 @@ def test_next_document(spark):
     assert got == {k: down[(i + 1) % len(down)][1] for i, (k, _) in enumerate(down)}
 
 
-def test_token_files(docs, empty, tmp_path):
+def test_token_files(spark, docs, empty, tmp_path):
     tok = library("word_bpe_49k.json")
-    want, start = [], 0
-    for k, t in sorted(plain(docs), key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
-        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
-        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-        start += len(ids)
-    manifest = token_output.write_token_files(docs, f"file://{tmp_path}/a")
-    got = [(r.key, r.start, r.n_ids, zlib.crc32(r.ids)) for r in token_output.read_token_files(manifest, f"file://{tmp_path}/a").collect()]
-    assert sorted(got, key=lambda r: r[1]) == want
+    coded = lambda t: np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+    hot = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(12, f"word{i} of many") for i in range(300)], "doc_id long, text string"))
+    manifest = token_output.write_token_files(hot, f"file://{tmp_path}/a", shard_chars=800)
+    assert manifest.count() > 8 and manifest.where("low <= 12 AND high >= 12").count() > 1  # one key's rows lie in several shards
+    got = sorted(((r.start, r.key, r.n_ids, bytes(r.ids)) for r in token_output.read_token_files(manifest, f"file://{tmp_path}/a").collect()), key=lambda r: r[0])
+    assert sorted(((k, ids) for _, k, _, ids in got), key=str) == sorted(((k, coded(t)) for k, t in plain(hot)), key=str)
+    assert [k for _, k, _, _ in got] == sorted((k for k, _ in plain(hot)), key=lambda k: (k is not None, k or 0))
+    assert [s for s, *_ in got] == np.cumsum([0, *(len(ids) // 4 for *_, ids in got)])[:-1].tolist()
+
+    asked = spark.createDataFrame([(k,) for k in (None, 12, 12, 0, 1, 15, -4, 10**15)], "doc_id long")
+    found = sorted(((r.start, r.key, r.n_ids, bytes(r.ids)) for r in token_output.lookup(manifest, f"file://{tmp_path}/a", asked).collect()), key=lambda r: r[0])
+    assert found == [r for r in got if r[1] in (None, 12, 0, 15)]  # absent keys give nothing
+
     none = token_output.write_token_files(empty, f"file://{tmp_path}/b")
     assert token_output.read_token_files(none, f"file://{tmp_path}/b").count() == 0
+    assert token_output.lookup(none, f"file://{tmp_path}/b", asked).count() == 0
 
 
 def test_perfect_hash():
@@ -148,11 +154,18 @@ def test_perfect_hash():
     h = idfiles.PerfectHash.build(keys)
     assert sorted(h.slot(keys)) == list(range(5000))
     ids, null = np.arange(0, 3000, 3), np.zeros(1000, bool)
-    index = idfiles.ShardIndex(idfiles.index_bytes(ids, null, ids * 10, ids + 1))
+    data, reads = idfiles.index_bytes(ids, null, ids * 10, ids + 1), []
+    index = idfiles.ShardIndex(lambda at, n: reads.append(n) or data[at : at + n])
+    index.verify()
     starts, counts = index.lookup(idfiles.key_of(ids, np.zeros(1000), null))
     assert (starts == ids * 10).all() and (counts == ids + 1).all()
     starts, _ = index.lookup(idfiles.key_of(ids + 1, np.zeros(1000), null))
     assert (starts == -1).all()
+    reads.clear()
+    assert index.lookup(idfiles.key_of(ids[7:8], np.zeros(1), null[:1]))[0].tolist() == [210] and reads == [idfiles.SLOT.itemsize]  # one slot
+    bad = data[:-40] + bytes([data[-40] ^ 1]) + data[-39:]
+    with pytest.raises(ValueError):
+        idfiles.ShardIndex(lambda at, n: bad[at : at + n]).verify()
 
 
 def test_language(spark, docs, empty):
