@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.chunktable import slices
+from lodestar.llm.columns import map_column, quoted
 from lodestar.llm.sampling import held_out, stratified
+from lodestar.session import materialize
 
 #: Training rows of either label (the bound of the sample), entries of the lexicon and of its exceptions at most.
 TRAIN_ROWS, ENTRIES, EXCEPTIONS = 4000, 3000, 1000
-#: A feature enters with a likelihood-ratio statistic and a log-odds weight of at least these.
-LEAST_G2, LEAST_WEIGHT = 18.0, 2.0
+#: A feature enters with a likelihood-ratio statistic, a weight, and a share of the toxic documents of at least these.
+LEAST_G2, LEAST_WEIGHT, LEAST_SHARE = 15.0, 1.0, 0.005
 PREFIXES = (4, 5, 6, 7)
 THRESHOLD = 0.7
+#: How many times a clean document taken for toxic weighs against a toxic one that is missed, in shares of either label.
+CAUTION = 3.0
 
 # Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKE_FROM = "аеорсухіјѕԁһԛԝкмтвнαβεικνορτυχγο"
@@ -38,54 +43,66 @@ def fold(text: str) -> str:
     return f" {_NUMBER.sub(' ', text.lower()).translate(_FOLD)} "
 
 
-def features_of(folded: str) -> set[str]:
-    """Whole words, with a space on both sides, and beginnings of words, with a space before."""
-    found = set()
-    for w in set(folded.split()):
-        if len(w) <= 40:
-            found.add(f" {w} ")
-        for n in PREFIXES:
-            if len(w) > n:
-                found.add(f" {w[:n]}")
+def features_of(folded: str) -> Counter:
+    """Whole words, with a space on both sides, and beginnings of words, with a space before, each with how often it is there.
+
+    A beginning counts once for each distinct word.
+    """
+    found: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
+        found[f" {w} "] += n
+        for k in PREFIXES:
+            if len(w) > k:
+                found[f" {w[:k]}"] += 1
     return found
 
 
 @dataclass
 class ToxicLexicon:
-    """Entries with weights, clean phrases that contain one, and the logistic scale of (mass, mass per word)."""
+    """Entries with weights, clean phrases that contain one, and the logistic scale of (mass, mass per word).
+
+    twice: entries that count only in texts with two matches of them or more.
+    """
 
     weights: dict[str, float]
     exceptions: set[str] = field(default_factory=set)
     scale: tuple[float, float, float] = (-2.0, 1.0, 0.0)
+    twice: frozenset[str] = frozenset()
 
+    @functools.cached_property
     def automaton(self):
         import ahocorasick
 
         a = ahocorasick.Automaton()
         for phrase in self.exceptions:
             a.add_word(phrase, (len(phrase), None))
-        for phrase, weight in self.weights.items():
-            a.add_word(phrase, (len(phrase), weight))
+        for phrase in self.weights:
+            a.add_word(phrase, (len(phrase), phrase))
         if len(a):
             a.make_automaton()
         return a
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+
     def masses(self, texts: list[str]) -> np.ndarray:
         """(sum of weights, words) of texts; a match inside an exception phrase doesn't count, and of overlapping ones the longest does."""
-        a, out = self.automaton(), np.zeros((len(texts), 2))
+        a, out = self.automaton, np.zeros((len(texts), 2))
         for row, text in enumerate(texts):
             folded = fold(text)
             out[row, 1] = folded.count(" ")
             if not len(a):
                 continue
-            hits = [(end - size + 1, end, weight) for end, (size, weight) in a.iter(folded)]
-            spared = [(s, e) for s, e, w in hits if w is None]
-            total, until = 0.0, -1
-            for s, e, w in sorted((h for h in hits if h[2] is not None), key=lambda h: (h[0], -h[1])):
-                if s > until and not any(x <= s and e <= y for x, y in spared):
-                    total += w
+            hits = [(end - size + 1, end, phrase) for end, (size, phrase) in a.iter(folded)]
+            spared = sorted((s, -e) for s, e, phrase in hits if phrase is None)
+            counted, until, at, safe = Counter(), -1, 0, -1
+            for s, e, phrase in sorted((h for h in hits if h[2] is not None), key=lambda h: (h[0], -h[1])):
+                while at < len(spared) and spared[at][0] <= s:  # the furthest end of an exception that begins no later
+                    safe, at = max(safe, -spared[at][1]), at + 1
+                if s > until and e > safe:
+                    counted[phrase] += 1
                     until = e - 1  # words share the space between them
-            out[row, 0] = total
+            out[row, 0] = sum(n * self.weights[p] for p, n in counted.items() if n > 1 or p not in self.twice)
         return out
 
     def scores(self, masses: np.ndarray) -> np.ndarray:
@@ -112,13 +129,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 40
     return b
 
 
-def _weigh(counts: pd.DataFrame, toxic: int, clean: int) -> pd.DataFrame:
-    """counts (feature, t, c) with weight and g2."""
-    t, c = counts["t"].to_numpy(float), counts["c"].to_numpy(float)
-    n, share = toxic + clean, (t + c) / max(1, toxic + clean)
-    part = lambda o, e: np.where(o > 0, o * np.log(np.where(o > 0, o, 1) / np.maximum(e, 1e-12)), 0)
+def _weight_and_g2(t: Column, c: Column, toxic: int, clean: int) -> tuple[Column, Column]:
+    """Log-odds of a feature of t toxic and c clean documents less two standard errors, and its likelihood-ratio statistic."""
+    share = (t + c) / F.lit(float(max(1, toxic + clean)))
+    part = lambda seen, meant: F.when(seen > 0, seen * F.log(seen / F.greatest(meant, F.lit(1e-12)))).otherwise(0.0)
     g2 = 2 * (part(t, toxic * share) + part(c, clean * share) + part(toxic - t, toxic * (1 - share)) + part(clean - c, clean * (1 - share)))
-    return counts.assign(weight=np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)), g2=g2 if n else 0.0)
+    odds = F.log((t + 0.5) / (toxic + 1.0)) - F.log((c + 0.5) / (clean + 1.0))
+    return odds - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)), g2
 
 
 def _choose(found: pd.DataFrame) -> dict[str, float]:
@@ -133,81 +150,109 @@ def _choose(found: pd.DataFrame) -> dict[str, float]:
     return chosen
 
 
+def _cut(x: np.ndarray, y: np.ndarray) -> float:
+    """Where to cut x: the share of toxic rows above less CAUTION times that of clean ones is greatest; in the middle of the gap."""
+    order = np.argsort(-x, kind="stable")
+    x, y = x[order], y[order]
+    gain = np.cumsum(y == 1) / max(1, (y == 1).sum()) - CAUTION * np.cumsum(y == 0) / max(1, (y == 0).sum())
+    gain[:-1][x[:-1] == x[1:]] = -np.inf  # equal rows stay together
+    i = int(np.argmax(gain))
+    return float((x[i] + x[i + 1]) / 2) if i + 1 < len(x) else float(x[i] - 1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicLexicon:
     """A lexicon from labelled rows that are not held out: about `rows` of each label. Without labels it is empty.
 
-    Spark counts, over the sample, the documents of each label that have each word and each beginning of a word; those
-    that speak for the toxic label become entries. Words and pairs of words around an entry that occur in clean documents
-    and not in toxic ones become exceptions. A logistic curve over the mass of matched weights and the mass by length
-    turns both into a score.
+    Spark counts, over the sample, the documents of each label that have each word and each beginning of a word, and those
+    that have it twice; those that speak for the toxic label become entries. Words and pairs of words around an entry that
+    occur in clean documents and not in toxic ones become exceptions. A logistic curve over the mass of matched weights and
+    the mass by length turns both into a score, and is moved so that THRESHOLD parts the sample's labels best. A key that
+    repeats counts once, with its least text; equal texts count once, as toxic if one is; a null key or label, and a label
+    without a document, doesn't count.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).cast("int").alias("y"))
-    sample = stratified(known, "y", key, rows)  # bounded, so it may be broadcast
-    texts = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(sample), key)
+    key_of, label_of = quoted(key), quoted(label).cast("int")
+    known = labels.select(key_of.alias("k"), label_of.alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
+    sample = stratified(known, "y", "k", rows)  # bounded, so it may be broadcast
+    joined = docs.select(key_of.alias("k"), F.coalesce(quoted(text), F.lit("")).alias("t")).join(F.broadcast(sample), "k")
+    once_a_key = joined.groupBy("k").agg(F.min("t").alias("t"), F.first("y").alias("y"))
+    texts = materialize(once_a_key.groupBy("t").agg(F.max("y").alias("y")), "toxicity-sample")
 
     def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for a in range(0, len(frame), 200):
                 part = frame.iloc[a : a + 200]
-                own = [(f, y) for t, y in zip(part["t"], part["y"], strict=True) for f in features_of(fold(t))]
-                counted = pd.DataFrame(own, columns=["feature", "y"]).value_counts().reset_index(name="n")
-                yield counted.astype({"y": "int32", "n": "int64"})
-
-    counts = texts.mapInPandas(explode, "feature string, y int, n long").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
-    totals = texts.groupBy("y").count().collect()
-    size = {r["y"]: r["count"] for r in totals}
+                once, twice = Counter(), Counter()
+                for t, y in zip(part["t"], part["y"], strict=True):
+                    for f, n in features_of(fold(t)).items():
+                        once[f, y] += 1
+                        if n > 1:
+                            twice[f, y] += 1
+                yield pd.DataFrame([(f, y, n, twice[f, y]) for (f, y), n in once.items()], columns=["feature", "y", "once", "twice"])
+
+    size = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
-    strong = counts.where((F.col("t") >= 2) & (F.col("t") * (clean + 1.0) >= F.col("c") * (toxic + 1.0) * math.exp(LEAST_WEIGHT))).orderBy(F.desc("t"), "feature").limit(4 * ENTRIES).toPandas()
-    found = _weigh(strong, toxic, clean)
-    lexicon = ToxicLexicon(_choose(found[(found["g2"] >= LEAST_G2) & (found["weight"] >= LEAST_WEIGHT)].nlargest(ENTRIES, "g2")))
+    of = lambda n, y: F.sum(F.when(F.col("y") == y, F.col(n)).otherwise(0)).cast("double")
+    counts = texts.mapInPandas(explode, "feature string, y int, once long, twice long").groupBy("feature").agg(*[of(n, y).alias(f"{n}{y}") for n in ("once", "twice") for y in (0, 1)])
+    ways = []
+    for name in ("once", "twice"):
+        t, c = F.col(f"{name}1"), F.col(f"{name}0")
+        weight, g2 = _weight_and_g2(t, c, toxic, clean)
+        ways.append(F.struct(F.when((t >= max(2.0, LEAST_SHARE * toxic)) & (weight >= LEAST_WEIGHT), g2).otherwise(0.0).alias("g2"), weight.alias("weight"), F.lit(name == "twice").alias("twice")))
+    best = counts.withColumn("w", F.when(ways[1]["g2"] > ways[0]["g2"], ways[1]).otherwise(ways[0])).where(F.col("w.g2") >= LEAST_G2)
+    found = best.select("feature", "w.*").orderBy(F.desc("g2"), "feature").limit(4 * ENTRIES).toPandas()
+    chosen = dict(list(_choose(found).items())[:ENTRIES])
+    lexicon = ToxicLexicon(chosen, twice=frozenset(found["feature"][found["twice"]]) & frozenset(chosen))
     if not lexicon.weights:
         return lexicon
 
     def around(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(phrase, label, documents) of words and pairs of words that hold an entry, and (null, label, mass, words) of documents."""
-        a = lexicon.automaton()
+        """(phrase, label, documents) of words and pairs of words that hold an entry."""
+        a = lexicon.automaton
         for frame in frames:
-            rows, masses = [], lexicon.masses(frame["t"].tolist())
-            for t, y, (mass, words) in zip(frame["t"], frame["y"], masses, strict=True):
+            rows = []
+            for t, y in zip(frame["t"], frame["y"], strict=True):
                 folded, phrases = fold(t), set()
                 for end, (n, _) in a.iter(folded):
                     s = end - n + 1
                     e = folded.find(" ", max(end, s + 1))
-                    word = folded[s : e + 1]
-                    phrases.add(word)
+                    phrases.add(folded[s : e + 1])
                     after, before = folded.find(" ", e + 1), folded.rfind(" ", 0, s)
                     if after > 0:
                         phrases.add(folded[s : after + 1])
                     if before >= 0:
                         phrases.add(folded[before : e + 1])
-                rows += [(p, y, 1.0, 0.0) for p in phrases if len(p) < 90] + [(None, y, mass, words)]
-            yield pd.DataFrame(rows, columns=["phrase", "y", "mass", "words"]).astype({"y": "int32", "mass": "float64", "words": "float64"})
+                rows += [(p, y) for p in phrases if p.strip()]
+            yield pd.DataFrame(rows, columns=["phrase", "y"]).astype({"y": "int32"})
 
-    seen = texts.mapInPandas(around, "phrase string, y int, mass double, words double")
-    spared = seen.where("phrase IS NOT NULL").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
+    spared = texts.mapInPandas(around, "phrase string, y int").groupBy("phrase").agg(F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, 1).otherwise(0)).alias("c"))
     spared = spared.where((F.col("c") >= 3) & (F.col("t") * (clean + 1.0) <= F.col("c") * (toxic + 1.0))).orderBy(F.desc("c"), "phrase").limit(EXCEPTIONS)
-    lexicon.exceptions = {r["phrase"] for r in spared.collect() if r["phrase"] not in lexicon.weights}
-    fitted = seen.where("phrase IS NULL").select("y", "mass", "words").toPandas()  # a row of the bounded sample each
-    lexicon.scale = tuple(_logistic(_inputs(fitted[["mass", "words"]].to_numpy()), fitted["y"].to_numpy()))
-    return lexicon
+    exceptions = {r["phrase"] for r in spared.collect() if r["phrase"] not in lexicon.weights}
+    lexicon = ToxicLexicon(lexicon.weights, exceptions, twice=lexicon.twice)
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            masses = lexicon.masses(frame["t"].tolist())
+            yield pd.DataFrame({"y": frame["y"], "mass": masses[:, 0], "words": masses[:, 1]})
+
+    fitted = texts.mapInPandas(weigh, "y int, mass double, words double").toPandas()  # three numbers for a row of the bounded sample
+    x, y = _inputs(fitted[["mass", "words"]].to_numpy()), fitted["y"].to_numpy()
+    scale = _logistic(x, y)
+    scale[0] += math.log(THRESHOLD / (1 - THRESHOLD)) - _cut(x @ scale, y)
+    return ToxicLexicon(lexicon.weights, exceptions, tuple(float(v) for v in scale), lexicon.twice)
 
 
 def score(docs: DataFrame, lexicon: ToxicLexicon, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from THRESHOLD on) of every whole text.
 
-    A null text is empty and scores as a text without matches. Existing columns of these names are replaced.
+    A null text is empty and scores as a text without matches; repeated rows score alike; a table without rows gives none.
+    All other columns stay, and existing ones of these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(batch.num_columns - 1)):
-                part = batch.slice(a, b - a)
-                found = lexicon.scores(lexicon.masses(part.column(part.num_columns - 1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found), pa.array((found >= THRESHOLD).astype(np.int32))], names=schema.names)
+    def run(part: pa.Array) -> list[pa.Array]:
+        found = lexicon.scores(lexicon.masses(part.to_pylist()))
+        return [pa.array(found, pa.float64()), pa.array((found >= THRESHOLD).astype(np.int32))]
 
-    return docs.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return map_column(docs, F.coalesce(quoted(text), F.lit("")), [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], run)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,17 @@ def test_toxicity(spark, docs):
     assert done[9000].score == done[9001].score < 0.7
     assert toxicity.fit(table, labels.limit(0)).weights == {}
     assert {r.predicted for r in toxicity.score(docs, toxicity.ToxicLexicon({})).collect()} == {0}
+    odd = table.select(F.col("text").alias("the.text"), F.lit("x").alias("SCORE"), F.lit(1).alias("source"), "doc_id")
+    again = toxicity.score(odd.unionByName(odd.where("doc_id = 7")), toxicity.fit(table, labels), "the.text")
+    assert again.columns == ["the.text", "source", "doc_id", "score", "predicted"]
+    assert [r.score for r in again.where("doc_id = 7").collect()] == [done[7].score] * 2
+    none = odd.limit(0)
+    assert toxicity.fit(none, labels, text="the.text").weights == {} and toxicity.score(none, toxicity.ToxicLexicon({" a ": 1.0}), "the.text").count() == 0
+
+
+def test_toxic_entries_that_count_from_the_second_match():
+    lexicon = toxicity.ToxicLexicon({" vequ": 2.0, " scum ": 3.0}, {" scum bag "}, twice=frozenset([" vequ"]))
+    assert lexicon.masses(["vequa", "vequa vequo", "Scum! scum bag", ""])[:, 0].tolist() == [0.0, 4.0, 3.0, 0.0]
 
 
 def test_folding():

@@ -31,14 +31,19 @@ def test_stages(spark):
     assert all(sum(p.length for p in packed if p.doc_id == k) == next(p.doc_tokens for p in packed if p.doc_id == k) for k in list(want)[:20])
 
 
-def test_classifiers_on_held_out_rows(spark):
+def test_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
     found = [r for r in queries.queries()["op6_language"](spark, sf).collect() if r.held_out]
     assert sum(docs[r.doc_id] == r.lang_pred for r in found) / len(found) > 0.97
+
+
+@pytest.mark.parametrize(("scale", "least"), [("sf0.01", 0.8), ("sf0.1", 0.9)])  # sf0.01 has four toxic training texts of some languages
+def test_toxicity_on_held_out_rows(spark, scale, least):
+    sf = f"/root/testdata/{scale}"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     found = [r for r in queries.queries()["op7_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
     clean = [r for r in found if labels[r.doc_id] == 0]
     toxic = [r for r in found if labels[r.doc_id] == 1]
-    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
-    assert sum(r.predicted for r in toxic) >= 0.6 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert sum(r.predicted for r in toxic) >= least * len(toxic)
