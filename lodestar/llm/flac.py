@@ -19,6 +19,8 @@ PRECISION, SHIFT = 8, 6
 AT_ONCE, READ_AT_ONCE = 1536, 1_500_000
 #: Predictors of the format's fixed subframes: weights of the samples before, the nearest first.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
+#: Number of the predictor that is fitted to each frame, after the fixed ones.
+LINEAR = len(FIXED)
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -86,13 +88,11 @@ def _coded_number(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _frames(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     """(coded frames one after another, bytes of each) of rows of samples with these frame numbers."""
-    # Of five predictors, the one whose residuals are least in all.
-    zeros = np.zeros(len(x), np.int32)
+    # Of six predictors, the one whose residuals are least in all. Fixed ones are differences of differences.
     lpc = _linear(x)
-    tried = [(np.broadcast_to(np.array(FIXED[o], np.int32), (len(x), o)), zeros) for o in (0, 1, 2)] + [(lpc, zeros + SHIFT)]
-    codes = [_zigzag(_residuals(x, w, s)) for w, s in tried]
-    chosen = np.argmin(np.stack([u.sum(1) + 24 * (k == 3) for k, u in enumerate(codes)], 1), 1)
-    order = np.array([0, 1, 2, 2])[chosen]
+    codes = [_zigzag(np.diff(x, o)) for o in range(len(FIXED))] + [_zigzag(_residuals(x, lpc, np.full(len(x), SHIFT, np.int32)))]
+    chosen = np.argmin(np.stack([u.sum(1) + 24 * (k == LINEAR) for k, u in enumerate(codes)], 1), 1)
+    order = np.array([*range(len(FIXED)), 2])[chosen]
     u = np.zeros((len(x), BLOCK), np.int32)  # codes at their sample's place; the warm-up has none
     for k, c in enumerate(codes):
         rows = chosen == k
@@ -100,7 +100,7 @@ def _frames(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
     coded = np.arange(BLOCK)[None, :] >= order[:, None]
     costs = np.stack([(u >> k).sum(1) + (BLOCK - order) * (k + 1) for k in range(11)], 1)
     k = np.argmin(costs, 1)
-    sub_bits = 8 + order * 8 + np.where(chosen == 3, 4 + 5 + 2 * PRECISION, 0) + 10 + costs[np.arange(len(x)), k]
+    sub_bits = 8 + order * 8 + np.where(chosen == LINEAR, 4 + 5 + 2 * PRECISION, 0) + 10 + costs[np.arange(len(x)), k]
     constant = (x == x[:, :1]).all(1)
     verbatim = ~constant & (sub_bits >= 8 + 8 * BLOCK)
     rice = ~constant & ~verbatim
@@ -117,22 +117,22 @@ def _frames(x: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
             bits[at + j] = value >> (n - 1 - j) & 1
 
     at = (starts + head) * 8
-    kind = np.where(constant, 0, np.where(verbatim, 1, np.where(chosen == 3, 0b100000 | 1, 0b001000 | order)))
+    kind = np.where(constant, 0, np.where(verbatim, 1, np.where(chosen == LINEAR, 0b100000 | 1, 0b001000 | order)))
     put(at, kind << 1, 8)
     at = at + 8
     put(at[constant], x[constant, 0] & 0xFF, 8)
     if verbatim.any():
         bits[(at[verbatim][:, None] + np.arange(8 * BLOCK)).ravel()] = np.unpackbits(x[verbatim].astype(np.int8).view(np.uint8))
-    for i in range(2):
+    for i in range(len(FIXED) - 1):
         rows = rice & (order > i)
         put(at[rows] + 8 * i, x[rows, i] & 0xFF, 8)
     at = at + 8 * order
-    rows = rice & (chosen == 3)
+    rows = rice & (chosen == LINEAR)
     put(at[rows], np.full(rows.sum(), PRECISION - 1), 4)
     put(at[rows] + 4, np.full(rows.sum(), SHIFT), 5)
     for i in range(2):
         put(at[rows] + 9 + PRECISION * i, lpc[rows, i] & ((1 << PRECISION) - 1), PRECISION)
-    at = at + np.where(chosen == 3, 9 + 2 * PRECISION, 0)
+    at = at + np.where(chosen == LINEAR, 9 + 2 * PRECISION, 0)
     put(at[rice] + 6, k[rice], 4)  # method 0, partition order 0
     if rice.any():
         ur, kr, cr = u[rice], k[rice][:, None], coded[rice]
@@ -200,9 +200,17 @@ def _metadata(stream: bytes) -> tuple[int, bytes, list[tuple[int, int]], int]:
             break
     if samples is None:
         raise ValueError("no STREAMINFO")
+    if samples > BLOCK * len(stream) or any(byte >= len(stream) for _, byte in points):
+        raise ValueError("the metadata doesn't fit the stream")
     return samples, md5, points or [(0, 0)], at
 
 
+def is_own(stream: bytes) -> bool:
+    """Whether decode() reads a stream: mono, 8 bits, blocks of BLOCK samples, as its metadata says."""
+    info = stream[8:42] if stream[:4] == b"fLaC" and len(stream) >= 42 and stream[4] & 0x7F == 0 else b""
+    return info[:4] == struct.pack(">HH", BLOCK, BLOCK) and int.from_bytes(info[10:18], "big") >> 36 & 0xFF == 7
+
+
 def _read(raw: np.ndarray, at: np.ndarray, stop: np.ndarray, sample: np.ndarray, pcm: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Decodes the frames from `at` to `stop` of raw into pcm, from `sample` on; gives (first samples, bytes) of frames."""
     window = np.zeros(len(raw) - 8, np.uint64)  # at each byte: the next eight bytes

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.chunktable import slices
+from lodestar.llm.columns import map_column, quoted
 from lodestar.llm.sampling import held_out, stratified
 
 #: Bytes of a window, filter widths, filters of a width, size of a byte's embedding.
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 5), 12, 6
 #: Training rows of a language (the bound of the sample), passes over them, rows of a step, step size.
 TRAIN_ROWS, PASSES, STEP_ROWS, STEP = 1500, 5, 64, 0.01
+#: Languages that are learned at most, the most frequent first.
+LANGUAGES = 200
 UNKNOWN = "und"
 _WIDE = max(WIDTHS)
 
@@ -121,11 +123,15 @@ def train(texts: list[bytes], langs: list[str], seed: int = 0) -> ByteNetwork:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> ByteNetwork | None:
-    """A network from rows that are not held out: about `rows` of each language, a stretch of each text; None without any."""
-    labelled = docs.where(~held_out(F.col(key)) & F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, text, lang)
-    part = stratified(labelled, lang, key, rows)
-    start = F.pmod(F.xxhash64(F.lit("stretch"), F.col(key)), F.greatest(F.lit(1), F.length(text) - 2 * WINDOW)) + 1
-    sample = sorted((r[0], r[1], r[2]) for r in part.select(key, F.substring(F.col(text), start.cast("int"), F.lit(2 * WINDOW)), lang).collect())
+    """A network from rows that are not held out: about `rows` of each language, a stretch of each text; None without any.
+
+    It learns the LANGUAGES most frequent languages. Rows without a key, a language or a letter don't count.
+    """
+    slim = docs.select(quoted(key).alias("key"), quoted(text).alias("text"), quoted(lang).alias("lang"))
+    labelled = slim.where(~held_out(F.col("key")) & F.col("key").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    part = stratified(labelled, "lang", "key", rows, LANGUAGES)
+    start = F.pmod(F.xxhash64(F.lit("stretch"), F.col("key")), F.greatest(F.lit(1), F.length("text") - 2 * WINDOW)) + 1
+    sample = sorted((r[0], r[1], r[2]) for r in part.select("key", F.substring(F.col("text"), start.cast("int"), F.lit(2 * WINDOW)), "lang").collect())
     texts = [(t.encode(), x) for _, t, x in sample if t]
     return train([t for t, _ in texts], [x for _, x in texts]) if texts else None
 
@@ -134,28 +140,24 @@ def predict(docs: DataFrame, network: ByteNetwork | None, text: str = "text") ->
     """docs with lang_pred and score: the language of every whole text, from all of its windows, and its probability.
 
     A text's probabilities are the mean over its windows, weighted by their bytes. A text that is null or has no letter,
-    or any text where no network could be fitted, gets "und" and 0. Existing columns of these names are replaced.
+    or any text where no network could be fitted, gets "und" and 0. Repeated rows get equal values, of equal probabilities
+    the language that sorts first wins, and a table without rows gives none. All other columns stay; existing ones of
+    these names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([*[docs.schema[c] for c in kept], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(batch.num_columns - 1), 2 << 20):
-                part = batch.slice(a, b - a)
-                texts = part.column(part.num_columns - 1)
-                has_letter = np.asarray(pc.match_substring_regex(texts, r"\p{L}"))
-                lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-                if network is not None and has_letter.any():
-                    windows, owner, filled = windows_of([t.encode() for t in texts.filter(pa.array(has_letter)).to_pylist()])
-                    mass = network.probabilities(windows).astype(np.float64) * np.maximum(filled, 1)[:, None]
-                    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-                    mean = np.add.reduceat(mass, first) / np.add.reduceat(np.maximum(filled, 1), first)[:, None]
-                    lang[has_letter] = np.array(network.langs, object)[mean.argmax(1)]
-                    score[has_letter] = np.minimum(mean.max(1), 1.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang.tolist(), pa.string()), pa.array(score)], names=schema.names)
-
-    return docs.select(*kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+
+    def run(texts: pa.Array) -> list[pa.Array]:
+        has_letter = np.asarray(pc.match_substring_regex(texts, r"\p{L}"))
+        lang, score = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        if network is not None and has_letter.any():
+            windows, owner, filled = windows_of([t.encode() for t in texts.filter(pa.array(has_letter)).to_pylist()])
+            mass = network.probabilities(windows).astype(np.float64) * np.maximum(filled, 1)[:, None]
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            mean = np.add.reduceat(mass, first) / np.add.reduceat(np.maximum(filled, 1), first)[:, None]
+            lang[has_letter] = np.array(network.langs, object)[mean.argmax(1)]
+            score[has_letter] = np.minimum(mean.max(1), 1.0)
+        return [pa.array(lang.tolist(), pa.string()), pa.array(score)]
+
+    return map_column(docs, F.coalesce(quoted(text), F.lit("")), [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], run, 2 << 20)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestar.llm.chunktable import ChunkTable, _path, as_ids, slices
+from lodestar.llm.chunktable import ChunkTable, _path, as_ids
+from lodestar.llm.columns import map_column, quoted
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -45,23 +44,16 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL, ids:
     given to the library whole. A null or empty text has no ids and decodes to an empty text. All other columns stay;
     an existing column named as an output is replaced. A table without rows gives none.
     """
-    kept = [c for c in docs.columns if c not in (ids, decoded)]
-    source = docs.select(*kept).withColumn("__text", F.col(f"`{text}`"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         sp, table = open_model(model)
-        for batch in batches:
-            for a, b in slices(batch.column(batch.num_columns - 1)):
-                part = batch.slice(a, b - a)
-                values, lengths = table.encode(part.column(part.num_columns - 1))
-                ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                flat = values.astype(np.int32)
-                texts = sp.decode([flat[x:y].tolist() for x, y in zip(ends[:-1], ends[1:], strict=True)], num_threads=1) if len(lengths) else []
-                arrays = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*kept, ids, decoded])
-
-    schema = source.drop("__text").schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, T.StringType())
-    return source.mapInArrow(run, schema)
+        values, lengths = table.encode(texts)
+        ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        flat = values.astype(np.int32)
+        back = sp.decode([flat[x:y].tolist() for x, y in zip(ends[:-1], ends[1:], strict=True)], num_threads=1) if len(lengths) else []
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(back, pa.string())]
+
+    return map_column(docs, quoted(text), [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], run)
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def stratified(rows: DataFrame, label: str, key: str, most: int, labels: int = 64) -> DataFrame:
+def stratified(rows: DataFrame, label: str, key: str, most: int, labels: int = 200) -> DataFrame:
     """About `most` rows of each of the most frequent labels, or all where there are fewer; a row stays by a hash of its key.
 
     At most labels * most * 1.25 rows, whatever the size of the table; the same rows each time.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import chat, flac, idfiles, imatch, langid, media, ngram_join, packing, pieces, prefixtree, shingles, token_output, toxicity
+from lodestar.llm import anyflac, chat, flac, idfiles, imatch, langid, media, ngram_join, packing, pieces, prefixtree, shingles, token_output, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(WORDS[(i * 7 + i // 3) % 20] + str(i % 50) for i in range(900))
@@ -281,10 +281,99 @@ def test_media(docs, empty):
     payload = F.coalesce("text", F.lit("")).cast("binary")
     for r in media.read_flac(media.store_flac(docs.withColumn("payload", payload), "payload")).collect():
         n = max(192, -(-len(r.payload) // 192) * 192)
-        assert bytes(r.pcm) == bytes(r.payload).ljust(n)
+        assert bytes(r.pcm) == bytes(r.payload).ljust(n) and r.reject is None
         assert [b.sample for b in r.blocks] == list(range(0, n, 192))
         assert all(bytes(r.media)[b.byte : b.byte + 2] == b"\xff\xf8" for b in r.blocks)
     assert media.store_flac(empty.withColumn("payload", payload), "payload").count() == 0
+    assert media.read_flac(media.store_flac(empty.withColumn("payload", payload), "payload")).count() == 0
+
+
+def test_media_rejects(spark):
+    good, other = flac.encode([b"abc" * 64])[0], written(np.arange(400).reshape(-1, 2) * 37 % 2001 - 1000, 16, "mid")
+    rows = [(1, good), (2, None), (3, b""), (4, b"fLaC"), (5, good[:-5]), (6, good[:-1] + bytes([good[-1] ^ 1])), (7, other), (8, good), (9, good[:50])]
+    table = spark.createDataFrame(rows, "id int, `me.dia` binary").coalesce(1)
+    got = {r.id: r for r in media.read_flac(table.withColumn("PCM", F.lit("clash")), "me.dia").collect()}
+    assert bytes(got[1].pcm) == bytes(got[8].pcm) == b"abc" * 64 and got[1].reject is got[8].reject is got[7].reject is None
+    assert np.frombuffer(got[7].pcm, "<i2").tolist() == (np.arange(400) * 37 % 2001 - 1000).tolist() and got[7].feature.startswith("rms=")
+    assert (got[2].pcm, got[2].blocks, got[2].feature, got[2].reject) == (None,) * 4
+    assert all(got[i].pcm is None and got[i].reject for i in (3, 4, 5, 6, 9))
+
+
+def written(samples, depth, kind, block=96):
+    """A FLAC stream of (n, channels) samples by a plain bit writer: kind names the subframes or the stereo layout."""
+
+    def frame(x, number):
+        out = ["11111111111110", "0", "0", "0111", "0000"]
+        layout = {"mid": 10, "left": 8, "right": 9}.get(kind, x.shape[1] - 1)
+        out += [f"{layout:04b}", "000", "0", f"{number:08b}", f"{len(x) - 1:016b}"]
+        head = int("".join(out), 2).to_bytes(len("".join(out)) // 8, "big")
+        bits = "".join(f"{b:08b}" for b in head + bytes([crc(head, 0x07, 8)]))
+        channels = list(x.T)
+        if kind in ("mid", "left", "right"):
+            a, b = channels
+            channels = {"mid": [(a + b) >> 1, a - b], "left": [a, a - b], "right": [a - b, b]}[kind]
+        for c, values in enumerate(channels):
+            deep = depth + (kind in ("mid", "left") and c == 1 or kind == "right" and c == 0)
+            raw = lambda v, n: f"{int(v) & ((1 << n) - 1):0{n}b}"
+            if kind == "wasted":
+                bits += "0" + "000001" + "1" + "01" + "".join(raw(v >> 2, deep - 2) for v in values)
+            elif kind == "linear":  # x[i] is guessed as x[i - 1] * 3 >> 1
+                bits += "0" + "100000" + "0" + raw(values[0], deep) + raw(3 - 1, 4) + raw(1, 5) + raw(3, 3)
+                bits += rice(values[1:] - (values[:-1] * 3 >> 1), 6, len(values))
+            elif kind == "escape":
+                bits += "0" + "001000" + "0" + "00" + "0000" + "1111" + raw(deep, 5) + "".join(raw(v, deep) for v in values)
+            else:
+                bits += "0" + "001010" + "0" + raw(values[0], deep) + raw(values[1], deep) + rice(np.diff(values, 2), 4, len(values), parts=1)
+        bits += "0" * (-len(bits) % 8)
+        body = int(bits, 2).to_bytes(len(bits) // 8, "big")
+        return body + crc(body, 0x8005, 16).to_bytes(2, "big")
+
+    def rice(residuals, k, size, parts=0):
+        codes, out, at = [int(e) * 2 if e >= 0 else -int(e) * 2 - 1 for e in residuals], f"00{parts:04b}", 0
+        for p in range(1 << parts):
+            n = (size >> parts) - (size - len(codes) if p == 0 else 0)
+            out += f"{k:04b}" + "".join("0" * (c >> k) + "1" + f"{c & ((1 << k) - 1):0{k}b}" for c in codes[at : at + n])
+            at += n
+        return out
+
+    def crc(data, poly, width):
+        value = 0
+        for byte in data:
+            value ^= byte << (width - 8)
+            for _ in range(8):
+                value = (value << 1 ^ poly if value >> (width - 1) else value << 1) & ((1 << width) - 1)
+        return value
+
+    n, channels = samples.shape
+    md5 = hashlib.md5(samples.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : (depth + 7) // 8].tobytes()).digest()
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + (8000 << 44 | (channels - 1) << 41 | (depth - 1) << 36 | n).to_bytes(8, "big") + md5
+    return b"fLaC\x80" + len(info).to_bytes(3, "big") + info + b"".join(frame(samples[a : a + block], a // block) for a in range(0, n, block))
+
+
+@pytest.mark.parametrize("kind", ["fixed", "linear", "escape", "wasted", "mid", "left", "right"])
+@pytest.mark.parametrize("depth", [8, 16, 24])
+def test_flac_of_other_writers(kind, depth):
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.integers(-5, 6, (500, 2 if kind in ("mid", "left", "right") else 3)), 0).clip(-100, 99) * (1 if depth == 8 else 50)
+    if kind == "wasted":
+        x = x // 4 * 4
+    x = x[:480] if kind == "fixed" else x
+    stream = written(x, depth, kind)
+    pcm, blocks, bits = anyflac.decode(stream)
+    found = np.frombuffer(pcm, {8: np.uint8, 16: "<i2", 24: "<i4"}[depth]).astype(np.int64) - (128 if depth == 8 else 0)
+    assert bits == depth and found.reshape(x.shape).tolist() == x.tolist()
+    assert [s for s, _ in blocks] == list(range(0, len(x), 96)) and all(stream[b] == 0xFF for _, b in blocks)
+
+
+def test_both_readers_agree():
+    rng = np.random.default_rng(5)
+    smooth = (128 + np.cumsum(np.cumsum(np.cumsum(rng.integers(-1, 2, 192 * 5))) / 40) / 90).clip(0, 255).astype(np.uint8).tobytes()
+    payloads = [smooth, rng.integers(0, 256, 576, np.uint8).tobytes(), bytes(range(192)), b"ab" * 96]
+    streams = flac.encode(payloads)
+    for stream, payload, blocks in zip(streams, *flac.decode(streams), strict=True):
+        assert anyflac.decode(stream) == (payload, blocks, 8)
+    kinds = {anyflac.Bits(stream, b + 6).take(7) for stream in streams for _, b in anyflac.decode(stream)[1]}
+    assert flac.decode(streams)[0] == payloads and len(kinds) >= 3
 
 
 def test_flac_round_trip_and_damage():
