@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,13 @@ class ChunkTable:
 
     encode: list of strings -> (their ids one after another, number of ids of each). irregular: RE2 pattern of texts that
     must be encoded whole, None if every text can be cut at every space. prepare: a change of the other texts that doesn't
-    change their ids. lead: what goes before each chunk but the first of a text. When the table would hold over `rows`
-    chunks, those go that only one slice of rows has asked for.
+    change their ids. opening: a text's first chunk has ids of its own, and encode gets it with a space before it. When the
+    table would hold over `rows` chunks, those go that only one slice of rows has asked for. Chunks that a slice of rows
+    has once only are encoded for it alone.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Ids], irregular: str | None, rows: int = TABLE_ROWS, prepare: Callable[[pa.Array], pa.Array] = lambda texts: texts, lead: str = ""):
-        self.encode_batch, self.irregular, self.limit, self.prepare, self.lead = encode, irregular, rows, prepare, lead
+    def __init__(self, encode: Callable[[list[str]], Ids], irregular: str | None, rows: int = TABLE_ROWS, prepare: Callable[[pa.Array], pa.Array] = lambda texts: texts, opening: bool = False):
+        self.encode_batch, self.irregular, self.limit, self.prepare, self.opening = encode, irregular, rows, prepare, opening
         self._clear()
 
     def _clear(self) -> None:
@@ -59,17 +61,23 @@ class ChunkTable:
         self._clear()
         self._store([w for w, _ in kept], flat, counts)
 
-    def _rows(self, words: list[str]) -> np.ndarray:
-        """Rows of distinct words in the table."""
-        missing = [w for w in words if w not in self.index]
-        if missing and len(self.index) + len(missing) > self.limit:
-            self._trim()
-            missing = [w for w in words if w not in self.index]
-        if missing:
-            self._store(missing, *self.encode_batch(missing))
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        self.asked[rows] += 1
-        return rows
+    def _find(self, words: list[str], often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(where each distinct word's ids begin, their number, ids); words that aren't frequent here don't enter the table."""
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        there = rows >= 0
+        self.asked[rows[there]] += 1
+        starts, counts, values = self.starts[rows], self.counts[rows], self.values[: self.used]
+        missing = np.flatnonzero(~there)
+        if len(missing):
+            flat, n = self.encode_batch([words[i] for i in missing])
+            starts[missing], counts[missing] = len(values) + np.cumsum(n) - n, n
+            values = np.concatenate([values, flat])
+            kept = often[missing]
+            if kept.any():
+                if len(self.index) + int(kept.sum()) > self.limit:
+                    self._trim()
+                self._store([words[i] for i in missing[kept]], flat[np.repeat(kept, n)], n[kept])
+        return starts, counts, values
 
     def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts = pc.split_pattern(self.prepare(texts), " ")
@@ -78,17 +86,17 @@ class ChunkTable:
         coded = parts.flatten().dictionary_encode()
         words, at = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
         first = bounds[:-1]
-        if self.lead:  # a text's first chunk stands without it, after all that are led
+        if self.opening:
             opening, place = np.unique(at[first], return_inverse=True)
             at[first] = len(words) + place
-            words = [self.lead + w for w in words] + [words[i] for i in opening]
-        at = self._rows(words)[at]
-        counts = self.counts[at]
+            words += [f" {words[i]}" for i in opening]
+        starts, counts, values = self._find(words, np.bincount(at, minlength=len(words)) > 1)
+        counts = counts[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        take = np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(total)
+        take = np.repeat(starts[at] - (ends - counts), counts) + np.arange(total)
         lengths = np.add.reduceat(counts, first) if len(first) else np.empty(0, np.int64)
-        return self.values[take], lengths
+        return values[take], lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after another, number of ids of each text); a null text counts as empty."""
@@ -96,16 +104,8 @@ class ChunkTable:
         odd = np.asarray(pc.match_substring_regex(texts, self.irregular)) if self.irregular else np.zeros(len(texts), bool)
         if not odd.any():
             return self._regular(texts)
-        ids, lengths = self._regular(texts.filter(pa.array(~odd)))
-        whole, sizes = self.encode_batch(texts.filter(pa.array(odd)).to_pylist())
-        out = np.empty(len(texts), np.int64)
-        out[~odd], out[odd] = lengths, sizes
-        ends = np.cumsum(out)
-        values = np.empty(int(ends[-1]), np.uint16)
-        keep = np.repeat(~odd, out)
-        values[keep] = ids
-        values[~keep] = whole
-        return values, out
+        lead = " " if self.opening else ""
+        return _merged(~odd, *self._regular(texts.filter(pa.array(~odd))), *self.encode_batch([lead + t for t in texts.filter(pa.array(odd)).to_pylist()]))
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -130,7 +130,16 @@ def _path(name: str) -> str:
 
 def as_ids(lists: list[list[int]]) -> Ids:
     counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((i for ids in lists for i in ids), np.uint16, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(lists), np.uint16, int(counts.sum())), counts
+
+
+def _merged(mask: np.ndarray, a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> Ids:
+    """Ids of texts in order: a and their numbers na where mask holds, else b and nb."""
+    counts = np.empty(len(mask), np.int64)
+    counts[mask], counts[~mask] = na, nb
+    out, own = np.empty(len(a) + len(b), np.uint16), np.repeat(mask, counts)
+    out[own], out[~own] = a, b
+    return out, counts
 
 
 #: A sign that gets a word of its own between joined chunks; chunks that hold it are encoded alone.
@@ -177,21 +186,22 @@ def joined_encoder(tokenizer) -> Callable[[list[str]], Ids]:
             return plain(chunks)
         a, na = plain(usual) if (usual := [c for c, o in zip(chunks, odd, strict=True) if not o]) else as_ids([])
         b, nb = alone([c for c, o in zip(chunks, odd, strict=True) if o])
-        mask = np.array(odd)
-        counts = np.empty(len(chunks), np.int64)
-        counts[~mask], counts[mask] = na, nb
-        out, own = np.empty(len(a) + len(b), np.uint16), np.repeat(mask, counts)
-        out[~own], out[own] = a, b
-        return out, counts
+        return _merged(~np.array(odd), a, na, b, nb)
 
     return run
 
 
-#: A lower-case word whose letters no normaliser changes; a word, with a space before it or not, and signs after it.
-_SIMPLE_WORD = re.compile("([a-zß-öø-ÿ]+)()")
-_SIMPLE_BYTES = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-#: Byte-level vocabularies show a byte as its Latin-1 character, except that these stand in for those without a sign.
-_SHOWN = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
+#: A lower-case word whose letters no normaliser changes.
+_SIMPLE = re.compile("[a-zß-öø-ÿ]+")
+#: A word of letters, and signs after it that are the tokenizer's next word.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies show a byte as its Latin-1 character, except that later ones stand in for those without a sign.
+_UNSIGNED = [*range(33), *range(127, 161), 173]
+_SHOWN = "".join(chr(256 + _UNSIGNED.index(b)) if b in _UNSIGNED else chr(b) for b in range(256))
+
+
+def _shown(w: str) -> str:
+    return w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
 
 
 def _as_words(texts: pa.Array) -> pa.Array:
@@ -203,35 +213,19 @@ def _as_words(texts: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(texts, r"([a-z\x{DF}-\x{F6}\x{F8}-\x{FF}])([.,])( |$)", r"\1 \2\3")
 
 
-def model_encoder(tokenizer, simple: re.Pattern, other: Callable[[list[str]], Ids]) -> Callable[[list[str]], Ids]:
-    """Encodes simple chunks, whose groups are the tokenizer's words, by its model alone, other chunks by `other`."""
-    model, known = tokenizer.model, {}
+def word_encoder(tokenizer) -> Callable[[list[str]], Ids]:
+    """Encodes chunks of a lower-casing tokenizer: simple words by its model alone, other chunks by the whole tokenizer."""
+    model, other = tokenizer.model, joined_encoder(tokenizer)
 
-    def word(w: str) -> list[int]:
-        shown = w.replace(" ", _SHOWN[32]) if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN)
-        return [t.id for t in model.tokenize(shown)]
-
-    def ids_of(found: re.Match) -> list[int]:
-        ids = word(found[1])
-        if end := found[2]:
-            if end not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[end] = word(end)
-            ids = ids + known[end]
-        return ids
+    def ids_of(w: str) -> list[int]:
+        return [t.id for t in model.tokenize(_shown(w))]
 
     def run(chunks: list[str]) -> Ids:
-        found = [simple.fullmatch(c) for c in chunks]
-        mask = np.array([m is not None for m in found], bool)
-        a, na = as_ids([ids_of(m) for m in found if m is not None])
-        hard = [c for c, m in zip(chunks, found, strict=True) if m is None]
+        mask = np.array([_SIMPLE.fullmatch(c) is not None for c in chunks], bool)
+        a, na = as_ids([ids_of(c) for c, simple in zip(chunks, mask, strict=True) if simple])
+        hard = [c for c, simple in zip(chunks, mask, strict=True) if not simple]
         b, nb = other(hard) if hard else as_ids([])
-        counts = np.empty(len(chunks), np.int64)
-        counts[mask], counts[~mask] = na, nb
-        out, own = np.empty(len(a) + len(b), np.uint16), np.repeat(mask, counts)
-        out[own], out[~own] = a, b
-        return out, counts
+        return _merged(mask, a, na, b, nb)
 
     return run
 
@@ -262,7 +256,7 @@ def word_table(name: str) -> ChunkTable:
             raise ValueError("the tokenizer doesn't lower case and drop white space")
         # Special tokens are found before case is lowered, so texts with anything like them go whole.
         special = "|".join(re.escape(x["content"]) for x in about["added_tokens"])
-        _OPENED[name] = ChunkTable(model_encoder(t, _SIMPLE_WORD, joined_encoder(t)), f"(?i){special}" if special else None, prepare=_as_words)
+        _OPENED[name] = ChunkTable(word_encoder(t), f"(?i){special}" if special else None, prepare=_as_words)
     return _OPENED[name]
 
 
@@ -274,8 +268,47 @@ def byte_table(name: str) -> ChunkTable:
         if about["normalizer"] or kind.get("type") != "ByteLevel" or kind["add_prefix_space"] or not kind["use_regex"] or any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in about["added_tokens"]):
             raise ValueError("the tokenizer isn't a plain byte-level one")
 
+        opens = np.zeros(t.get_vocab_size(), bool)  # ids that begin with a space
+        opens[[i for piece, i in t.get_vocab().items() if piece.startswith(_SHOWN[32])]] = True
+        special = "|".join(re.escape(x["content"]) for x in about["added_tokens"])
+        plain = re.compile(rf"(?!.*(?:{special}))\S(?:.*\S)?" if special else r"\S(?:.*\S)?", re.S)
+
+        def alone(texts: list[str]) -> Ids:
+            return as_ids([x.ids for a in range(0, len(texts), 256) for x in t.encode_batch_fast(texts[a : a + 256], add_special_tokens=False)])
+
+        def joined(chunks: list[str]) -> Ids:
+            flats, counts = [], []
+            for a in range(0, len(chunks), JOINED):
+                part = chunks[a : a + JOINED]
+                ids = np.array(t.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint16)
+                starts = np.flatnonzero(opens[ids])
+                if len(starts) != len(part):
+                    raise ValueError("the chunks can't be told apart")
+                flats.append(ids)
+                counts.append(np.diff(np.append(starts, len(ids))))
+            return np.concatenate(flats), np.concatenate(counts)
+
+        model, signs = t.model, {"": []}
+
+        def of_letters(found: re.Match) -> list[int]:
+            ids, end = [x.id for x in model.tokenize(_SHOWN[32] + _shown(found[1]))], found[2]
+            if end not in signs:
+                if len(signs) > 10_000:
+                    signs.clear()
+                signs[end] = [x.id for x in model.tokenize(end)]
+            return ids + signs[end]
+
+        def other(chunks: list[str]) -> Ids:
+            easy = [plain.fullmatch(c) is not None for c in chunks]
+            a, na = joined([c for c, e in zip(chunks, easy, strict=True) if e]) if any(easy) else as_ids([])
+            b, nb = alone([c[1:] if c.startswith(" ") else f" {c}" for c, e in zip(chunks, easy, strict=True) if not e])
+            return _merged(np.array(easy, bool), a, na, b, nb)
+
         def encode(chunks: list[str]) -> Ids:
-            return as_ids([x.ids for a in range(0, len(chunks), 2000) for x in t.encode_batch_fast(chunks[a : a + 2000], add_special_tokens=False)])
+            found = list(map(_LETTERS.fullmatch, chunks))
+            a, na = as_ids([of_letters(m) for m in found if m is not None])
+            b, nb = other([c for c, m in zip(chunks, found, strict=True) if m is None])
+            return _merged(np.array([m is not None for m in found], bool), a, na, b, nb)
 
-        _OPENED[name] = ChunkTable(model_encoder(t, _SIMPLE_BYTES, encode), f"^ | $|{_WHITE} | {_WHITE}", lead=" ")
+        _OPENED[name] = ChunkTable(encode, f"^ | $|{_WHITE} | {_WHITE}", opening=True)
     return _OPENED[name]
