@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import prefixtree
 from lodestar.llm.chunktable import slices
+from lodestar.llm.columns import quoted
 from lodestar.llm.components import connect
 from lodestar.llm.shingles import WORDS, shingle_sets
 from lodestar.session import materialize
 
 #: Characters of text whose shingles meet in one bucket; classes that one task joins; pivots of a large block.
 BUCKET_CHARS, BLOCK_CLASSES, PIVOTS = 4_000_000, 1500, 32
-_REF, _LOW = np.uint64(24), np.uint64((1 << 40) - 1)
+#: Bits of an entry that tell its place, and those that tell its shingle (within a bucket); buckets at least.
+_REF, _LOW, BUCKETS = np.uint64(20), np.uint64((1 << 44) - 1), 64
 _DEALT = "bucket int, batch long, kind int, a binary, b binary"
 _SINGLE, _SEVERAL, _DOCS, _SHARED = range(4)
 
@@ -54,9 +56,9 @@ def _least_share(n: int) -> int:
 def _deal(buckets: int, words: int):
     """Shingles of a batch of documents, dealt to buckets.
 
-    An entry is the lower 40 bits of a hash and a place of 24 bits: of the document, or, for a shingle that several
+    An entry is the lower 44 bits of a hash and a place of 20 bits: of the document, or, for a shingle that several
     documents of the batch have, of a list that stays with the batch. So a shingle gives one entry a batch, however
-    common it is.
+    common it is. A slice of rows with more places than that is halved.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +66,9 @@ def _deal(buckets: int, words: int):
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for x, y in slices(batch.column(1)):
+            left = list(slices(batch.column(1)))[::-1]
+            while left:
+                x, y = left.pop()
                 ids = batch.column(0).slice(x, y - x)
                 sets = shingle_sets([t.encode() for t in batch.column(1).slice(x, y - x).to_pylist()], words)
                 sizes = np.array([len(s) for s in sets], np.int64)
@@ -74,6 +78,9 @@ def _deal(buckets: int, words: int):
                 begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
                 count = np.diff(np.append(begin, len(every)))
                 several = count > 1
+                if y - x > 1 and len(sets) + int(several.sum()) >= 1 << int(_REF):
+                    left += [((x + y) // 2, y), (x, (x + y) // 2)]
+                    continue
                 place = doc[begin]
                 place[several] = len(sets) + np.arange(several.sum())
                 member = np.repeat(several, count)
@@ -135,7 +142,7 @@ def _gather(table: pa.Table) -> pa.Table:
     entry = np.concatenate([np.frombuffer(r["a"], "<u8") for r in back]) if back else np.empty(0, np.uint64)
     bucket = np.repeat(np.array([r["bucket"] for r in back], np.uint64), [len(r["b"]) for r in back])
     df = np.concatenate([np.frombuffer(r["b"], np.uint8) for r in back]) if back else np.empty(0, np.uint8)
-    token, place = bucket << np.uint64(40) | entry >> _REF, (entry & np.uint64((1 << 24) - 1)).astype(np.int64)
+    token, place = bucket << np.uint64(44) ^ entry >> _REF, (entry & np.uint64((1 << int(_REF)) - 1)).astype(np.int64)
     alone, lists = place < docs, np.diff(held["lists"])
     which = place[~alone] - docs
     size = lists[which]
@@ -151,7 +158,7 @@ def _gather(table: pa.Table) -> pa.Table:
     for i in range(docs):
         least = _least_share(int(n[i]))
         may = n[i] > 0 and found[i] >= least
-        probe.append(int(found[i] - least + 1) if may else 0)
+        probe.append(int(found[i] - least + 1) if may and n[i] > 2 else 0)  # one or two shingles link with equal sets only
         shared.append(token[ends[i] - found[i] : ends[i]].tobytes() if may else None)
     return pa.table([pa.array(held["ids"], pa.int64()), pa.array(n), pa.array(held["digest"], pa.binary()), pa.array(probe, pa.int32()), pa.array(shared, pa.binary())], ["doc_id", "n", "digest", "probe", "shared"])
 
@@ -180,27 +187,35 @@ _ROOTS = "class long, root long"
 def _large_blocks(members: DataFrame, block_classes: int) -> DataFrame:
     """(class, root) for blocks that are too large for a task; exact, whatever their size.
 
-    First a block is cut into parts at random and each part is joined with the block's pivots, a few classes chosen at
-    random; so a mass of classes alike becomes one component. Then every class outside its block's largest component is
-    compared with all parts of the block; classes of that component need no comparison with each other.
+    First a block is cut into parts, by each class's rarest shared shingle, and each part is joined with the block's
+    pivots, a few classes chosen at random; so a mass of classes alike becomes one component. Then every class outside its
+    block's largest component is compared with those parts that have a class with one of its prefix shingles: no other
+    part can hold a set that links with it. Classes of the largest component need no comparison with each other.
     """
+    hot = members.groupBy("block", "first").agg(F.ceil(F.count("*") / block_classes).alias("shares"))
+    salted = members.join(hot, ["block", "first"])
     parts = F.ceil(F.col("size") / block_classes).cast("int")
-    cut = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "class"), F.col("parts")).cast("int"))
+    cut = salted.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("first", F.pmod(F.xxhash64("class"), F.col("shares"))), F.col("parts")).cast("int"))
+    cut = materialize(cut.select("block", "part", "parts", "size", "class", "n", "probe", "shared"), "join-cut")
     pivot = F.pmod(F.xxhash64(F.lit("pivot"), "class"), F.col("size")) < PIVOTS
     everywhere = cut.where(pivot).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     first = cut.where(~pivot).unionByName(everywhere).groupBy("block", "part").applyInArrow(_join_block, _ROOTS)
     first = materialize(first, "join-parts")
-    roots = connect(first.select(F.col("class").alias("u"), F.col("root").alias("v")))
-    placed = materialize(cut.join(roots.withColumnRenamed("u", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "join-roots")
+    roots = connect(first.select(F.col("class").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "class")
+    placed = cut.select("block", "part", "class").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    placed = materialize(placed, "join-roots")
     sizes = placed.groupBy("block", "root").count()
-    main = sizes.groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    told = placed.join(main, "block")
-    rest = told.where("root <> main")
-    left = rest.groupBy("block").agg(F.count("*").alias("left")).withColumn("slots", F.ceil(F.col("left") / block_classes).cast("int"))
-    asked = rest.join(left, "block").withColumn("slot", F.pmod(F.xxhash64(F.lit("slot"), "class"), F.col("slots")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    against = told.join(left, "block").withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    main = sizes.groupBy("block").agg(F.max_by("root", F.struct("count", "root")).alias("root"))
+    rest = placed.join(main, ["block", "root"], "left_anti").select("class", F.col("part").alias("own"))
+    prefixes = materialize(cut.select("class", "probe", "shared").mapInArrow(_prefixes, "token long, class long"), "join-prefixes")
+    held = prefixes.join(placed.select("class", "block", "part"), "class").select("token", "block", "part").distinct()
+    asked = materialize(prefixes.join(rest, "class").join(held, "token").where("part <> own").select("block", "part", "class").distinct(), "join-asked")
+    slots = asked.groupBy("block", "part").agg(F.ceil(F.count("*") / block_classes).cast("int").alias("slots"))
+    sets = cut.select("class", "n", "shared")
+    asking = asked.join(slots, ["block", "part"]).withColumn("slot", F.pmod(F.xxhash64(F.lit("slot"), "class"), F.col("slots")).cast("int")).join(sets, "class")
+    against = cut.join(slots, ["block", "part"]).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     columns = ["block", "part", "slot", "class", "n", "shared"]
-    second = asked.select(*columns).unionByName(against.select(*columns)).groupBy("block", "part", "slot").applyInArrow(_join_block, _ROOTS)
+    second = asking.select(*columns).unionByName(against.select(*columns)).groupBy("block", "part", "slot").applyInArrow(_join_block, _ROOTS)
     links = first.unionByName(second)
     return connect(links.select(F.col("class").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "class")
 
@@ -211,11 +226,15 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Two rows link when their sets of `words`-word shingles have a Jaccard similarity of at least 0.75, exactly. A null or
     empty text, or one without words, has an empty set and links with nothing; a text of fewer words is one shingle.
     Rows with equal sets share a class, which is named by 64 bits of the set's digest: keys may repeat or be null. A null
-    key joins its component, but is never its least key unless it has no other. Repeated rows stay. Shingles are told apart by 64-bit hashes, within a bucket by 40 further bits.
+    key joins its component, but is never its least key unless it has no other. Repeated rows stay; other columns aren't
+    read; a table without rows gives none. Shingles are compared by hashes: sets that are equal by 64 bits of each shingle,
+    others by those 44 bits of each that don't choose its bucket (some 4 million characters have one bucket), so that a
+    pair of shingles in about 2^44 is taken for one; that alone links no two sets, as those of one or two shingles link
+    with equal ones only.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = docs.select(quoted(key).cast("long").alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("t"))
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    buckets = max(8, math.ceil(chars / bucket_chars))
+    buckets = max(BUCKETS, math.ceil(chars / bucket_chars))
     dealt = rows.mapInArrow(_deal(buckets, words), _DEALT)
     counted = dealt.groupBy("bucket").applyInArrow(_count, _DEALT)
     sets = materialize(counted.groupBy("batch").applyInArrow(_gather, _SETS), "join-sets")
@@ -227,7 +246,8 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ties = prefixes.join(hubs, "token").where("class <> hub").select(F.col("class").alias("u"), F.col("hub").alias("v")).distinct()
     blocks = connect(ties).select(F.col("u").alias("class"), F.col("root").alias("block"))
     sized = blocks.join(blocks.groupBy("block").agg(F.count("*").alias("size")), "block")
-    members = materialize(classes.select("class", "n", "shared").join(sized, "class"), "join-members")
+    rarest = F.substring("shared", 1, 8).alias("first")
+    members = materialize(classes.select("class", "n", "probe", rarest, "shared").join(sized, "class"), "join-members")
     roots = members.where(F.col("size") <= block_classes).groupBy("block").applyInArrow(_join_block, _ROOTS)
     large = members.where(F.col("size") > block_classes)
     if large.select("block").limit(1).count():

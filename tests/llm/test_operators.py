@@ -1,8 +1,11 @@
 """The operators on small tables with nulls, empty and odd texts, ties and repeats, against plain versions."""
 
 import hashlib
+import pickle
 import re
 import zlib
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -264,6 +267,33 @@ def test_ngram_join(spark, docs, empty, block):
     assert ngram_join.similar_documents(empty).count() == 0
 
 
+def test_ngram_join_of_a_large_block_without_a_main_component(spark):
+    """Texts of two halves from a pool: chains of shared halves tie them all into one block, few of them link."""
+    rng = np.random.default_rng(6)
+    halves = [[f"h{h}w{i}" for i in range(30)] for h in range(25)]
+    rows = []
+    for k in range(400):
+        w = halves[rng.integers(25)] + halves[rng.integers(25)] + ([f"own{rng.integers(60)}"] if k % 2 else [])
+        for _ in range(rng.integers(0, 2)):
+            w[rng.integers(0, 60)] = "changed"
+        rows.append((k, " ".join(w)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(table, block_classes=20).collect()), key=str)
+    assert got == plain_components(rows)
+    sizes = Counter(c for *_, c in got)
+    assert len(sizes) > 60 and max(sizes.values()) < 100
+
+
+def test_more_places_than_an_entry_can_tell(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_REF", np.uint64(5))
+    monkeypatch.setattr("pyspark.TaskContext.get", staticmethod(lambda: SimpleNamespace(partitionId=lambda: 1)))
+    table = spark.createDataFrame([(i, " ".join(f"w{(i // 2 + j) % 50}" for j in range(12))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    batches = [b for b in table.toArrow().to_batches()]
+    dealt = list(ngram_join._deal(64, 5)(iter(batches)))
+    held = [pickle.loads(a) for b in dealt for kind, a in zip(b.column("kind").to_pylist(), b.column("a").to_pylist(), strict=True) if kind == ngram_join._DOCS]
+    assert sorted(i for h in held for i in h["ids"]) == list(range(40)) and len(held) > 2
+
+
 def test_shingles_tell_short_texts_apart():
     a, b, c, d = shingles.shingle_sets([b"a b c", b"a b c d", b"A\tb  C", b"c b a"])
     assert a[0] == c[0] and len({int(a[0]), int(b[0]), int(d[0])}) == 3
