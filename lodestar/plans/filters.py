@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import fold_overlap
+from lodestar.operators import predicates
 from lodestar.registry import query, table
 
 
 @query("property_filter", "SELECT doc_id, lang, source FROM documents WHERE lang IN ('en', 'de') AND source IN ('src0', 'src1', 'src2')")
 def property_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All keys must match, each by any accepted value; a missing key drops the row."""
-    wanted = {"lang": ["en", "de"], "source": ["src0", "src1", "src2"]}
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
-    for key, values in wanted.items():
-        docs = docs.where(F.col(key).isin(values))
-    return docs
+    return docs.where(predicates.matches_properties({"lang": ["EN", "de"], "source": ["src0", "src1", "src2"]}))
 
 
 @query(
@@ -27,16 +26,34 @@ def property_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, property, size, owner and scope filters in order; an unlabelled row passes the last."""
     rows = table(spark, sf_dir, "documents").drop("text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    rows = rows.where(F.coalesce("toxic", F.lit(0)) == 0).where(F.col("lang") == "en").where(F.col("n_chars").between(200, 20000))
-    rows = rows.where(F.col("source").isNull() | (F.col("source") != "src3")).where(F.col("quality").isNull() | (F.col("quality") == 1))
-    return rows.select("doc_id", "n_chars")
+    return predicates.apply_policy(rows, _policy()).where("rejected_by IS NULL").select("doc_id", "n_chars")
+
+
+def _policy() -> list:
+    return [
+        ("status", F.coalesce(F.col("toxic"), F.lit(0)) == 0),
+        ("property", F.col("lang") == "en"),
+        ("size", F.col("n_chars").between(200, 20000)),
+        ("owner", F.col("source").isNull() | (F.col("source") != "src3")),
+        ("scope", F.col("quality").isNull() | (F.col("quality") == 1)),
+    ]
+
+
+@query(
+    "policy_attribution",
+    """SELECT CASE WHEN coalesce(toxic, 0) <> 0 THEN 'status' WHEN lang IS NULL OR lang <> 'en' THEN 'property' WHEN n_chars IS NULL OR NOT n_chars BETWEEN 200 AND 20000 THEN 'size' WHEN source = 'src3' THEN 'owner' WHEN quality <> 1 THEN 'scope' END AS rejected_by, count(*) AS n
+    FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+)
+def policy_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each step of the policy rejects, and how many are kept (null)."""
+    rows = table(spark, sf_dir, "documents").drop("text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return predicates.apply_policy(rows, _policy()).groupBy("rejected_by").agg(F.count("*").alias("n"))
 
 
-@query("lexical_exclusion", "SELECT doc_id FROM documents WHERE NOT (contains(lower(coalesce(text, '')), 'idiot') OR contains(lower(coalesce(source, '')), 'src1'))")
+@query("lexical_exclusion", "SELECT doc_id FROM documents WHERE NOT (contains(lower(coalesce(text, '')), 'idiot') OR contains(lower(coalesce(source, '')), 'idiot') OR contains(lower(coalesce(source, '')), 'src1'))")
 def lexical_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drops rows whose text or source holds an excluded term."""
-    held = F.contains(F.lower(F.coalesce("text", F.lit(""))), F.lit("idiot")) | F.contains(F.lower(F.coalesce("source", F.lit(""))), F.lit("src1"))
-    return table(spark, sf_dir, "documents").where(~held).select("doc_id")
+    return table(spark, sf_dir, "documents").where(~predicates.holds_term(["text", "source"], ["Idiot"]) & ~predicates.holds_term(["source"], ["src1"])).select("doc_id")
 
 
 @query(
@@ -55,16 +72,17 @@ def rank_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round(F.least(F.lit(1.0), base * factor), 6).alias("score"), (F.coalesce("toxic", F.lit(0)) == 1).alias("excluded"))
 
 
-@query("time_range", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 23:59:59.999'")
+@query("time_range", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-13'")
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inclusive at both ends; a date-only end means the end of that day."""
-    return table(spark, sf_dir, "events").where("ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12 23:59:59.999'").select("event_id")
+    return table(spark, sf_dir, "events").where(predicates.in_range(F.col("ts"), "2024-01-10", "2024-01-12")).select("event_id")
 
 
 @query("asof_validity", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-01' AND CAST(o_orderdate AS DATE) + INTERVAL 60 DAY > TIMESTAMP '1996-06-01'")
 def asof_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows valid at an instant: from the order's date for sixty days."""
-    return table(spark, sf_dir, "orders").where("o_orderdate <= TIMESTAMP '1996-06-01' AND CAST(o_orderdate AS DATE) + INTERVAL 60 DAYS > TIMESTAMP '1996-06-01'").select("o_orderkey", "o_orderstatus")
+    ends = F.expr("CAST(CAST(o_orderdate AS DATE) + INTERVAL 60 DAYS AS TIMESTAMP)")
+    return table(spark, sf_dir, "orders").where(predicates.valid_at(F.col("o_orderdate"), ends, "1996-06-01")).select("o_orderkey", "o_orderstatus")
 
 
 @query(
@@ -187,3 +205,53 @@ def open_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("rn") > 1, "duplicate").when(F.col("closed").isNull(), "open").otherwise("closed")
     told = opens.join(closes.withColumn("closed", F.lit(1)), "id", "left").select("id", state.alias("state"))
     return told.unionByName(closes.join(opens, "id", "left_anti").withColumn("state", F.lit("orphan")))
+
+
+@query("trailing_window", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-02-01' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-02-01'")
+def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the last seven days."""
+    return table(spark, sf_dir, "events").where(predicates.within_days(F.col("ts"), "2024-02-01", 7)).select("event_id")
+
+
+@query("expiry_filter", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'soon' ELSE '2024-0' || (1 + doc_id % 3) || '-15' END AS e FROM documents) WHERE e IS NULL OR e = 'soon' OR CAST(e AS TIMESTAMP) > TIMESTAMP '2024-02-01'")
+def expiry_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that haven't expired; a text that is no date doesn't expire."""
+    e = F.expr("CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN 'soon' ELSE '2024-0' || (1 + doc_id % 3) || '-15' END")
+    return table(spark, sf_dir, "documents").where(~predicates.expired(e, "2024-02-01")).select("doc_id")
+
+
+@query("status_filter", "SELECT o_orderkey, lower(o_orderpriority) LIKE '1-%' OR lower(o_orderpriority) LIKE '5-%' AS terminal FROM orders WHERE o_orderstatus <> 'F'")
+def status_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders, and whether their priority is one of a closed set, whatever its case."""
+    orders = table(spark, sf_dir, "orders").where(~predicates.has_status(F.col("o_orderstatus"), ["f"]))
+    return orders.select("o_orderkey", predicates.has_status(F.col("o_orderpriority"), ["1-urgent", "5-low"]).alias("terminal"))
+
+
+@query(
+    "trust_reasons",
+    """SELECT doc_id, list_filter([CASE WHEN contains(lower(coalesce(text, '')), 'ignore') THEN 'marker' END, CASE WHEN toxic = 1 THEN 'quarantine' END, CASE WHEN source IN ('src3', 'src4') THEN 'source' END], lambda x: x IS NOT NULL) AS reasons FROM documents LEFT JOIN labels USING (doc_id)""",
+)
+def trust_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a document isn't trusted: a mark in its text, its label, its source; none for those that are."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    checks = {"marker": predicates.holds_term(["text"], ["ignore"]), "quarantine": F.col("toxic") == 1, "source": F.col("source").isin("src3", "src4")}
+    return rows.select("doc_id", predicates.reasons(checks).alias("reasons"))
+
+
+@query("visibility_filter", "SELECT event_id FROM events WHERE user_id = 7 OR lower(coalesce(event_type, 'public')) <> 'purchase'")
+def visibility_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What user 7 may see: their own events and those that aren't purchases."""
+    private = F.when(F.col("event_type") == "purchase", "private")
+    return table(spark, sf_dir, "events").where(predicates.visible_to("7", F.col("user_id").cast("string"), private)).select("event_id")
+
+
+@query(
+    "time_literals",
+    "SELECT * FROM (VALUES ('today', 0), ('yesterday', 0), ('last week', 0), ('last month', 0), ('36h', 0), ('2024-01-10', 0)) t(literal, z) CROSS JOIN LATERAL (SELECT count(*) AS n FROM events WHERE ts BETWEEN CASE literal WHEN 'today' THEN TIMESTAMP '2024-01-20' WHEN 'yesterday' THEN TIMESTAMP '2024-01-19' WHEN 'last week' THEN TIMESTAMP '2024-01-13' WHEN 'last month' THEN TIMESTAMP '2023-12-01' WHEN '36h' THEN TIMESTAMP '2024-01-18 22:30:00' ELSE TIMESTAMP '2024-01-10' END AND CASE literal WHEN 'today' THEN TIMESTAMP '2024-01-20 23:59:59.999' WHEN 'yesterday' THEN TIMESTAMP '2024-01-19 23:59:59.999' WHEN 'last week' THEN TIMESTAMP '2024-01-20 23:59:59.999' WHEN 'last month' THEN TIMESTAMP '2023-12-31 23:59:59.999' WHEN '36h' THEN TIMESTAMP '2024-01-18 22:30:00' ELSE TIMESTAMP '2024-01-10 23:59:59.999' END) s".replace("SELECT * FROM", "SELECT literal, n FROM"),
+)
+def time_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events within the span that each time literal names: one scan for all of them."""
+    now = dt.datetime(2024, 1, 20, 10, 30)
+    spans = {x: (predicates.time_point(x, now), predicates.time_point(x, now, late=True)) for x in ("today", "yesterday", "last week", "last month", "36h", "2024-01-10")}
+    counts = [F.struct(F.lit(x).alias("literal"), F.count(F.when(F.col("ts").between(F.lit(str(a)).cast("timestamp"), F.lit(str(b)).cast("timestamp")), 1)).alias("n")) for x, (a, b) in spans.items()]
+    return table(spark, sf_dir, "events").agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")
