@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Patterns of the notation.
 CODE = r"(?s)```.*?```|~~~.*?~~~|`[^`\n]*`"
-WIKILINK, MARKDOWN_LINK, TAG = r"\[\[([^\[\]\n]+)\]\]", r"\[([^\[\]\n]*)\]\(([^()\s]+)\)", r"(?:^|[\s(])#([\p{L}\p{N}_/-]*[\p{L}_][\p{L}\p{N}_/-]*)"
+WIKILINK, MARKDOWN_LINK, TAG = r"\[\[([^\[\]\n]+)\]\]", r"\[([^\[\]\n]*)\]\(([^()\s]+)\)", r"(?:^|\s)#([\p{L}\p{N}_/-]*[\p{L}_][\p{L}\p{N}_/-]*)"
 EXTERNAL = r"(?i)^(?:[a-z][a-z0-9+.-]*:|//|#)"
 CITATION = r"\[Source: ([^,\]\n]+), (\d{4}-\d{2}-\d{2})\]"
 POINTER = r"^(.+):L([0-9]+)-L([0-9]+)$"

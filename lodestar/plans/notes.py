@@ -38,7 +38,7 @@ _LINKS = (
     _CLEAN
     + r"""l AS (SELECT note, unnest(list_transform(regexp_extract_all(t, '\[\[([^\[\]\n]+)\]\]', 1), lambda x: {'kind': 'wikilink', 'target': trim(regexp_extract(x, '^([^|#^]*)', 1)), 'label': trim(regexp_extract(x, '([^|]*)$', 1))})) AS l FROM clean
     UNION ALL SELECT note, unnest(list_transform(list_filter(list_zip(regexp_extract_all(t, '\[([^\[\]\n]*)\]\(([^()\s]+)\)', 2), regexp_extract_all(t, '\[([^\[\]\n]*)\]\(([^()\s]+)\)', 1)), lambda x: NOT regexp_matches(x[1], '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//|#)')), lambda x: {'kind': 'markdown', 'target': regexp_replace(x[1], '#.*$', ''), 'label': x[2]})) FROM clean
-    UNION ALL SELECT note, unnest(list_transform(regexp_extract_all(t, '(?:^|[\s(])#([\p{L}\p{N}_/-]*[\p{L}_][\p{L}\p{N}_/-]*)', 1), lambda x: {'kind': 'tag', 'target': x, 'label': x})) FROM clean),
+    UNION ALL SELECT note, unnest(list_transform(regexp_extract_all(t, '(?:^|\s)#([\p{L}\p{N}_/-]*[\p{L}_][\p{L}\p{N}_/-]*)', 1), lambda x: {'kind': 'tag', 'target': x, 'label': x})) FROM clean),
     links AS (SELECT DISTINCT note, l.kind AS kind, l.target AS target, l.label AS label FROM l WHERE l.target <> ''), """
 )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import contains_cjk, content_hash, normalize_value, token_count, token_estimate, word_set
 from lodestar.operators.chunking import chunk_documents
+from lodestar.operators.ledger import budget_walk
 from lodestar.operators.lexical import bm25, query_terms, top
 from lodestar.operators.ranking import diversify
 from lodestar.registry import query, table
@@ -137,23 +138,14 @@ def hashed_embedding(spark: SparkSession, sf_dir: str, dimension: int = 256) ->
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "conv_id long, turn long, embedding array<float>")
 
 
-@query("budget_pack")
+@query(
+    "budget_pack",
+    """WITH RECURSIVE r AS (SELECT conv_id, turn, length(coalesce(text, '')) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+    p AS (SELECT conv_id, turn, chars, rn, chars <= 2000 AS kept, CASE WHEN chars <= 2000 THEN chars ELSE 0 END AS used FROM r WHERE rn = 1
+      UNION ALL SELECT r.conv_id, r.turn, r.chars, r.rn, p.used + r.chars <= 2000, p.used + CASE WHEN p.used + r.chars <= 2000 THEN r.chars ELSE 0 END FROM p JOIN r ON r.conv_id = p.conv_id AND r.rn = p.rn + 1)
+    SELECT conv_id, turn, chars FROM p WHERE kept""",
+)
 def budget_pack(spark: SparkSession, sf_dir: str, budget: int = 2000) -> DataFrame:
-    """Turns of each session in order while they fit a budget of characters; one that would overflow is skipped, not the rest.
-
-    The walk is a stateful fold over each session's sorted rows; a task streams its partition.
-    """
+    """Turns of each session in order while they fit a budget of characters; one that would overflow is skipped, not the rest."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"))
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, used = None, 0
-        for frame in frames:
-            kept = []
-            for c, n in zip(frame["conv_id"], frame["chars"], strict=True):
-                if c != session:
-                    session, used = c, 0
-                kept.append(used + n <= budget)
-                used += n if kept[-1] else 0
-            yield frame[kept]
-
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn").mapInPandas(walk, "conv_id long, turn long, chars long")
+    return budget_walk(rows, "conv_id", ["turn"], "chars", budget)
