@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.llm.bytebpe import op12_byte_bpe
 from lodestar.llm.chat import OP2_SQL, op2_chat
 from lodestar.llm.imatch import op3_imatch
 from lodestar.llm.langid import op6_language
@@ -14,6 +15,8 @@ from lodestar.llm.media import op10_media
 from lodestar.llm.ngram_join import op9_ngram_join
 from lodestar.llm.packing import op1_packing
 from lodestar.llm.pieces import op8_pieces
+from lodestar.llm.repair import OP11_SQL, op11_repair
+from lodestar.llm.runs import op13_runs
 from lodestar.llm.token_output import op4_token_files
 from lodestar.llm.toxicity import op7_toxicity
 
@@ -30,8 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pieces": op8_pieces,
         "op9_ngram_join": op9_ngram_join,
         "op10_media": op10_media,
+        "op11_repair": op11_repair,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_runs": op13_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": OP2_SQL}
+    return {"op2_chat": OP2_SQL, "op11_repair": OP11_SQL}
