@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestar.llm.columns import quoted
+
 PARTS = "array<struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>>"
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
 #: What follows "<" or "[" in a control string, of this template or of other common ones.
@@ -28,10 +30,22 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))).cast("array<struct<type:string,text:string>>")
 
 
-def _visit(part: Column) -> Column:
-    """The string that stands for a part: an escaped text, or the placeholder of its kind."""
-    kind = part["type"]
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.lit("<|unknown|>"))
+def _placeholder(kind: Column) -> Column:
+    return F.when(kind.isin("image", "audio", "document"), F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(F.lit("<|unknown|>"))
+
+
+def _visit(parts: Column) -> Column:
+    """The string of parts in order. Neighbouring texts are joined before they are escaped, as a control string may lie across them."""
+    begin = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+
+    def step(so_far: Column, part: Column) -> Column:
+        is_text, said = part["type"] == "text", F.coalesce(part["text"], F.lit(""))
+        ended = F.concat(so_far["done"], escape(so_far["open"]), _placeholder(part["type"]))
+        return F.when(is_text, F.struct(so_far["done"].alias("done"), F.concat(so_far["open"], said).alias("open"))).otherwise(F.struct(ended.alias("done"), F.lit("").alias("open")))
+
+    joined = F.aggregate(parts, begin, step, lambda x: F.concat(x["done"], escape(x["open"])))
+    alone = F.get(parts, F.lit(0))
+    return F.when((F.size(parts) == 1) & (alone["type"] == "text"), escape(F.coalesce(alone["text"], F.lit("")))).otherwise(joined)
 
 
 def _tokens(part: Column) -> Column:
@@ -53,17 +67,19 @@ def format_chat(messages: DataFrame, key: str = "conv_id", turn: str = "turn", r
     and attachments (turn number, part number, type, uri, tokens that it expands to) in order.
 
     Turns are ordered by turn (null first), then role, then body; rows that repeat stay. A null role or text is empty,
-    null parts are no parts, a null key is a conversation of its own, a part of another type gives <|unknown|>. A
-    conversation is one string and so must fit a row. Other columns are not read. No rows give no rows.
+    null parts are no parts, a null key is a conversation of its own, a part of another or of no type gives <|unknown|>. A
+    conversation is one string and so must fit a row. Other columns are not read; a key that is named as an output is
+    called <key>_key in the result. No rows give no rows.
     """
-    named = F.coalesce(F.col(role), F.lit(""))
+    shown = f"{key}_key" if key.lower() in ("formatted", "loss_spans", "attachments") else key
+    named = F.coalesce(quoted(role), F.lit(""))
     media = F.filter(
         F.transform(F.col("p"), lambda p, i: F.struct(i.alias("part"), p["type"].alias("type"), p["uri"].alias("uri"), _tokens(p).alias("tokens"))),
-        lambda a: a["type"] != "text",
+        lambda a: ~a["type"].eqNullSafe("text"),
     )
     rows = (
-        messages.select(F.col(key).alias("k"), F.col(turn).alias("t"), named.alias("r"), F.coalesce(F.col(parts), F.array()).cast(PARTS).alias("p"))
-        .select("k", "t", "r", escape(F.col("r")).alias("er"), F.array_join(F.transform("p", _visit), "").alias("b"), media.alias("m"))
+        messages.select(quoted(key).alias("k"), quoted(turn).alias("t"), named.alias("r"), F.coalesce(quoted(parts).cast(PARTS), F.array().cast(PARTS)).alias("p"))
+        .select("k", "t", "r", escape(F.col("r")).alias("er"), _visit(F.col("p")).alias("b"), media.alias("m"))
         .withColumn("head", F.length(F.concat(F.lit(TURN), "er", F.lit(BODY))))
     )
     order = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_first(), "r", "b")
@@ -73,7 +89,7 @@ def format_chat(messages: DataFrame, key: str = "conv_id", turn: str = "turn", r
     turns = sized.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "r", "er", "b", "m", "start", "head"))).alias("turns"))
     spoken = F.filter("turns", lambda t: t["r"] == "assistant")
     return turns.select(
-        F.col("k").alias(key),
+        F.col("k").alias(shown),
         F.array_join(F.transform("turns", lambda t: F.concat(F.lit(TURN), t["er"], F.lit(BODY), t["b"], F.lit(END))), "").alias("formatted"),
         F.transform(spoken, lambda t: F.struct((t["start"] + t["head"]).alias("start"), F.length(t["b"]).alias("length"))).alias("loss_spans"),
         F.flatten(F.transform("turns", lambda t: F.transform(t["m"], lambda a: F.struct(t["n"].alias("turn"), a["part"], a["type"], a["uri"], a["tokens"])))).alias("attachments"),
@@ -121,8 +137,8 @@ WITH rows AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(length(role) + length(text) + 8 + 8 + 7
-        + len(regexp_extract_all(text, '</?s>|\[/?INST\]|<\||<</?SYS>>'))) AS formatted_chars
+    sum(length(role) + len(regexp_extract_all(role, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')) + length(text) + 8 + 8 + 7
+        + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)'))) AS formatted_chars
   FROM rows GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
