@@ -24,6 +24,8 @@ SUBSETS, RATES = 64, (24, 96, 384, 1536)
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 #: Documents in a run of neighbours; quantiles of the keys, and the step of the coarse ones.
 RUN, CUTS, FAN = 500, 4096, 64
+#: Heads of runs (24 bytes each) that are broadcast to the rows at most; beyond, both are shuffled by key.
+HEADS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -148,7 +150,8 @@ def with_next(docs: DataFrame, key: str, payload: list[str], derived: dict[str,
     )
     placed = dealt(kept.withColumn("_key", F.coalesce(quoted(key).cast("long"), F.lit(lowest)))).withColumn("_ghost", F.lit(0))
     values = F.struct(*[quoted(c).alias(f"p{i}") for i, c in enumerate(payload)])
-    best = placed.join(follows, F.col("_key") == F.col("head")).groupBy("to_cut", "to_part").agg(F.min(values).alias("_p"))
+    few = (len(cuts) + 1) * parts <= HEADS
+    best = placed.join(F.broadcast(follows) if few else follows, F.col("_key") == F.col("head")).groupBy("to_cut", "to_part").agg(F.min(values).alias("_p"))
     ghosts = best.select(
         F.lit(None).cast(docs.select(quoted(key)).schema[0].dataType).alias(key), *[F.col(f"_p.p{i}").alias(c) for i, c in enumerate(payload)],
         F.lit(lowest).alias("_key"), F.col("to_cut").alias("_cut"), F.col("to_part").alias("_part"), F.lit(1).alias("_ghost"),
