@@ -122,7 +122,7 @@ def score(pool: DataFrame, weights: Weights = Weights(), links: DataFrame | None
     near = F.when(F.greatest(open_since - F.col("event"), F.col("event") - open_until) > 7 * 86400, F.lit(0.0)).otherwise(near)
     layers = {
         "link": F.least(F.lit(GRAPH_CAP), F.least(F.lit(LINK_CAP), count("linked") * LINK_STEP) + F.least(F.lit(TAG_CAP), count("tagged") * TAG_STEP)),
-        "recency": F.coalesce(weibull_recency(F.col("age_days")), F.lit(0.0)) * weights.recency_mul * F.col("damping"),
+        "recency": F.when(F.col("age_days").isNull(), F.lit(0.0)).otherwise(weibull_recency(F.col("age_days"))) * weights.recency_mul * F.col("damping"),
         "entity": F.least(F.lit(ENTITY_CAP), F.col("entities") * ENTITY_STEP * weights.entity_mul),
         "activated": clamp01(F.col("activation")) * ACTIVATION_CAP,
         "companion": F.least(F.lit(COMPANION_CAP), count("together") * COMPANION_STEP),

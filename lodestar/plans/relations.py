@@ -117,8 +117,8 @@ def link_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "bridged_walk",
-    f"""WITH RECURSIVE {_WALK}, at AS (SELECT l_partkey AS doc, epoch(max(l_shipdate)) AS event FROM lineitem GROUP BY 1),
-    timed AS (SELECT r.*, event, epoch(TIMESTAMP '2001-06-01') AS since, epoch(TIMESTAMP '2001-09-30') AS until FROM reached r LEFT JOIN at USING (doc)),
+    f"""WITH RECURSIVE {_WALK}, used AS (SELECT l_partkey AS doc, epoch(max(l_shipdate)) AS event FROM lineitem GROUP BY 1),
+    timed AS (SELECT r.*, event, epoch(TIMESTAMP '2001-06-01') AS since, epoch(TIMESTAMP '2001-09-30') AS until FROM reached r LEFT JOIN used USING (doc)),
     nearby AS (SELECT *, CASE WHEN hop = 0 THEN 1 WHEN event IS NULL OR greatest(since - event, event - until) > 30 * 86400 THEN 0 ELSE 1 - greatest(since - event, event - until, 0) / 86400.0 / 31 END AS share FROM timed)
     SELECT query, doc, round(round(score, 6) * share, 6) AS score, hop FROM nearby WHERE share > 0""",
 )
