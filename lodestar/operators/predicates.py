@@ -93,21 +93,34 @@ def apply_policy(rows: DataFrame, steps: Sequence[tuple[str, Column]], rejected:
 
 
 def time_point(raw: str, now: dt.datetime, late: bool = False) -> dt.datetime:
-    """The instant that a literal names, its begin or (late) its end: today, yesterday, last week, last month, 3h, 2d, 1w, a date, a timestamp.
+    """The instant that a literal names as a begin, or (late) as an end: today, yesterday, last week, last month, 3h, 2d, 1w, a date, a timestamp.
 
-    Dates are whole days in UTC; a timestamp without an offset is UTC; anything else is a ValueError.
+    An end of "today" is now; "yesterday" and a date end a millisecond before the next day; "last week" and "last month" are
+    7 and 30 days before now at either end, as are hours, days and weeks. Everything is UTC, so is a timestamp without an
+    offset; a day that doesn't exist and anything else is a ValueError.
     """
     text, day = raw.strip().lower(), now.replace(hour=0, minute=0, second=0, microsecond=0)
-    month = day.replace(day=1)
-    spans = {"today": (day, day + DAY), "yesterday": (day - DAY, day), "last week": (day - 7 * DAY, day + DAY), "last month": ((month - DAY).replace(day=1), month)}
-    if text in spans:
-        begin, end = spans[text]
-    elif m := re.fullmatch(r"(\d+)([hdw])", text):
+    back = {"last week": 7 * DAY, "last month": 30 * DAY}
+    if text == "today":
+        return now if late else day
+    if text in back:
+        return now - back[text]
+    if m := re.fullmatch(r"(\d{1,4})([hdw])", text):
         return now - int(m[1]) * {"h": dt.timedelta(hours=1), "d": DAY, "w": 7 * DAY}[m[2]]
+    if text == "yesterday":
+        begin = day - DAY
     else:
         point = dt.datetime.fromisoformat(raw.strip())
         point = (point if point.tzinfo else point.replace(tzinfo=dt.UTC)).astimezone(dt.UTC).replace(tzinfo=now.tzinfo)
         if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
             return point
-        begin, end = point, point + DAY
-    return end - dt.timedelta(milliseconds=1) if late else begin
+        begin = point
+    return begin + DAY - dt.timedelta(milliseconds=1) if late else begin
+
+
+def time_range(since: str | None, until: str | None, now: dt.datetime) -> tuple[dt.datetime | None, dt.datetime | None]:
+    """Both ends of a range, None where open; a begin after the end is a ValueError."""
+    begin, end = (time_point(since, now) if since is not None else None), (time_point(until, now, late=True) if until is not None else None)
+    if begin is not None and end is not None and begin > end:
+        raise ValueError("the begin is after the end")
+    return begin, end

@@ -245,13 +245,17 @@ def visibility_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(predicates.visible_to("7", F.col("user_id").cast("string"), private)).select("event_id")
 
 
-@query(
-    "time_literals",
-    "SELECT * FROM (VALUES ('today', 0), ('yesterday', 0), ('last week', 0), ('last month', 0), ('36h', 0), ('2024-01-10', 0)) t(literal, z) CROSS JOIN LATERAL (SELECT count(*) AS n FROM events WHERE ts BETWEEN CASE literal WHEN 'today' THEN TIMESTAMP '2024-01-20' WHEN 'yesterday' THEN TIMESTAMP '2024-01-19' WHEN 'last week' THEN TIMESTAMP '2024-01-13' WHEN 'last month' THEN TIMESTAMP '2023-12-01' WHEN '36h' THEN TIMESTAMP '2024-01-18 22:30:00' ELSE TIMESTAMP '2024-01-10' END AND CASE literal WHEN 'today' THEN TIMESTAMP '2024-01-20 23:59:59.999' WHEN 'yesterday' THEN TIMESTAMP '2024-01-19 23:59:59.999' WHEN 'last week' THEN TIMESTAMP '2024-01-20 23:59:59.999' WHEN 'last month' THEN TIMESTAMP '2023-12-31 23:59:59.999' WHEN '36h' THEN TIMESTAMP '2024-01-18 22:30:00' ELSE TIMESTAMP '2024-01-10 23:59:59.999' END) s".replace("SELECT * FROM", "SELECT literal, n FROM"),
-)
+_LITERALS = """(VALUES ('today', TIMESTAMP '2024-01-20', TIMESTAMP '2024-01-20 10:30:00'), ('yesterday', TIMESTAMP '2024-01-19', TIMESTAMP '2024-01-19 23:59:59.999'), ('last week', TIMESTAMP '2024-01-13 10:30:00', TIMESTAMP '2024-01-13 10:30:00'),
+    ('last month', TIMESTAMP '2023-12-21 10:30:00', TIMESTAMP '2023-12-21 10:30:00'), ('36h', TIMESTAMP '2024-01-18 22:30:00', TIMESTAMP '2024-01-18 22:30:00'), ('2024-01-10', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-10 23:59:59.999')) t(literal, begin, done)"""
+
+
+@query("time_literals", f"SELECT literal, (SELECT count(*) FROM events WHERE ts BETWEEN begin AND done) AS n, (SELECT count(*) FROM events WHERE ts >= begin AND ts <= TIMESTAMP '2024-01-20 10:30:00') AS since FROM {_LITERALS}")
 def time_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events within the span that each time literal names: one scan for all of them."""
+    """Events from the begin to the end that each time literal names, and from its begin until now: one scan for all of them."""
     now = dt.datetime(2024, 1, 20, 10, 30)
-    spans = {x: (predicates.time_point(x, now), predicates.time_point(x, now, late=True)) for x in ("today", "yesterday", "last week", "last month", "36h", "2024-01-10")}
-    counts = [F.struct(F.lit(x).alias("literal"), F.count(F.when(F.col("ts").between(F.lit(str(a)).cast("timestamp"), F.lit(str(b)).cast("timestamp")), 1)).alias("n")) for x, (a, b) in spans.items()]
+    within = lambda a, b: F.count(F.when(F.col("ts").between(F.lit(str(a)).cast("timestamp"), F.lit(str(b)).cast("timestamp")), 1))
+    counts = []
+    for literal in ("today", "yesterday", "last week", "last month", "36h", "2024-01-10"):
+        begin, end = predicates.time_range(literal, literal, now)
+        counts.append(F.struct(F.lit(literal).alias("literal"), within(begin, end).alias("n"), within(begin, now).alias("since")))
     return table(spark, sf_dir, "events").agg(F.array(*counts).alias("c")).select(F.explode("c").alias("c")).select("c.*")

@@ -80,7 +80,14 @@ def test_predicates(spark):
 def test_time_points():
     now = dt.datetime(2024, 3, 5, 12)
     point = lambda x, late=False: str(predicates.time_point(x, now, late))
-    assert point("Last Month") == "2024-02-01 00:00:00" and point("last month", True) == "2024-02-29 23:59:59.999000"
+    assert point("Last Month") == "2024-02-04 12:00:00" == point("last month", True) and point(" last week ") == "2024-02-27 12:00:00"
+    assert point("today") == "2024-03-05 00:00:00" and point("today", True) == "2024-03-05 12:00:00" and point("yesterday", True) == "2024-03-04 23:59:59.999000"
+    assert point("2024-02-29", True) == "2024-02-29 23:59:59.999000" and predicates.time_range(None, "1w", now) == (None, now - dt.timedelta(days=7))
+    for bad in ("2024-02-30", "12345h", ""):
+        with pytest.raises(ValueError):
+            point(bad)
+    with pytest.raises(ValueError):
+        predicates.time_range("today", "yesterday", now)
     assert point("3h") == "2024-03-05 09:00:00" == point("3h", True) and point("2024-01-02T03:00:00+02:00") == "2024-01-02 01:00:00"
     with pytest.raises(ValueError):
         point("someday")
