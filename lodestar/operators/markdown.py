@@ -14,7 +14,9 @@ WIKILINK, MARKDOWN_LINK, TAG = r"\[\[([^\[\]\n]+)\]\]", r"\[([^\[\]\n]*)\]\(([^(
 EXTERNAL = r"(?i)^(?:[a-z][a-z0-9+.-]*:|//|#)"
 CITATION = r"\[Source: ([^,\]\n]+), (\d{4}-\d{2}-\d{2})\]"
 POINTER = r"^(.+):L([0-9]+)-L([0-9]+)$"
-ABBREVIATIONS = "Mr Mrs Ms Dr Prof Sr Jr St vs etc approx Fig No Inc Ltd Co".split()
+ABBREVIATIONS = "e.g i.e etc vs cf ca approx dr mr mrs ms prof st no fig min max".split()
+#: White space of any script, as within a character class.
+SPACE = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SECRETS = [r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{20,}", r"sk-[A-Za-z0-9_-]{16,}", r"(?i)bearer [a-z0-9._~+/-]{16,}=*"]
 
 
@@ -84,11 +86,19 @@ def entities(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(runs, phrases, marked), lambda x: F.lower(F.trim(x))), lambda x: F.length(x) >= 2))
 
 
+def trimmed(text: Column) -> Column:
+    """The text without white space of any script at its ends."""
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def sentences(text: Column) -> Column:
-    """Sentences: cut after . ! ? and white space before a capital, digit, quote or bracket; not after an abbreviation or initial."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(^|[^\p{{L}}])({'|'.join(ABBREVIATIONS)}|\p{{Lu}})\.(\s)", "$1$2.\u0002$3")
-    cut = F.regexp_replace(kept, r"([.!?])\s+([\p{Lu}\p{N}\"'(\[])", "$1\u0001$2")
-    return F.filter(F.transform(F.split(F.translate(cut, "\u0002", ""), "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences of a text, trimmed: cut after . ! ? where white space and then A-Z, a digit, a quote or an open bracket follow.
+
+    A full stop after an abbreviation (in any case, with or without one more stop) or a single letter A-Z doesn't end one.
+    """
+    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    ends = rf"(?<=[.!?])(?<!(?:^|[{SPACE}])(?i:{known})\.?\.)(?<!(?:^|[{SPACE}])[A-Za-z]\.)(?=[{SPACE}]+[A-Z0-9\"'(\[])"
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ends), trimmed), lambda s: s != "")
 
 
 def citations(text: Column) -> Column:

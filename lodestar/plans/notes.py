@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.operators import markdown
+from lodestar.operators import facts, markdown
 from lodestar.registry import query, table
 
 _TEXT = """'# Report of ' || n_name || chr(10) || 'Dr. Alan met Mr. ' || n_name || ' in [[places/nation-' || n_nationkey || '#history|' || n_name || ']]. They spoke. "Quiet words" were said! Was it v2Plan or XML9? See [the card](customers/c' || c_custkey % 40 || '.md#top), [[alias ' || c_custkey % 7 || ']] and [web](https://example.com/x). Code: `[[no link]] #notag` ends.' || chr(10) || 'It cost $' || c_custkey % 90 || '.50 or ' || c_custkey % 9 || ' %. [Source: Ledger ' || c_custkey % 3 || ', 2024-01-' || CASE WHEN c_custkey % 5 = 0 THEN '99' ELSE '17' END || '] #market/' || lower(c_mktsegment) || ' token sk-abcdefabcdef' || (100000 + c_custkey % 1000) || CASE WHEN c_custkey % 3 = 0 THEN ' 東京都の駅 그' ELSE '' END"""
@@ -101,15 +101,18 @@ def entity_join(spark: SparkSession, sf_dir: str, most: int = 50, k: int = 10) -
     return top(found, "query", "shared", "doc", k).drop("rank")
 
 
-_ABBREVIATED = "|".join(markdown.ABBREVIATIONS)
+def sentences_sql(text: str) -> str:
+    """The sentences of a text in SQL without lookaround: stops of abbreviations and initials stand aside while it is cut."""
+    known = "|".join(a.replace(".", r"\.") for a in markdown.ABBREVIATIONS)
+    space = markdown.SPACE
+    for _ in range(2):  # one stop's white space may be the next one's begin
+        for word in (rf"(?i:{known})\.?", "[A-Za-z]"):
+            text = rf"regexp_replace({text}, '(^|[{space}])({word})\.([{space}])', '\1\2' || chr(2) || '\3', 'g')"
+    cut = rf"regexp_replace({text}, '([.!?])[{space}]+([A-Z0-9\"''(\[])', '\1' || chr(1) || '\2', 'g')"
+    return rf"list_filter(list_transform(string_split(replace({cut}, chr(2), '.'), chr(1)), lambda x: regexp_replace(x, '^[{space}]+|[{space}]+$', '', 'g')), lambda x: x <> '')"
 
 
-@query(
-    "note_sentences",
-    rf"""WITH {_NOTES} k AS (SELECT note, regexp_replace(text, '(^|[^\p{{L}}])({_ABBREVIATED}|\p{{Lu}})\.(\s)', '\1\2.' || chr(2) || '\3', 'g') AS t FROM notes),
-    s AS (SELECT note, list_filter(list_transform(string_split(replace(regexp_replace(t, '([.!?])\s+([\p{{Lu}}\p{{N}}"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(2), ''), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM k)
-    SELECT note, generate_subscripts(s, 1) AS n, unnest(s) AS sentence FROM s""",
-)
+@query("note_sentences", f"WITH {_NOTES} s AS (SELECT note, {sentences_sql('text')} AS s FROM notes) SELECT note, generate_subscripts(s, 1) AS n, unnest(s) AS sentence FROM s")
 def note_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = notes(spark, sf_dir).select("note", F.posexplode(markdown.sentences(F.col("text"))).alias("n", "sentence"))
     return rows.select("note", (F.col("n") + 1).cast("long").alias("n"), "sentence")
@@ -159,3 +162,53 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with line numbers, and a line pointer taken apart."""
     at = markdown.pointer(F.concat(F.lit("note-"), F.col("note").cast("string"), F.lit(":L2-L3")))
     return notes(spark, sf_dir).select("note", markdown.numbered_lines(F.col("text")).alias("numbered"), at.alias("p")).select("note", "numbered", "p.*")
+
+
+# A Markdown record of every conversation: a heading a turn, its text, and in turn the text as a list item, a quote or code.
+_PIECE = """repeat('#', CAST(1 + turn % 3 AS INT)) || ' ' || coalesce(role, 'none') || ' ' || turn || chr(10) || replace(coalesce(text, ''), ' the ', ' Dr. The ')
+    || CASE turn % 4 WHEN 0 THEN chr(10) || chr(10) || '- ' || replace(replace(coalesce(text, ''), chr(10), ' '), ' and ', ' e.g. And ') WHEN 1 THEN chr(10) || '> ' || coalesce(text, '') WHEN 2 THEN chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' ELSE chr(10) || '  3) one `code` item of ' || coalesce(role, '') END"""
+_RECORDS = f"records AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) ELSE '' END || string_agg(piece, chr(10) ORDER BY turn, piece) AS text FROM (SELECT conv_id, turn, {_PIECE} AS piece FROM conversations) GROUP BY conv_id)"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, text): the record of every conversation."""
+    pieces = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_PIECE).alias("piece"))
+    front = F.when(F.col("conv_id") % 3 == 0, "---\ntitle: x\n---\n").otherwise("")
+    joined = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("p"))
+    return joined.select("conv_id", F.concat(front, F.array_join(F.transform("p", lambda x: x["piece"]), "\n")).alias("text"))
+
+
+_TRIM = f"'^[{markdown.SPACE}]+|[{markdown.SPACE}]+$', '', 'g'"
+
+
+@query(
+    "atomic_facts",
+    rf"""WITH {_RECORDS},
+    raw AS (SELECT conv_id, generate_subscripts(ls, 1) AS ln, unnest(ls) AS line FROM (SELECT conv_id, string_split_regex(text, '\r?\n') AS ls FROM records)),
+    l0 AS (SELECT *, regexp_replace(line, {_TRIM}) AS body FROM raw),
+    l1 AS (SELECT * FROM l0 WHERE NOT (conv_id % 3 = 0 AND ln <= 3)),
+    l2 AS (SELECT *, count(*) FILTER (WHERE starts_with(body, '```') OR starts_with(body, '~~~')) OVER (PARTITION BY conv_id ORDER BY ln) AS fences FROM l1),
+    l3 AS (SELECT *, CASE WHEN starts_with(body, '```') OR starts_with(body, '~~~') THEN 'fence' WHEN fences % 2 = 1 THEN 'code' WHEN body = '' THEN 'blank' WHEN starts_with(body, '>') THEN 'quote' WHEN regexp_matches(body, '^#{{1,6}}[{markdown.SPACE}]') THEN 'heading'
+      WHEN regexp_matches(line, '^[{markdown.SPACE}]*([-*+]|[0-9]{{1,3}}[.)])[{markdown.SPACE}]+.') THEN 'item' ELSE 'prose' END AS kind FROM l2),
+    heads AS (SELECT conv_id, ln, length(regexp_extract(body, '^#+')) AS level, trim(substr(regexp_replace(regexp_replace(body, '^#+[{markdown.SPACE}]+', ''), '[{markdown.SPACE}]+', ' ', 'g'), 1, 300)) AS title FROM l3 WHERE kind = 'heading'),
+    ended AS (SELECT h.*, (SELECT min(o.ln) FROM heads o WHERE o.conv_id = h.conv_id AND o.ln > h.ln AND o.level <= h.level) AS until FROM heads h),
+    l4 AS (SELECT *, count(*) FILTER (WHERE kind <> 'prose') OVER (PARTITION BY conv_id ORDER BY ln) AS paragraph FROM l3),
+    blocks AS (SELECT conv_id, min(ln) AS ln, 'sentence' AS kind, string_agg(body, ' ' ORDER BY ln) AS t FROM l4 WHERE kind = 'prose' GROUP BY conv_id, paragraph
+      UNION ALL SELECT conv_id, ln, 'list_item', regexp_extract(line, '^[{markdown.SPACE}]*(?:[-*+]|[0-9]{{1,3}}[.)])[{markdown.SPACE}]+(.+)$', 1) FROM l4 WHERE kind = 'item'),
+    cut AS (SELECT conv_id, ln, kind, CASE WHEN kind = 'list_item' AND len(s) <= 1 THEN [t] ELSE s END AS s FROM (SELECT *, {sentences_sql('t')} AS s FROM blocks)),
+    said AS (SELECT conv_id, ln, kind, generate_subscripts(s, 1) AS n, unnest(s) AS x FROM cut),
+    stated AS (SELECT *, substr(trim(regexp_replace(regexp_replace(x, '`[^`\n]*`', ' ', 'g'), '[{markdown.SPACE}]+', ' ', 'g')), 1, 300) AS statement FROM said),
+    paths AS (SELECT b.conv_id, b.ln, string_agg(title, ' > ' ORDER BY e.ln) AS headings FROM blocks b JOIN ended e ON e.conv_id = b.conv_id AND e.ln < b.ln AND (e.until IS NULL OR e.until > b.ln) GROUP BY ALL)
+    SELECT s.conv_id, s.ln AS line, n, kind, coalesce(headings, '') AS headings, statement FROM stated s LEFT JOIN paths p ON p.conv_id = s.conv_id AND p.ln = s.ln WHERE length(statement) >= 15""",
+)
+def atomic_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the records of all conversations state, with the headings above."""
+    found = facts.atomic_facts(records(spark, sf_dir), "conv_id", "text")
+    return found.withColumn("headings", F.array_join("headings", " > "))
+
+
+@query("document_sentences", f"WITH s AS (SELECT doc_id, {sentences_sql('text')} AS s FROM documents) SELECT doc_id, len(s) AS sentences, md5(array_to_string(s, '|')) AS digest, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s WHERE len(s) > 0")
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document that has any: their number, the longest, and all of them as a digest."""
+    cut = table(spark, sf_dir, "documents").select("doc_id", markdown.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    return cut.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
