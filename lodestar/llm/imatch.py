@@ -19,7 +19,7 @@ from lodestar.llm.columns import quoted
 IDF_LOW, IDF_HIGH = 3.0, 7.6
 #: Buckets of the lexicon's lookup table.
 BUCKETS = 1 << 16
-#: Subsets of the lexicon; subset k holds one term in RATES[k % 4], so that short and long texts have subsets that fit them.
+#: Subsets of the lexicon, in equal groups that hold one term in each of RATES, so that short and long texts have subsets that fit them.
 SUBSETS, RATES = 64, (24, 96, 384, 1536)
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 #: Documents in a run of neighbours; quantiles of the keys, and the step of the coarse ones.
@@ -32,8 +32,8 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), _SEPARATORS)
 
 
-def _in_subset(h: Column, k: Column, rates: Sequence[int]) -> Column:
-    rate = F.get(F.array(*[F.lit(r) for r in rates]), k % len(rates))
+def _in_subset(h: Column, k: Column, subsets: int, rates: Sequence[int]) -> Column:
+    rate = F.get(F.array(*[F.lit(r) for r in rates]), F.floor(k * len(rates) / subsets).cast("int"))
     return F.pmod(F.xxhash64(h, k), rate) == 0
 
 
@@ -47,7 +47,7 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: flo
     counted = terms.where("term != ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(float(max(total, 1))) / F.col("df"))
     band = counted.where((F.col("df") >= 2) & (idf >= low) & (idf <= high)).select(F.xxhash64("term").alias("h"))
-    within = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: _in_subset(F.col("h"), k, rates))
+    within = F.filter(F.sequence(F.lit(0), F.lit(subsets - 1)), lambda k: _in_subset(F.col("h"), k, subsets, rates))
     buckets = [[] for _ in range(BUCKETS)]
     for h, ks in band.select("h", within).collect():
         buckets[h % BUCKETS].extend({"h": h, "k": k} for k in ks)
@@ -68,7 +68,7 @@ def _hits(text: Column, terms: list[str] | Column, subsets: int, rates: Sequence
         return _let(terms, lambda t: F.flatten(F.transform(found, lambda w: _let(F.xxhash64(w), lambda h: of(t, h)))))
     known = F.filter(found, lambda w: w.isin(terms)) if terms else F.array().cast("array<string>")
     each = F.sequence(F.lit(0), F.lit(subsets - 1))
-    of = lambda h: F.transform(F.filter(each, lambda k: _in_subset(h, k, rates)), lambda k: F.struct(h.alias("h"), k.alias("k")))
+    of = lambda h: F.transform(F.filter(each, lambda k: _in_subset(h, k, subsets, rates)), lambda k: F.struct(h.alias("h"), k.alias("k")))
     return F.flatten(F.transform(known, lambda w: _let(F.xxhash64(w), of)))
 
 
@@ -79,8 +79,13 @@ def fingerprint(text: Column, terms: list[str] | Column, subsets: int = SUBSETS,
     """
     subset = lambda hits, k: F.transform(F.filter(hits, lambda e: e["k"] == k), lambda e: e["h"])
     shown = lambda hits, k: _let(subset(hits, k), lambda found: F.when(F.size(found) > 0, F.lower(F.hex(F.xxhash64(found)))).otherwise("-"))
-    each = F.sequence(F.lit(0), F.lit(subsets - 1))
-    joined = lambda hits: F.array_join(F.transform(each, lambda k: shown(hits, k)), ".")
+
+    def group(hits: Column, begin: int, end: int) -> Column:  # subsets begin to end - 1, each from its group's hits only
+        each = F.sequence(F.lit(begin), F.lit(end - 1))
+        return _let(F.filter(hits, lambda e: (e["k"] >= begin) & (e["k"] < end)), lambda own: F.transform(each, lambda k: shown(own, k)))
+
+    edges = [-(-subsets * i // len(rates)) for i in range(len(rates) + 1)]
+    joined = lambda hits: F.array_join(F.concat(*[group(hits, a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]), ".")
     alone = F.concat(F.lit("text."), F.md5(text.cast("binary")))
     return _let(_hits(text, terms, subsets, rates), lambda hits: _let(joined(hits), lambda f: F.when(f.rlike("[0-9a-f]"), f).otherwise(alone)))
 
