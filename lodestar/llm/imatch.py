@@ -19,8 +19,9 @@ from lodestar.llm.columns import quoted
 IDF_LOW, IDF_HIGH = 3.0, 7.6
 #: Buckets of the lexicon's lookup table.
 BUCKETS = 1 << 16
-#: Subsets of the lexicon, in equal groups that hold one term in each of RATES, so that short and long texts have subsets that fit them.
-SUBSETS, RATES = 64, (24, 96, 384, 1536)
+#: Subsets of the lexicon: equal groups of disjoint ones, each of which draws one term in each of RATES, so that short and
+#: long texts have subsets that fit them. As many as the first rate are in a group, so that every term is in some subset.
+SUBSETS, RATES = 64, (16, 96, 384, 1536)
 _SEPARATORS = r"[^\p{L}\p{N}]+"
 #: Documents in a run of neighbours; quantiles of the keys, and the step of the coarse ones.
 RUN, CUTS, FAN = 500, 4096, 64
@@ -33,8 +34,9 @@ def words(text: Column) -> Column:
 
 
 def _in_subset(h: Column, k: Column, subsets: int, rates: Sequence[int]) -> Column:
-    rate = F.get(F.array(*[F.lit(r) for r in rates]), F.floor(k * len(rates) / subsets).cast("int"))
-    return F.pmod(F.xxhash64(h, k), rate) == 0
+    size = subsets // len(rates)
+    group = F.floor(k / size).cast("int")
+    return F.pmod(F.xxhash64(h, group), F.get(F.array(*[F.lit(r) for r in rates]), group)) == k % size
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = IDF_LOW, high: float = IDF_HIGH, subsets: int = SUBSETS, rates: Sequence[int] = RATES) -> Column:
@@ -84,7 +86,7 @@ def fingerprint(text: Column, terms: list[str] | Column, subsets: int = SUBSETS,
         each = F.sequence(F.lit(begin), F.lit(end - 1))
         return _let(F.filter(hits, lambda e: (e["k"] >= begin) & (e["k"] < end)), lambda own: F.transform(each, lambda k: shown(own, k)))
 
-    edges = [-(-subsets * i // len(rates)) for i in range(len(rates) + 1)]
+    edges = [subsets // len(rates) * i for i in range(len(rates) + 1)]
     joined = lambda hits: F.array_join(F.concat(*[group(hits, a, b) for a, b in zip(edges, edges[1:], strict=False) if b > a]), ".")
     alone = F.concat(F.lit("text."), F.md5(text.cast("binary")))
     return _let(_hits(text, terms, subsets, rates), lambda hits: _let(joined(hits), lambda f: F.when(f.rlike("[0-9a-f]"), f).otherwise(alone)))

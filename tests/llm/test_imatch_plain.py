@@ -32,7 +32,9 @@ def plain_fingerprints(texts, corpus):
     df = Counter(w for t in corpus for w in terms_of(t))
     idf = {w: math.log(len(corpus) / n) for w, n in df.items() if n >= 2}
     lexicon = {w: h64(w.encode()) for w, x in idf.items() if imatch.IDF_LOW <= x <= imatch.IDF_HIGH}
-    member = {w: [k for k in range(imatch.SUBSETS) if signed(h64(struct.pack("<i", k), h64(struct.pack("<Q", h)))) % imatch.RATES[k * 4 // imatch.SUBSETS] == 0] for w, h in lexicon.items()}
+    size = imatch.SUBSETS // 4
+    draw = lambda h, g: signed(h64(struct.pack("<i", g), h64(struct.pack("<Q", h)))) % imatch.RATES[g]
+    member = {w: [g * size + draw(h, g) for g in range(4) if draw(h, g) < size] for w, h in lexicon.items()}
     out = []
     for text in texts:
         subsets = [[] for _ in range(imatch.SUBSETS)]
