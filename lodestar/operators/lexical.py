@@ -11,8 +11,6 @@ from lodestar.functions.scalars import significant_terms, word_list
 from lodestar.session import materialize
 
 K1, B = 1.2, 0.75
-#: Query terms that are looked up as a set within an expression, at most.
-SET_TERMS = 5000
 
 
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -20,42 +18,6 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return queries.select(F.col(key).alias("query"), F.explode(significant_terms(F.col(text))).alias("term"))
 
 
-def term_hits(docs: DataFrame, terms: DataFrame, key: str, text: str, most: int = SET_TERMS) -> DataFrame:
-    """(doc, len, hits) of every document: its number of words, and those words of it that are in terms (term), repeats included.
-
-    One scan tokenises each text once; up to `most` terms (counted first) are a set within the expression, more are joined.
-    The result is written to the shared folder, so that counts, frequencies and scores all read the same small rows.
-    """
-    wanted = terms.select("term").where("term IS NOT NULL").distinct()
-    words = docs.select(F.col(key).alias("doc"), word_list(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    chosen = [r[0] for r in wanted.limit(most + 1).collect()]
-    if len(chosen) <= most:
-        hits = F.filter("w", lambda x: x.isin(chosen)) if chosen else F.array().cast("array<string>")
-        return materialize(words.select("doc", F.size("w").alias("len"), hits.alias("hits")), "term-hits")
-    numbered = materialize(words.withColumn("row", F.monotonically_increasing_id()), "term-words")
-    found = numbered.select("row", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("hits"))
-    empty = F.array().cast("array<string>")
-    return materialize(numbered.join(found, "row", "left").select("doc", F.size("w").alias("len"), F.coalesce("hits", empty).alias("hits")), "term-hits")
-
-
-def bm25_of(hits: DataFrame, queries: DataFrame, all_terms: bool = False) -> DataFrame:
-    """(query, doc, score, matched): BM25 of every document with a term of a query, or with all of them, from term_hits.
-
-    idf = ln((N - n + .5) / (n + .5)), at least 1e-6. A term's count lies within a row, so nothing is grouped by document.
-    """
-    counted = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))
-    tf = hits.where(F.size("hits") > 0).select("doc", "len", F.explode(counted).alias("c")).select("doc", "len", "c.*")
-    corpus = hits.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    asked = queries.join(df, "term").crossJoin(F.broadcast(corpus))  # corpus has one row
-    found = asked.join(tf, "term").groupBy("query", "doc").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("matched"))
-    if all_terms:
-        found = found.join(queries.groupBy("query").agg(F.count("*").alias("wanted")), "query").where("matched = wanted").drop("wanted")
-    return found
-
-
 @dataclass(frozen=True)
 class Postings:
     """tf: (doc, term, tf, len) of every document that holds a term of some query, written once to the shared folder and

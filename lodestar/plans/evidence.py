@@ -44,20 +44,20 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "trigram_candidates",
-    """WITH q AS (SELECT DISTINCT item_id AS query, unnest(list_transform(range(1, 11), lambda i: lower(text)[i:i + 2])) AS g FROM benchmark WHERE length(text) >= 12),
-    d AS (SELECT DISTINCT conv_id * 100 + turn AS doc, g FROM (SELECT conv_id, turn, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(text)[i:i + 2])) AS g FROM conversations) WHERE g IN (SELECT g FROM q)),
-    m AS (SELECT query, doc, count(*) AS shared FROM q JOIN d USING (g) GROUP BY ALL)
-    SELECT query, doc, shared, row_number() OVER (PARTITION BY query ORDER BY shared DESC, doc) AS rank FROM m QUALIFY rank <= 5""",
+    """WITH q AS (SELECT DISTINCT item_id AS query, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(text)[i:i + 2])) AS g FROM benchmark WHERE length(text) >= 3),
+    d AS (SELECT DISTINCT conv_id, turn, g FROM (SELECT conv_id, turn, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(text)[i:i + 2])) AS g FROM conversations) WHERE g IN (SELECT g FROM q)),
+    m AS (SELECT query, conv_id, turn, count(*) AS shared FROM q JOIN d USING (g) GROUP BY ALL)
+    SELECT query, conv_id, turn, shared, row_number() OVER (PARTITION BY query ORDER BY shared DESC, conv_id, turn) AS rank FROM m QUALIFY rank <= 5""",
 )
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five turns that share most trigrams with the beginning of each query; only trigrams of a query leave the scan."""
-    cut = lambda c, i: F.substring(F.lower(c), i, F.lit(3))
-    q = table(spark, sf_dir, "benchmark").where(F.length("text") >= 12).select(F.col("item_id").alias("query"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: cut("text", i))).alias("g")).distinct()
+    """The five turns that share most trigrams with each whole query; only trigrams of a query leave the scan."""
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.lower("text"), i, F.lit(3))))
+    q = table(spark, sf_dir, "benchmark").where(F.length("text") >= 3).select(F.col("item_id").alias("query"), F.explode(grams).alias("g")).distinct()
     turns = table(spark, sf_dir, "conversations").where(F.length("text") >= 3)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: cut("text", i)))
-    d = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc"), F.explode(grams).alias("g")).join(q.select("g").distinct(), "g", "left_semi").distinct()
-    shared = q.join(d, "g").groupBy("query", "doc").agg(F.count("*").alias("shared"))
-    return top(shared, "query", "shared", "doc", 5).withColumn("rank", F.col("rank").cast("long"))
+    d = turns.select("conv_id", "turn", F.explode(grams).alias("g")).join(q.select("g").distinct(), "g", "left_semi").distinct()
+    shared = q.join(d, "g").groupBy("query", "conv_id", "turn").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("query").orderBy(F.desc("shared"), "conv_id", "turn")
+    return shared.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 5")
 
 
 @query(
@@ -69,7 +69,7 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query, conv_id, turn, shared, row_number() OVER (PARTITION BY query ORDER BY shared DESC, conv_id, turn) AS rank FROM m QUALIFY rank <= 5""",
 )
 def trigram_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five turns that share most trigrams with all terms of each query (trigram_candidates has those of its beginning)."""
+    """The five turns that share most trigrams with all terms of each query (trigram_candidates goes by the whole text, blanks included)."""
     grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 3)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.flatten(F.transform(words, grams))).alias("g")).distinct()

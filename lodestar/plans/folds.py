@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import clamp01, half_life, usage_decay, weibull_recency, wilson_lower
+from lodestar.operators.ranks import cumulative_counts, percentiles
 from lodestar.registry import query, table
+from lodestar.session import materialize
 
 #: The clock of every fold: events end on 2024-01-30.
 NOW = "2024-02-01 00:00:00"
@@ -39,11 +41,20 @@ def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, n, least(0.03, 0.005 * n) AS boost FROM p WHERE n >= 3""",
 )
 def co_access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that were accessed on the same day three times or more; the pair's boost is capped."""
+    """Pairs that were accessed on the same day three times or more; the pair's boost is capped.
+
+    Users of fewer than three days are in no pair. With the days in a global order, rarest first, two users who share three
+    must share one that isn't among the last two of either; so pairs meet on these days only, and are compared once.
+    """
     baskets = events(spark, sf_dir).where("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "user_id").distinct()
-    left, right = baskets.withColumnRenamed("user_id", "a"), baskets.withColumnRenamed("user_id", "b")
-    pairs = left.join(right, "day").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return pairs.where("n >= 3").withColumn("boost", F.least(F.lit(0.03), F.col("n") * 0.005))
+    sizes = baskets.groupBy("day").agg(F.count("*").alias("size"))
+    users = baskets.join(sizes, "day").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("size", "day"))).alias("d")).where(F.size("d") >= 3)
+    days = materialize(users.select("user_id", F.transform("d", lambda x: x["day"]).alias("days")), "co-access")
+    meeting = days.select("user_id", F.explode(F.slice("days", F.lit(1), F.size("days") - 2)).alias("day"))
+    maybe = meeting.select("day", F.col("user_id").alias("a")).join(meeting.select("day", F.col("user_id").alias("b")), "day").where("a < b").select("a", "b").distinct()
+    both = maybe.join(days.select(F.col("user_id").alias("a"), F.col("days").alias("da")), "a").join(days.select(F.col("user_id").alias("b"), F.col("days").alias("db")), "b")
+    shared = F.size(F.array_intersect("da", "db")).cast("long")
+    return both.select("a", "b", shared.alias("n")).where("n >= 3").withColumn("boost", F.least(F.lit(0.03), F.col("n") * 0.005))
 
 
 @query("usage_decay", f"SELECT user_id, count(*) AS n, round(least(1.0, greatest(0.0, pow(0.5, greatest(min({_AGE}), 0.0) / 30) * (1 + 0.25 * ln(1 + count(*))))), 6) AS weight FROM events GROUP BY user_id")
@@ -82,11 +93,11 @@ def reuse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type""",
 )
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles of a measure by kind."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return events(spark, sf_dir).groupBy("event_type").agg(
-        F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 1).alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99")
-    )
+    """Nearest-rank percentiles of a measure by kind; no task holds the values of a kind."""
+    rows = events(spark, sf_dir).select("event_type", "value")
+    found = percentiles(cumulative_counts(rows, "event_type", "value"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    sizes = rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"), F.round(F.avg("value"), 1).alias("mean"))
+    return sizes.join(found, "event_type", "left").select("event_type", "n", "low", "high", "mean", "p50", "p95", "p99")
 
 
 @query(

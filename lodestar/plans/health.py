@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import jaccard, word_set
-from lodestar.registry import ORACLES, query, table
+from lodestar.operators.components import connect
+from lodestar.operators.ranks import cumulative_counts
+from lodestar.registry import query, table
+from lodestar.session import materialize
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}_-]+'), lambda w: length(w) > 1))"
 
@@ -35,23 +38,8 @@ s AS (SELECT id, bucket, t, {_WORDS} AS w FROM d), p AS (SELECT a.id AS a, b.id
 AND len(a.w) * 0.6 <= len(b.w) AND len(b.w) * 0.6 <= len(a.w)),"""
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct turns by role: (id, bucket, text, words)."""
-    rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
-    rows = rows.groupBy(F.col("role").alias("bucket"), "text").agg(F.min(F.col("conv_id") * 100 + F.col("turn")).alias("id"))
-    return rows.withColumn("words", word_set(F.col("text")))
-
-
-@query("lexical_near_dups", f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.8")
-def lexical_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of one role whose words have a Jaccard similarity of .8 or more."""
-    return similar_pairs(_turns(spark, sf_dir), 0.8)
-
-
-@query("note_contradictions", f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.6 AND (len(list_intersect(regexp_split_to_array(lower(ta), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0) <> (len(list_intersect(regexp_split_to_array(lower(tb), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0)")
-def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns alike of which one negates and the other doesn't."""
-    return _contradicting(_turns(spark, sf_dir))
+_NEAR_TURNS = f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.8"
+_AGAINST = f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarity FROM p WHERE round(j, 6) >= 0.6 AND (len(list_intersect(regexp_split_to_array(lower(ta), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0) <> (len(list_intersect(regexp_split_to_array(lower(tb), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0)"
 
 
 def _contradicting(rows: DataFrame) -> DataFrame:
@@ -63,7 +51,7 @@ def _contradicting(rows: DataFrame) -> DataFrame:
 
 
 def _turn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As _turns, but a class's id is its least (conv_id, turn), so that no two classes share one."""
+    """Distinct turns by role: (id, bucket, text, words); a class's id is its least (conv_id, turn)."""
     rows = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
     rows = rows.groupBy(F.coalesce("role", F.lit("")).alias("bucket"), "text").agg(F.min(F.struct("conv_id", "turn")).alias("id"))
     return rows.withColumn("words", word_set(F.col("text")))
@@ -88,18 +76,49 @@ def _by_turn(sql: str) -> str:
     return named.replace("SELECT a, b, round", "SELECT a['conv_id'] AS a_conv, a['turn'] AS a_turn, b['conv_id'] AS b_conv, b['turn'] AS b_turn, round")
 
 
-@query("near_dup_turns", _by_turn(ORACLES["lexical_near_dups"]))
+@query("near_dup_turns", _by_turn(_NEAR_TURNS))
 def near_dup_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As lexical_near_dups, with classes of equal turns named by (conv_id, turn); turn_classes has their members."""
+    """Pairs of turns of one role whose words have a Jaccard similarity of .8 or more; classes of equal turns are named by
+    their first (conv_id, turn), turn_classes has their members."""
     return _flat(similar_pairs(_turn_classes(spark, sf_dir), 0.8))
 
 
-@query("turn_contradictions", _by_turn(ORACLES["note_contradictions"]))
+@query("turn_contradictions", _by_turn(_AGAINST))
 def turn_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As note_contradictions, with classes of equal turns named by (conv_id, turn); turn_classes has their members."""
+    """Pairs of turns alike of which one negates and the other doesn't; classes as in near_dup_turns."""
     return _flat(_contradicting(_turn_classes(spark, sf_dir)))
 
 
+_LINKED = _by_turn(_NEAR_TURNS).removeprefix("WITH ")
+_NAMED = "SELECT conv_id, turn, min({'conv_id': conv_id, 'turn': turn}) OVER (PARTITION BY coalesce(role, ''), text) AS c FROM conversations WHERE text IS NOT NULL"
+
+
+@query(
+    "lexical_near_dups",
+    f"""WITH RECURSIVE links AS MATERIALIZED (WITH {_LINKED}), ends AS (SELECT {{'conv_id': a_conv, 'turn': a_turn}} AS u, {{'conv_id': b_conv, 'turn': b_turn}} AS v FROM links), sym AS (SELECT u, v FROM ends UNION SELECT v, u FROM ends),
+    named AS ({_NAMED}), reach AS (SELECT DISTINCT c AS u, c AS v FROM named UNION SELECT r.u, s.v FROM reach r JOIN sym s ON s.u = r.v), roots AS (SELECT u, min(v) AS root FROM reach GROUP BY u)
+    SELECT conv_id, turn, root['conv_id'] AS group_conv, root['turn'] AS group_turn, (SELECT count(*) FROM sym WHERE sym.u = c) AS links FROM named JOIN roots ON roots.u = c""",
+)
+def lexical_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its group of near copies, by its first turn, and the number of other texts that it links to."""
+    classes = materialize(_turn_classes(spark, sf_dir), "turn-classes")
+    pairs = materialize(similar_pairs(classes, 0.8).select("a", "b"), "turn-pairs")
+    named = lambda c: F.format_string("%020d/%020d", F.col(f"{c}.conv_id"), F.col(f"{c}.turn"))
+    roots = connect(pairs.select(named("a").alias("u"), named("b").alias("v")))
+    degree = pairs.select(named("a").alias("u")).unionByName(pairs.select(named("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
+    key = lambda role: F.sha2(F.concat(F.coalesce(role, F.lit("")), F.lit("|"), F.col("text")).cast("binary"), 256)
+    known = classes.select(key(F.col("bucket")).alias("key"), named("id").alias("u")).join(roots, "u", "left").join(degree, "u", "left")
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", key(F.col("role")).alias("key"))
+    root = F.split(F.coalesce("root", "u"), "/")
+    return turns.join(known, "key").select("conv_id", "turn", F.get(root, F.lit(0)).cast("long").alias("group_conv"), F.get(root, F.lit(1)).cast("long").alias("group_turn"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query("note_contradictions", f"WITH found AS ({_by_turn(_AGAINST)}) SELECT a_conv, b_conv, count(*) AS pairs, max(similarity) AS most FROM found GROUP BY ALL")
+def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations whose turns contradict each other: the number of such pairs of different texts, and the most alike."""
+    return turn_contradictions(spark, sf_dir).groupBy("a_conv", "b_conv").agg(F.count("*").alias("pairs"), F.max("similarity").alias("most"))
+
+
 @query(
     "concept_gaps",
     """WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS term FROM documents), g AS (SELECT lower(term) AS term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1), c AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS term FROM benchmark)
@@ -115,14 +134,15 @@ def concept_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "duplicate_candidates",
-    """WITH k AS (SELECT doc_id, lang || '|' || lower(trim(regexp_replace(substr(coalesce(text, ''), 1, 40), '[ \\t\\n\\r]+', ' ', 'g'))) AS key FROM documents)
+    """WITH k AS (SELECT doc_id, md5(coalesce(lang, '') || '|' || lower(trim(regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '[ \\t\\r]+', ' ', 'g')))) AS key FROM documents)
     SELECT min(doc_id) AS canonical, count(*) AS members FROM k GROUP BY key HAVING count(*) >= 2""",
 )
 def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of two or more rows with one normalised title (the first forty characters); the oldest is canonical."""
-    title = F.lower(F.trim(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 40), r"[ \t\n\r]+", " ")))
-    k = table(spark, sf_dir, "documents").select("doc_id", F.concat("lang", F.lit("|"), title).alias("key"))
-    return k.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("members")).where("members >= 2").drop("key")
+    """Groups of two or more rows of one language and title, which is the whole first line, normalised; the oldest is canonical."""
+    title = F.lower(F.trim(F.regexp_replace(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)), r"[ \t\r]+", " ")))
+    key = F.md5(F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), title).cast("binary"))
+    k = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
+    return k.groupBy("key").agg(F.min("doc_id").alias("canonical"), F.count("*").alias("members")).where("members >= 2").drop("key")
 
 
 @query(
@@ -131,7 +151,7 @@ def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT min(doc_id) AS canonical, count(*) AS members FROM k GROUP BY key HAVING count(*) >= 2""",
 )
 def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of two or more rows of one language and whole normalised text (duplicate_candidates has its first forty characters)."""
+    """Groups of two or more rows of one language and whole normalised text (duplicate_candidates goes by the first line)."""
     whole = F.lower(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\r]+", " ")))
     key = F.md5(F.concat(F.coalesce("lang", F.lit("")), F.lit("|"), whole).cast("binary"))
     k = table(spark, sf_dir, "documents").select("doc_id", key.alias("key"))
@@ -194,9 +214,11 @@ def never_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spearman's rho of two scores, ties by their mean rank."""
     v = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").cast("long").alias("lane"), F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
-    mean_rank = lambda c: F.rank().over(Window.partitionBy("lane").orderBy(c)) + (F.count("*").over(Window.partitionBy("lane", c)) - 1) / 2.0
-    r = v.select("lane", mean_rank("a").alias("ra"), mean_rank("b").alias("rb"))
-    return r.groupBy("lane").agg(F.round(F.corr("ra", "rb"), 4).alias("rho"))
+    ranked = v
+    for c in ("a", "b"):  # the mean rank of a value's rows, from counts of distinct values
+        ranks = cumulative_counts(v, "lane", c).select("lane", c, (F.col("before") + (F.col("n") + 1) / 2).alias(f"r{c}"))
+        ranked = ranked.join(ranks, ["lane", c])
+    return ranked.groupBy("lane").agg(F.round(F.corr("ra", "rb"), 4).alias("rho"))
 
 
 @query(

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import ledger
-from lodestar.operators.lexical import bm25_of, query_terms, term_hits, top
-from lodestar.plans.retrieval import _BM25, _KNN, LIMIT, _probes, knn
+from lodestar.operators.lexical import bm25, query_terms, top
+from lodestar.operators.vectors import knn
+from lodestar.plans.retrieval import _BM25, _KNN, LIMIT, _probes
 from lodestar.registry import query, table
 
 _ROWS = "r AS (SELECT user_id, event_id, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type || ':' || event_id) AS seq FROM events), "
@@ -63,7 +64,7 @@ def context_pack(spark: SparkSession, sf_dir: str, budget: int = 3000) -> DataFr
 def or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with all terms of a query; where there are none, those with any of its two or more terms. One scan for both."""
     terms = query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    found = bm25_of(term_hits(table(spark, sf_dir, "documents"), terms, "doc_id", "text"), terms).join(terms.groupBy("query").agg(F.count("*").alias("n")), "query")
+    found = bm25(table(spark, sf_dir, "documents"), terms, "doc_id", "text").join(terms.groupBy("query").agg(F.count("*").alias("n")), "query")
     full = F.max((F.col("matched") == F.col("n")).cast("int")).over(Window.partitionBy("query")) == 1
     kept = found.withColumn("full", full).where((F.col("full") & (F.col("matched") == F.col("n"))) | (~F.col("full") & (F.col("n") >= 2)))
     return top(kept.select("query", "doc", "score", F.when(F.col("full"), "all").otherwise("any").alias("mode")), "query", "score", "doc", LIMIT).drop("rank")

@@ -9,7 +9,8 @@ from lodestar.functions.scalars import clamp01, half_life, significant_terms
 from lodestar.operators.assembly import Weights, assemble, score
 from lodestar.operators.coverage import completeness, evidence_union, numbered_terms, second_pass, term_coverage
 from lodestar.operators.lexical import Postings, index_terms, query_terms, top
-from lodestar.plans.retrieval import _BM25, _KW, _NORM, _SEM, _lanes, knn, normalized
+from lodestar.operators.vectors import knn
+from lodestar.plans.retrieval import _BM25, _KW, _NORM, _SEM, _lanes, normalized
 from lodestar.registry import query, table
 
 NOW = "2001-12-01"

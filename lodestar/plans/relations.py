@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import lineage, mentions, relations, traversal
-from lodestar.plans.retrieval import _KNN, _probes, knn
+from lodestar.operators.vectors import knn
+from lodestar.plans.retrieval import _KNN, _probes
 from lodestar.registry import query, table
 
 _WORDS = r"regexp_extract_all({t}, '[\p{{L}}\p{{N}}]+')"

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,14 +10,12 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import coverage_idf, dot, significant_terms
 from lodestar.operators.components import connect
-from lodestar.operators.lexical import bm25, query_terms, top
+from lodestar.operators.lexical import bm25, index_terms, query_terms, top
+from lodestar.operators.vectors import knn, within
 from lodestar.registry import query, table
 from lodestar.session import materialize
 
 POOL, LIMIT = 50, 10
-#: Probes of a nearest-neighbour search that are held at once.
-PROBE_BLOCK = 4096
-
 _TERMS = r"""
 q AS (SELECT item_id AS query, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 3))) AS term FROM benchmark),
 w AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
@@ -57,50 +52,6 @@ def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return keyword, semantic
 
 
-def knn(probes: DataFrame, vectors: DataFrame, k: int, block: int = PROBE_BLOCK) -> DataFrame:
-    """(query, doc, score, rank): the k vectors of the largest dot product with each probe, exactly, itself left out.
-
-    Probes come to the driver in blocks of `block` vectors at most. For a block, every task multiplies its vectors with the
-    probes and keeps the k best a probe, so that what is shuffled is k rows a probe and task, and no pairs are made. Scores
-    are rounded to six places, ties go to the lower doc. Null vectors are in no pair.
-    """
-    asked = probes.where("probe IS NOT NULL").select("query", "probe")
-    spark, parts, lowest = probes.sparkSession, [], None
-    while True:
-        rest = asked if lowest is None else asked.where(F.col("query") > lowest)
-        some = rest.orderBy("query").limit(block).collect()
-        if not some:
-            break
-        parts.append(_nearest(np.array([r[0] for r in some], np.int64), np.array([r[1] for r in some], np.float64), vectors, k))
-        if len(some) < block:
-            break
-        lowest = some[-1][0]
-    if not parts:
-        return spark.createDataFrame([], "query long, doc long, score double, rank int")
-    return top(functools.reduce(DataFrame.unionByName, parts), "query", "score", "doc", k)
-
-
-def _nearest(names: np.ndarray, probes: np.ndarray, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, doc, score): each task's k best vectors for each probe."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score, best_doc = np.full((len(names), 0), -np.inf), np.zeros((len(names), 0), np.int64)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                docs = np.asarray(part.column(0), np.int64)
-                x = np.asarray(pc.list_flatten(part.column(1)), np.float64).reshape(len(docs), -1)
-                scores = np.round(probes @ x.T, 6)
-                scores[names[:, None] == docs[None, :]] = -np.inf
-                score, doc = np.concatenate([best_score, scores], 1), np.concatenate([best_doc, np.broadcast_to(docs, scores.shape)], 1)
-                order = np.lexsort((doc, -score), axis=1)[:, :k]
-                best_score, best_doc = np.take_along_axis(score, order, 1), np.take_along_axis(doc, order, 1)
-        there = best_score > -np.inf
-        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], there.shape)[there]), pa.array(best_doc[there]), pa.array(best_score[there])], ["query", "doc", "score"])
-
-    return vectors.where("embedding IS NOT NULL").select("doc", "embedding").mapInArrow(run, "query long, doc long, score double")
-
-
 def normalized(lane: DataFrame) -> DataFrame:
     """Scores of each query's pool as 0 to 1; 1 where all are equal."""
     pool = Window.partitionBy("query")
@@ -111,9 +62,7 @@ def normalized(lane: DataFrame) -> DataFrame:
 @query("doc_freq", f"WITH {_TERMS} x AS (SELECT 1) SELECT term, df FROM df")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In how many documents each term of the benchmark queries is."""
-    terms = query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text").select("term").distinct()
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    return words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return index_terms(table(spark, sf_dir, "documents"), query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text"), "doc_id", "text").frequencies()
 
 
 @query("bm25_topk", f"WITH {_BM25} x AS (SELECT 1) SELECT query, doc, score, matched, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM found QUALIFY rank <= 10")
@@ -142,16 +91,13 @@ def bm25_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query, coverage, missing, CASE WHEN coverage >= 0.8 THEN 'complete' WHEN coverage >= 0.4 THEN 'partial' ELSE 'sparse' END AS verdict FROM c""",
 )
 def idf_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each query's idf its ten best documents cover, and the verdict."""
-    docs = table(spark, sf_dir, "documents")
+    """How much of each query's idf its ten best documents cover, and the verdict. All counts come from the postings."""
     terms = query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    best = top(bm25(docs, terms, "doc_id", "text"), "query", "score", "doc", LIMIT).select("query", "doc")
-    words = docs.select(F.col("doc_id").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("term"))
-    known = words.join(terms.select("term").distinct(), "term", "left_semi")
-    df = known.groupBy("term").agg(F.count("*").alias("df"))
-    hit = best.join(known, "doc").select("query", "term").distinct().withColumn("covered", F.lit(True))
-    total = docs.agg(F.count("*").alias("n"))
-    rated = terms.join(df, "term", "left").join(hit, ["query", "term"], "left").crossJoin(F.broadcast(total)).withColumn("idf", coverage_idf(F.coalesce("df", F.lit(0)), F.col("n")))
+    postings = index_terms(table(spark, sf_dir, "documents"), terms, "doc_id", "text")
+    best = top(postings.bm25(terms), "query", "score", "doc", LIMIT).select("query", "doc")
+    hit = terms.join(best, "query").join(postings.tf.select("doc", "term"), ["doc", "term"], "left_semi").select("query", "term").distinct().withColumn("covered", F.lit(True))
+    total = postings.corpus.select(F.col("n_docs").alias("n"))  # one row
+    rated = terms.join(postings.frequencies(), "term", "left").join(hit, ["query", "term"], "left").crossJoin(F.broadcast(total)).withColumn("idf", coverage_idf(F.coalesce("df", F.lit(0)), F.col("n")))
     covered = F.coalesce("covered", F.lit(False))
     out = rated.groupBy("query").agg(F.round(F.sum(F.when(covered, F.col("idf")).otherwise(0.0)) / F.sum("idf"), 6).alias("coverage"), F.count(F.when(~covered, 1)).alias("missing"))
     return out.withColumn("verdict", F.when(F.col("coverage") >= 0.8, "complete").when(F.col("coverage") >= 0.4, "partial").otherwise("sparse"))
@@ -176,9 +122,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("near_dup_vectors", f"WITH {_KNN} SELECT query, doc, score FROM near WHERE score >= 0.97")
 def near_dup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with a cosine of .97 or more to one of the query set (all vectors have unit length)."""
-    probes, vectors = _probes(spark, sf_dir)
-    pairs = vectors.join(probes, F.col("doc") != F.col("query")).select("query", "doc", F.round(dot(F.col("probe"), F.col("embedding")), 6).alias("score"))
-    return pairs.where("score >= 0.97")
+    return within(*_probes(spark, sf_dir), NEAR)
 
 
 #: Least cosine of near-duplicate vectors; vectors that one task compares with as many others.
@@ -227,7 +171,12 @@ def near_vector_groups(vectors: DataFrame, block: int = VECTOR_BLOCK) -> DataFra
     return rows.join(named, "embedding").select("vec_id", "group")
 
 
-@query("near_dup_vector_groups")
+@query(
+    "near_dup_vector_groups",
+    f"""WITH RECURSIVE pairs AS MATERIALIZED (SELECT p.vec_id AS u, e.vec_id AS v FROM embeddings p JOIN embeddings e ON {_DOT} >= 0.97),
+    reach AS (SELECT vec_id AS u, vec_id AS v FROM embeddings WHERE embedding IS NOT NULL UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON p.u = r.v)
+    SELECT u AS vec_id, min(v) AS "group" FROM reach GROUP BY u""",
+)
 def near_dup_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector and its group of near-duplicates, over all pairs of vectors (near_dup_vectors has only the query set's)."""
     return near_vector_groups(table(spark, sf_dir, "embeddings"))

@@ -2,13 +2,13 @@
 
 import datetime as dt
 import hashlib
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.operators import ledger, lexical, markdown, predicates
-from lodestar.plans import retrieval
+from lodestar.operators import ledger, lexical, markdown, predicates, ranks, vectors
 
 
 def one(spark, column, text="x"):
@@ -114,22 +114,42 @@ def test_budget_walk(spark):
 
 def test_nearest_in_blocks(spark):
     rng = np.random.default_rng(0)
-    vectors = np.round(rng.normal(size=(60, 4)), 1)  # ties
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(99, None)], "doc long, embedding array<float>").repartition(5)
+    points = np.round(rng.normal(size=(60, 4)), 1)  # ties
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(99, None)], "doc long, embedding array<float>").repartition(5)
     probes = table.where("doc % 7 = 0 OR doc = 99").select(F.col("doc").alias("query"), F.col("embedding").alias("probe"))
-    got = sorted((r.query, r["rank"], r.doc) for r in retrieval.knn(probes, table, 5, block=4).collect())
-    f = vectors.astype(np.float32).astype(float)
+    got = sorted((r.query, r["rank"], r.doc) for r in vectors.knn(probes, table, 5, block=4, rows=9).collect())
+    f = points.astype(np.float32).astype(float)
     want = [(q, k + 1, d) for q in range(0, 60, 7) for k, d in enumerate(sorted((d for d in range(60) if d != q), key=lambda d: (-round(float(f[q] @ f[d]), 6), d))[:5])]
-    assert got == want and retrieval.knn(probes.limit(0), table, 5).count() == 0
+    assert got == want and vectors.knn(probes.limit(0), table, 5).count() == 0
 
 
-def test_bm25_ways_agree(spark):
+def test_near_within_a_score(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.8, 0.6]), (4, None), (None, [1.0, 0.0])], "doc long, embedding array<float>")
+    probes = table.select(F.col("doc").alias("query"), F.col("embedding").alias("probe"))
+    got = sorted(tuple(r) for r in vectors.within(probes, table, 0.8, block=2, rows=1).collect())
+    assert got == [(1, 2, 1.0), (1, 3, 0.8), (2, 1, 1.0), (2, 3, 0.8), (3, 1, 0.8), (3, 2, 0.8)]
+
+
+def test_cumulative_counts_and_percentiles(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(0, 30, 200)] + [("a", None), ("c", 1.0)]
+    frame = spark.createDataFrame(rows, "g string, v double")
+    counts = ranks.cumulative_counts(frame, "g", "v")
+    for r in counts.collect():
+        own = [v for g, v in rows if g == r.g and v is not None]
+        assert (r.n, r.before) == (own.count(r.v), sum(v < r.v for v in own))
+    for r in ranks.percentiles(counts, "g", "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).collect():
+        own = sorted(v for g, v in rows if g == r.g and v is not None)
+        assert (r.p0, r.p50, r.p99, r.p100) == tuple(own[max(1, -(-len(own) * k // 100)) - 1] for k in (0, 50, 99, 100))
+    assert ranks.cumulative_counts(frame.limit(0), "g", "v").count() == 0
+
+
+def test_bm25(spark):
     docs = spark.createDataFrame([(1, "a fox, a dog"), (2, "Fox fox fox"), (3, None), (4, ""), (5, "cat"), (5, "cat dog")], "id long, text string")
     asked = spark.createDataFrame([(7, "fox"), (7, "dog"), (8, "none"), (9, None)], "query long, term string")
-    few = lexical.term_hits(docs, asked, "id", "text")
-    many = lexical.term_hits(docs, asked, "id", "text", most=1)
-    rows = lambda df: sorted((r.doc, r.len, sorted(r.hits)) for r in df.collect())
-    assert rows(few) == rows(many) and len(rows(few)) == 6
-    found = {(r.query, r.doc): r for r in lexical.bm25_of(few, asked).collect()}
-    assert found[7, 1].matched == 2 and found[7, 2].matched == 1 and (8, 5) not in found
-    assert {(r.query, r.doc) for r in lexical.bm25_of(few, asked, all_terms=True).collect()} == {(7, 1)}
+    found = {(r.query, r.doc): r for r in lexical.bm25(docs, asked, "id", "text").collect()}
+    weight = lambda df, tf, size: max(1e-6, math.log((6 - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / (10 / 6)))
+    assert {k: (r.score, r.matched) for k, r in found.items()} == {
+        (7, 1): (pytest.approx(2 * weight(2, 1, 4), abs=1e-5), 2), (7, 2): (pytest.approx(weight(2, 3, 3), abs=1e-5), 1), (7, 5): (pytest.approx(weight(2, 1, 2), abs=1e-5), 1),
+    }
+    assert {(r.query, r.doc) for r in lexical.bm25(docs, asked, "id", "text", all_terms=True).collect()} == {(7, 1)}
