@@ -8,6 +8,7 @@ speaks against it, an advert between two paragraphs, say, and its words go. Noth
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import defaultdict
@@ -51,8 +52,8 @@ ENDS = {tag: (frozenset(ended.split()), frozenset(up_to.split())) for tag, (ende
 # Words for what stands around a main text, and words that say nothing about it, in class and id names.
 AROUND = frozenset(
     "ad advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb sidebar aside footer header masthead cookie consent gdpr "
-    "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment respond reply disqus pagination pager widget toolbar "
-    "search skip hidden".split()
+    "notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment respond response reply replies discussion discuss thread "
+    "feedback reader disqus pagination pager widget toolbar search skip hidden".split()
 )
 NEUTRAL = frozenset("box block section wrapper wrap container area list item bar main site page top bottom left right inner outer global unit slot zone group button link post content form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -114,31 +115,52 @@ class Run:
     text: str | None = None
     places: frozenset[str] = frozenset()
     inside: bool = False
+    owner: Owner | None = None
+
+
+@dataclass(slots=True, eq=False)
+class Owner:
+    """An open element: its tag, how deep it is, and the element that it is in."""
+
+    tag: str
+    depth: int = 0
+    above: Owner | None = None
+
+
+def shared(a: Owner, b: Owner) -> Owner:
+    """The innermost element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+    return a
 
 
 def runs(page: str) -> Iterator[Run]:
     """Tags and texts of a page. inside: whether it is in an article element, which labels a page; no place tells it."""
-    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
+    root = Owner("")
+    stack: list[tuple[str, frozenset[str], bool, Owner]] = [("", frozenset(), False, root)]
     known: dict[tuple, frozenset[str]] = {}
     at, stop = 0, page.rfind(">") + 1
     for m in _TOKEN.finditer(page, 0, stop):
         if m.start() > at:
-            yield Run("", page[at : m.start()], stack[-1][1], stack[-1][2])
+            yield Run("", page[at : m.start()], *stack[-1][1:])
         at = m.end()
         if m[3] is None:  # a comment, a declaration, or an element whose content isn't text
             if m[1]:
-                yield Run(m[1].lower(), None, stack[-1][1], stack[-1][2])
+                yield Run(m[1].lower(), None, *stack[-1][1:])
             continue
         tag, attributes = m[3].lower(), m[4] if m[4] is not None else m[5]
         if m[2]:
-            _, places, inside = stack[-1]
+            _, places, inside, owner = stack[-1]
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
                     del stack[depth:]
                     break
                 if tag in INLINE and stack[depth][0] in BLOCK:
                     break  # an inline element's end ends no block
-            yield Run(tag, None, places, inside)
+            yield Run(tag, None, places, inside, owner)
             continue
         if tag in ENDS:
             ended, up_to = ENDS[tag]
@@ -155,24 +177,24 @@ def runs(page: str) -> Iterator[Run]:
                     break
                 if stack[depth][0] not in INLINE:
                     break
-        _, places, inside = stack[-1]
+        _, places, inside, owner = stack[-1]
         if tag == "a":  # no link within a link: the open one ends
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "a":
                     del stack[depth:]
-                    _, places, inside = stack[-1]
+                    _, places, inside, owner = stack[-1]
                     break
                 if stack[depth][0] in BLOCK:
                     break
         inside = inside or tag == "article"
-        yield Run(tag, None, places, inside)
+        yield Run(tag, None, places, inside, owner)
         if tag not in VOID and not (attributes.endswith("/") and tag in SILENT):
             key = (places, tag, attributes)
             if key not in known:
                 known[key] = places | _places(tag, attributes, places)
-            stack.append((tag, known[key], inside))
+            stack.append((tag, known[key], inside, Owner(tag, owner.depth + 1, owner)))
     if at < len(page):
-        yield Run("", page[at:], stack[-1][1], stack[-1][2])
+        yield Run("", page[at:], *stack[-1][1:])
 
 
 def size_of(text: str) -> int:
@@ -293,16 +315,21 @@ def stretches(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    """The blocks of the best stretch of the page and of those that come near it, joined by empty lines; "" without any."""
+    """The blocks of the best stretch of the page, of those that come near it, and of those that share its innermost element,
+    joined by empty lines; "" without any. The body and the page as a whole are no such element: too much else is in them."""
     found = list(runs(page))
     scores = [weights.score(r) for r in found]
     regions = stretches(scores)
     if not regions:
         return ""
-    best = max(s for _, _, s in regions)
+    begin, end, best = max(regions, key=lambda r: r[2])
+    held = functools.reduce(shared, (r.owner for r in found[begin:end] if r.text is not None and r.text.strip()))
+    while held.tag in INLINE or held.tag in ("p", *HEADINGS):
+        held = held.above
+    whole = held.tag in ("", "html", "body")
     chosen = np.zeros(len(found), bool)
     for a, b, s in regions:
-        if s >= SHARE * best:
+        if s >= SHARE * best or (not whole and all(shared(held, r.owner) is held for r in found[a:b] if r.text is not None)):
             chosen[a:b] = True
             for x, y, _ in stretches([-v for v in scores[a:b]]):
                 if sum(scores[i] for i in range(a + x, a + y) if found[i].text is not None) <= -CUT:

@@ -112,3 +112,16 @@ def test_tables(spark):
     assert got == sorted([(1, "s", 0), (2, None, 0), (3, "s", 3), (3, "s", 3), (None, "t", 100_000 - 2)], key=str)
     empty = pages.limit(0)
     assert maintext.fit_pages(empty, source="page.html") == maintext.Weights() and maintext.extract(empty, weights, source="page.html").count() == 0
+
+
+def test_what_shares_the_main_element_stays_and_readers_comments_go():
+    body = "<p>" + "The long body of the article goes on with many words and sentences. " * 20 + "</p>"
+    advert = "<div class='advert'>Buy cheap shoes now and save a lot of money today my friends</div>"
+    talk = "<section class='discussion'><p>Great article, I liked reading it so very much.</p><p>I disagree with all of it, and so does everyone.</p></section>"
+    for tag in ("article", "main", "div id='x1'"):
+        page = f"<html><body><nav><a href='/'>Home</a></nav><{tag}><p>Short intro here.</p>{advert}{body}{advert}<p>The end.</p></{tag.split()[0]}>{talk}</body></html>"
+        text = maintext.main_text(page, maintext.Weights())
+        assert text.startswith("Short intro here.\n\nThe long body") and text.endswith("The end."), tag
+        assert "shoes" not in text and "disagree" not in text
+    loose = f"<html><body>{body}{advert}<p>Copyright line.</p></body></html>"  # no element of its own: only what comes near the best counts
+    assert "shoes" not in maintext.main_text(loose, maintext.Weights())
