@@ -5,34 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.scalars import jaccard, word_set
+from lodestar.functions.scalars import word_set
 from lodestar.operators.components import connect
 from lodestar.operators.ranks import cumulative_counts
+from lodestar.operators.similarity import similar_pairs
 from lodestar.registry import query, table
 from lodestar.session import materialize
 
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}_-]+'), lambda w: length(w) > 1))"
 
 
-def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of rows (id, bucket, words) in one bucket whose word sets have at least this Jaccard similarity.
-
-    Exact prefix filter: with words in a global order, rarest first, two sets can only be as alike if they share one of
-    the first n - ceil(least * n) + 1 words. So a rare word pairs few rows; all pairs of a bucket are never made.
-    """
-    words = rows.select("id", "bucket", F.explode("words").alias("w"))
-    rarity = words.groupBy("bucket", "w").agg(F.count("*").alias("df"))
-    ordered = words.join(rarity, ["bucket", "w"]).groupBy("id", "bucket").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
-    kept = (F.size("o") - F.ceil(F.size("o") * least) + 1).cast("int")
-    prefix = ordered.select("id", "bucket", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), kept)).alias("p")).where("p.df > 1").select("id", "bucket", "n", F.col("p.w").alias("w"))
-    left, right = prefix.select("bucket", "w", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("bucket", "w", F.col("id").alias("b"), F.col("n").alias("nb"))
-    sized = (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))
-    maybe = left.join(right, ["bucket", "w"]).where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
-    sets = rows.select("id", "words")
-    both = maybe.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
-    return both.select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
-
-
 _PAIRS = f"""d AS (SELECT min(conv_id * 100 + turn) AS id, role AS bucket, text AS t FROM conversations WHERE text IS NOT NULL GROUP BY role, text),
 s AS (SELECT id, bucket, t, {_WORDS} AS w FROM d), p AS (SELECT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb, len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0) AS j FROM s a JOIN s b ON a.bucket = b.bucket AND a.id < b.id
 AND len(a.w) * 0.6 <= len(b.w) AND len(b.w) * 0.6 <= len(a.w)),"""
