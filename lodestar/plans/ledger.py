@@ -10,6 +10,7 @@ from lodestar.operators.lexical import bm25, query_terms, top
 from lodestar.operators.vectors import knn
 from lodestar.plans.retrieval import _BM25, _KNN, LIMIT, _probes
 from lodestar.registry import query, table
+from lodestar.sources import versions
 
 _ROWS = "r AS (SELECT user_id, event_id, event_type || ':' || event_id AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id, event_type || ':' || event_id) AS seq FROM events), "
 _CHAIN = f"""{_ROWS} c AS (SELECT user_id, event_id, payload, seq, repeat('0', 64) AS prev_hash, sha256(repeat('0', 64) || ':' || payload) AS hash FROM r WHERE seq = 1
@@ -148,3 +149,15 @@ def novelty_order(spark: SparkSession, sf_dir: str, most: int = 100) -> DataFram
     rated = table(spark, sf_dir, "events").groupBy("user_id").agg(F.when(F.col("user_id") % 5 != 0, F.round(F.avg("value"), 6)).alias("novelty"))
     order = [F.desc_nulls_last("novelty"), "user_id"]
     return rated.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+@query(
+    "cache_probe",
+    """WITH c AS (SELECT event_type || '/' || user_id AS key, 'g' || event_id % 3 AS generation, ts AS seen, CAST(value AS VARCHAR) AS outcome FROM events),
+    f AS (SELECT key, max({'seen': seen, 'outcome': outcome}) AS m FROM c WHERE generation = 'g1' AND seen <= TIMESTAMP '2024-01-25 12:00:00' AND seen >= TIMESTAMP '2024-01-20 12:00:00' GROUP BY key)
+    SELECT k.key, m['seen'] AS "at", m['outcome'] AS outcome, m IS NOT NULL AS hit FROM (SELECT DISTINCT key FROM c) k LEFT JOIN f ON f.key = k.key""",
+)
+def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which requests a cache of outcomes answers: of the wanted generation and at most five days old."""
+    cache = table(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"), F.concat(F.lit("g"), (F.col("event_id") % 3).cast("string")).alias("generation"), F.col("ts").cast("timestamp").alias("at"), F.col("value").cast("string").alias("outcome"))
+    return versions.probe(cache.select("key"), cache, "g1", "2024-01-25 12:00:00", 5 * 86400)

@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
-    """current with the last change (by `order`) of each key in place of its row; new keys are added."""
-    last = Window.partitionBy(key).orderBy(F.desc(order))
+    """current with the last change (by `order`) of each key in place of its row; new keys are added.
+
+    Of changes with one order the one whose row has the greatest hash counts, so the same changes give the same row each
+    time. A null order is the least. A null key is added, never replaced.
+    """
+    tie = F.xxhash64(*[F.to_json(F.struct(*changes.columns))])
+    last = Window.partitionBy(key).orderBy(F.desc(order), F.desc(tie), F.desc(F.to_json(F.struct(*changes.columns))))
     newest = changes.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn")
     return current.join(newest.select(key), key, "left_anti").unionByName(newest)
 
