@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.scalars import clamp01, half_life, significant_terms
+from lodestar.functions.scalars import half_life, significant_terms, word_set
+from lodestar.operators import snippets
 from lodestar.operators.assembly import Weights, assemble, score
 from lodestar.operators.coverage import completeness, evidence_union, numbered_terms, second_pass, term_coverage
 from lodestar.operators.lexical import Postings, index_terms, query_terms, top
@@ -183,3 +184,41 @@ def evidence_union_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each term that the first hits of a query miss two documents that hold it, up to eight a query."""
     _, _, report, postings = _first_pass(spark, sf_dir)
     return evidence_union(report, postings)
+
+
+_RERANK = rf"""{_BM25} pool AS (SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM found QUALIFY rank <= 20),
+    t AS (SELECT p.query, p.doc, p.rank, d.text, b.text AS asked, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]{{2,}}')) AS q, regexp_extract_all(lower(coalesce(d.text, '')), '[\p{{L}}\p{{N}}]{{2,}}') AS w FROM pool p JOIN documents d ON d.doc_id = p.doc JOIN benchmark b ON b.item_id = p.query),
+    s AS (SELECT *, list_filter(list_transform(q, lambda x: coalesce(list_position(w, x), 0)), lambda x: x > 0) AS spots, list_sum(list_transform(q, lambda x: least(3, len(list_filter(w, lambda y: y = x))))) AS often FROM t),
+    r AS (SELECT *, round(CASE WHEN len(q) = 0 OR len(spots) = 0 THEN 0 ELSE least(1, 0.6 * len(spots) / len(q) + 0.25 * CASE WHEN len(spots) > 1 THEN least(1, len(spots) / (list_max(spots) - list_min(spots) + 1)) ELSE len(spots) / len(q) END + 0.15 * often / (3 * len(q))) END, 6) AS rerank FROM s)"""
+
+
+def _reread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of each query with their texts and the rerank's score."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    postings = index_terms(docs, query_terms(asked, "item_id", "text"), "doc_id", "text")
+    pool = top(postings.bm25(query_terms(asked, "item_id", "text")), "query", "score", "doc", 20)
+    texts = pool.join(docs.select(F.col("doc_id").alias("doc"), "text"), "doc").join(asked.select(F.col("item_id").alias("query"), F.col("text").alias("asked")), "query")
+    return texts.withColumn("rerank", F.round(snippets.rerank_score(F.col("asked"), F.col("text")), 6))
+
+
+@query("reranked_pool", f"WITH {_RERANK} SELECT query, doc, rerank, rank, row_number() OVER (PARTITION BY query ORDER BY rerank DESC, rank) AS position FROM r")
+def reranked_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyword pools in the order of the lexical rerank; documents of one score keep their order."""
+    order = Window.partitionBy("query").orderBy(F.desc("rerank"), "rank")
+    return _reread(spark, sf_dir).select("query", "doc", "rerank", F.col("rank").cast("long").alias("rank"), F.row_number().over(order).cast("long").alias("position"))
+
+
+@query(
+    "result_snippets",
+    rf"""WITH {_RERANK}, best AS (SELECT * FROM r WHERE rank <= 5),
+    terms AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(asked), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 3)) AS ts, list_distinct(list_filter(regexp_split_to_array(lower(asked), '[^\p{{L}}\p{{N}}_-]+'), lambda x: length(x) > 1)) AS subject FROM best),
+    placed AS (SELECT *, coalesce(list_min(list_filter(list_transform(ts, lambda x: strpos(lower(text), x)), lambda x: x > 0)) - 1, -1) AS start FROM terms),
+    cut AS (SELECT *, CASE WHEN length(text) <= 160 OR start < 0 THEN 0 ELSE greatest(0, start - 80) END AS a,
+      list_filter(list_transform(string_split_regex(replace(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(10), 'g'), chr(13), chr(10)), '\n+'), lambda x: trim(x)), lambda x: x <> '') AS spans FROM placed)
+    SELECT query, doc, start AS match_at, CASE WHEN a > 0 THEN '…' ELSE '' END || substr(text, a + 1, 160) || CASE WHEN a + 160 < length(text) THEN '…' ELSE '' END AS snippet,
+      list_max(list_transform(spans, lambda x, i: {{'n': len(list_intersect(list_distinct(list_filter(regexp_split_to_array(lower(x), '[^\p{{L}}\p{{N}}_-]+'), lambda w: length(w) > 1)), subject)), 'early': -i, 'span': x}}))['span'] AS span FROM cut""",
+)
+def result_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the five best documents of each query where the first match stands, 160 characters around it, and the best span."""
+    best = _reread(spark, sf_dir).where("rank <= 5").withColumn("match_at", snippets.match_offset(F.col("text"), significant_terms(F.col("asked"))))
+    return best.select("query", "doc", F.col("match_at").cast("long").alias("match_at"), snippets.snippet(F.col("text"), F.col("match_at"), 160).alias("snippet"), snippets.best_span(F.col("text"), word_set(F.col("asked"))).alias("span"))
