@@ -156,3 +156,49 @@ def quantity(text: Column) -> Column:
     value = F.when(money != "", money).when(percent != "", percent).when(coded != "", coded)
     unit = F.when(money != "", code).when(percent != "", "percent").when(coded != "", F.regexp_extract(text, rf"{number} (USD|EUR|GBP)", 2))
     return F.when(value.isNotNull(), F.struct(value.cast("double").alias("value"), unit.alias("unit")))
+
+
+def citation_marks(text: Column) -> Column:
+    """Every [Source: ...] of a text in order: line, raw, name, day and reason; either name and day, or why it is malformed.
+
+    The name is all before the last comma; the day must exist. reason is "shape" (no name, comma and ISO day) or "day".
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r?\n")
+    shape = rf"(?s)^(.*[^{SPACE}])[{SPACE}]*,[{SPACE}]*(\d{{4}}-\d{{2}}-\d{{2}})$"
+
+    def told(raw: Column, line: Column) -> Column:
+        inner = trimmed(F.regexp_extract(raw, r"(?s)^\[Source:(.*)\]$", 1))
+        day = F.try_to_timestamp(F.regexp_extract(inner, shape, 2), F.lit("yyyy-MM-dd")).cast("date")
+        fine = inner.rlike(shape) & day.isNotNull()
+        reason = F.when(~inner.rlike(shape), "shape").when(day.isNull(), "day")
+        return F.struct(line.cast("long").alias("line"), raw.alias("raw"), F.when(fine, trimmed(F.regexp_extract(inner, shape, 1))).alias("name"), F.when(fine, day).alias("day"), reason.alias("reason"))
+
+    return F.flatten(F.transform(lines, lambda line, i: F.transform(F.regexp_extract_all(line, F.lit(r"\[Source:[^\]]*\]"), F.lit(0)), lambda raw: told(raw, i + 1))))
+
+
+def cjk_segments(text: Column, words: Column) -> Column:
+    """Distinct search tokens of a text: dictionary words of its Han and kana runs, then pairs, other words, and single characters.
+
+    words: an array of dictionary words. From the left of a run the longest word that fits is taken, else one character; a
+    run without a word gives its pairs alone. Latin words with digits, _ and - are tokens as they stand. Single characters
+    come last, so that they only help where nothing else matches. Null and empty texts have none.
+    """
+    clean = F.coalesce(text, F.lit(""))
+    longest = F.array_sort(F.filter(F.array_distinct(words), lambda w: F.length(w) > 1), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+
+    def cut(run: Column) -> Column:
+        begin = F.struct(run.alias("rest"), F.array().cast("array<string>").alias("found"))
+
+        def step(s: Column, _: Column) -> Column:
+            fits = F.get(F.filter(longest, lambda w: F.startswith(s["rest"], w)), F.lit(0))
+            head = F.coalesce(fits, F.left(s["rest"], F.lit(1)))
+            longer = F.struct(F.substring(s["rest"], F.length(head) + 1, F.length(s["rest"])).alias("rest"), F.concat(s["found"], F.array(head)).alias("found"))
+            return F.when(F.length(s["rest"]) > 0, longer).otherwise(s)
+
+        parts = F.aggregate(F.sequence(F.lit(1), F.length(run)), begin, step, lambda s: s["found"])
+        return F.filter(parts, lambda p: F.length(p) > 1)
+
+    runs = _all(clean, r"[\p{IsHan}]+|[\p{IsHiragana}\p{IsKatakana}]+", 0)
+    singles = F.filter(F.split(F.array_join(F.concat(runs, _all(clean, r"\p{IsHangul}", 0)), ""), ""), lambda c: c != "")
+    latin = _all(clean, r"[[\p{L}\p{N}_\-]&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+", 0)
+    return F.array_distinct(F.concat(F.flatten(F.transform(runs, cut)), cjk_bigrams(text), latin, singles))

@@ -212,3 +212,22 @@ def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of every document that has any: their number, the longest, and all of them as a digest."""
     cut = table(spark, sf_dir, "documents").select("doc_id", markdown.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
     return cut.select("doc_id", F.size("s").cast("long").alias("sentences"), F.md5(F.array_join("s", "|").cast("binary")).alias("digest"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
+
+
+_MARKED = """CASE o_orderkey % 8 WHEN 0 THEN 'see [Source: Ledger, part ' || o_custkey || ', 2024-02-29] and [Source: B,2023-02-29]' WHEN 1 THEN '[Source: X 2024-01-01]' WHEN 2 THEN '[Source:   ] none' || chr(10) || '[Source:Y  ,  2024-12-31 ]' WHEN 3 THEN '[Source: , 2024-01-01]'
+    WHEN 4 THEN '[source: a, 2024-01-01]' WHEN 5 THEN 'x' || chr(13) || chr(10) || chr(10) || '[Source: ' || o_orderpriority || ', 2024-13-01][Source: Z, 24-01-01]' WHEN 6 THEN '[Source: open, 2024-01-01' ELSE '[Source: [n, 2024-01-01]' END"""
+
+
+@query(
+    "citation_marks",
+    f"""WITH o AS (SELECT o_orderkey AS note, o_orderkey % 8 AS form, o_custkey AS c, o_orderpriority AS p FROM orders),
+    marks AS (SELECT note, 1 AS line, '[Source: Ledger, part ' || c || ', 2024-02-29]' AS raw, 'Ledger, part ' || c AS name, DATE '2024-02-29' AS day, NULL AS reason FROM o WHERE form = 0 UNION ALL SELECT note, 1, '[Source: B,2023-02-29]', NULL, NULL, 'day' FROM o WHERE form = 0
+      UNION ALL SELECT note, 1, '[Source: X 2024-01-01]', NULL, NULL, 'shape' FROM o WHERE form = 1 UNION ALL SELECT note, 1, '[Source:   ]', NULL, NULL, 'shape' FROM o WHERE form = 2 UNION ALL SELECT note, 2, '[Source:Y  ,  2024-12-31 ]', 'Y', DATE '2024-12-31', NULL FROM o WHERE form = 2
+      UNION ALL SELECT note, 1, '[Source: , 2024-01-01]', NULL, NULL, 'shape' FROM o WHERE form = 3 UNION ALL SELECT note, 3, '[Source: ' || p || ', 2024-13-01]', NULL, NULL, 'day' FROM o WHERE form = 5 UNION ALL SELECT note, 3, '[Source: Z, 24-01-01]', NULL, NULL, 'shape' FROM o WHERE form = 5
+      UNION ALL SELECT note, 1, '[Source: [n, 2024-01-01]', '[n', DATE '2024-01-01', NULL FROM o WHERE form = 7)
+    SELECT note, line, raw, name, day, reason FROM marks""",
+)
+def citation_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All citation marks of a note on every order, malformed ones with the reason."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("note"), F.expr(_MARKED).alias("text"))
+    return rows.select("note", F.explode(markdown.citation_marks(F.col("text"))).alias("m")).select("note", "m.*")

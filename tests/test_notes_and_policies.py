@@ -77,6 +77,19 @@ def test_predicates(spark):
     assert one(spark, predicates.reasons({"a": F.lit(True), "b": F.lit(None).cast("boolean"), "c": F.lit(True)})) == ["a", "c"]
 
 
+def test_citation_marks(spark):
+    got = [tuple(m)[:3] + (str(m.day), m.reason) for m in one(spark, markdown.citation_marks(T("t")), "[Source: A, B,2024-02-29 ] x\n\n[Source: C, 2024-02-30][Source:]")]
+    assert got == [(1, "[Source: A, B,2024-02-29 ]", "A, B", "2024-02-29", None), (3, "[Source: C, 2024-02-30]", None, "None", "day"), (3, "[Source:]", None, "None", "shape")]
+    assert one(spark, markdown.citation_marks(T("t")), None) == [] == one(spark, markdown.citation_marks(T("t")), "")
+
+
+def test_cjk_segments(spark):
+    words = F.array(*[F.lit(w) for w in ("東京", "東京都", "京都", "大学", "の", "カメラ")])
+    cut = lambda t: one(spark, markdown.cjk_segments(T("t"), words), t)
+    assert cut("東京都大学 x_1のカメラ 그림 駅") == ["東京都", "大学", "カメラ", "東京", "京都", "都大", "のカ", "カメ", "メラ", "駅", "그", "림", "x_1", "東", "京", "都", "大", "学", "の", "カ", "メ", "ラ"]
+    assert cut(None) == [] == cut("") and cut("plain Words") == ["plain", "Words"]
+
+
 def test_time_points():
     now = dt.datetime(2024, 3, 5, 12)
     point = lambda x, late=False: str(predicates.time_point(x, now, late))
