@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar import registry
-from lodestar.plans import entities, evidence, filters, folds, graph, health, intents, ledger, notes, ranking, relations, retrieval, temporal, text  # noqa: F401  they register their queries
+from lodestar.plans import claims, entities, evidence, filters, folds, graph, health, intents, ledger, notes, ranking, relations, retrieval, temporal, text  # noqa: F401  they register their queries
 from lodestar.streaming import ingest  # noqa: F401
 
 
