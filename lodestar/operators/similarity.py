@@ -8,20 +8,27 @@ from pyspark.sql import functions as F
 from lodestar.functions.scalars import jaccard
 
 
-def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+def similar_pairs(rows: DataFrame, least: float, across: str | None = None) -> DataFrame:
     """(a, b, similarity) of rows (id, bucket, words) in one bucket whose word sets have at least this Jaccard similarity.
 
     Exact prefix filter: with words in a global order, rarest first, two sets can only be as alike if they share one of
     the first n - ceil(least * n) + 1 words. So a rare word pairs few rows; all pairs of a bucket are never made.
+
+    across: a boolean column; only pairs of a row where it holds and one where it doesn't are looked for.
     """
-    words = rows.select("id", "bucket", F.explode("words").alias("w"))
+    side = F.col(across) if across else F.lit(True)
+    words = rows.select("id", "bucket", side.alias("side"), F.explode("words").alias("w"))
     rarity = words.groupBy("bucket", "w").agg(F.count("*").alias("df"))
-    ordered = words.join(rarity, ["bucket", "w"]).groupBy("id", "bucket").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+    ordered = words.join(rarity, ["bucket", "w"]).groupBy("id", "bucket", "side").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
     kept = (F.size("o") - F.ceil(F.size("o") * least) + 1).cast("int")
-    prefix = ordered.select("id", "bucket", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), kept)).alias("p")).where("p.df > 1").select("id", "bucket", "n", F.col("p.w").alias("w"))
-    left, right = prefix.select("bucket", "w", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("bucket", "w", F.col("id").alias("b"), F.col("n").alias("nb"))
+    prefix = ordered.select("id", "bucket", "side", F.size("o").alias("n"), F.explode(F.slice("o", F.lit(1), kept)).alias("p")).where("p.df > 1").select("id", "bucket", "side", "n", F.col("p.w").alias("w"))
+    left, right = prefix.where("side").select("bucket", "w", F.col("id").alias("a"), F.col("n").alias("na")), prefix.where(~F.col("side") if across else F.lit(True)).select("bucket", "w", F.col("id").alias("b"), F.col("n").alias("nb"))
     sized = (F.col("na") * least <= F.col("nb")) & (F.col("nb") * least <= F.col("na"))
-    maybe = left.join(right, ["bucket", "w"]).where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    maybe = left.join(right, ["bucket", "w"]).where(sized)
+    if across:
+        maybe = maybe.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    else:
+        maybe = maybe.where("a < b").select("a", "b").distinct()
     sets = rows.select("id", "words")
     both = maybe.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     return both.select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)

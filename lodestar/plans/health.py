@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import word_set
@@ -26,10 +26,7 @@ _AGAINST = f"WITH {_PAIRS} x AS (SELECT 1) SELECT a, b, round(j, 6) AS similarit
 
 def _contradicting(rows: DataFrame) -> DataFrame:
     markers = F.array(*[F.lit(w) for w in ("not", "nicht", "pas", "no")])
-    stance = rows.select("id", F.arrays_overlap("words", markers).alias("no"))
-    pairs = similar_pairs(rows, 0.6)
-    told = pairs.join(stance.select(F.col("id").alias("a"), F.col("no").alias("na")), "a").join(stance.select(F.col("id").alias("b"), F.col("no").alias("nb")), "b")
-    return told.where("na <> nb").select("a", "b", "similarity")
+    return similar_pairs(rows.withColumn("no", F.arrays_overlap("words", markers)), 0.6, across="no")
 
 
 def _turn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +36,8 @@ def _turn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("words", word_set(F.col("text")))
 
 
-def _flat(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a.conv_id").alias("a_conv"), F.col("a.turn").alias("a_turn"), F.col("b.conv_id").alias("b_conv"), F.col("b.turn").alias("b_turn"), "similarity")
+def _flat(pairs: DataFrame, *more: Column) -> DataFrame:
+    return pairs.select(*more, F.col("a.conv_id").alias("a_conv"), F.col("a.turn").alias("a_turn"), F.col("b.conv_id").alias("b_conv"), F.col("b.turn").alias("b_turn"), "similarity")
 
 
 @query("turn_classes", "SELECT conv_id, turn, min(conv_id) OVER w AS rep_conv, first_value(turn) OVER (w ORDER BY conv_id, turn) AS rep_turn, count(*) OVER w AS members FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY coalesce(role, ''), text)")
@@ -95,10 +92,31 @@ def lexical_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(known, "key").select("conv_id", "turn", F.get(root, F.lit(0)).cast("long").alias("group_conv"), F.get(root, F.lit(1)).cast("long").alias("group_turn"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-@query("note_contradictions", f"WITH found AS ({_by_turn(_AGAINST)}) SELECT a_conv, b_conv, count(*) AS pairs, max(similarity) AS most FROM found GROUP BY ALL")
+@query(
+    "note_contradictions",
+    f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS bucket, text AS t FROM conversations WHERE text IS NOT NULL), c AS (SELECT *, row_number() OVER (PARTITION BY bucket, t ORDER BY conv_id NULLS FIRST, turn NULLS FIRST) AS nth FROM r),
+    d AS (SELECT row_number() OVER (ORDER BY conv_id NULLS FIRST, turn NULLS FIRST, bucket, sha256(t)) AS id, conv_id, turn, bucket, t FROM c WHERE nth = 1),
+    s AS (SELECT *, {_WORDS} AS w, len(list_intersect(regexp_split_to_array(lower(t), '[^\\p{{L}}\\p{{N}}_-]+'), ['not', 'nicht', 'pas', 'no'])) > 0 AS no FROM d),
+    p AS (SELECT a, b, round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 6) AS similarity FROM s a JOIN s b ON a.bucket = b.bucket AND a.id < b.id AND a.no <> b.no AND len(a.w) * 0.6 <= len(b.w) AND len(b.w) * 0.6 <= len(a.w)),
+    f AS (SELECT * FROM p WHERE similarity >= 0.6), held AS (SELECT a.id AS id FROM f UNION SELECT b.id FROM f)
+    SELECT 'pair' AS relation, a.conv_id AS a_conv, a.turn AS a_turn, b.conv_id AS b_conv, b.turn AS b_turn, similarity FROM f
+    UNION ALL SELECT 'member', d.conv_id, d.turn, c.conv_id, c.turn, CAST(1 AS DOUBLE) FROM d JOIN c ON c.bucket = d.bucket AND c.t = d.t WHERE d.id IN (SELECT id FROM held)""",
+)
 def note_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations whose turns contradict each other: the number of such pairs of different texts, and the most alike."""
-    return turn_contradictions(spark, sf_dir).groupBy("a_conv", "b_conv").agg(F.count("*").alias("pairs"), F.max("similarity").alias("most"))
+    """Turns alike of which one negates and the other doesn't, each pair with its similarity, and the members behind them.
+
+    A row `pair` is of two texts, each named by its first (conv_id, turn), the lesser first. A row `member` is a turn (b)
+    with the first one of its role and text (a), for every text that is in a pair, so that no copy is lost. Two texts that
+    are first told at one (conv_id, turn) stay two: role and digest are part of a class's id.
+    """
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").withColumn("bucket", F.coalesce("role", F.lit("")))
+    turns = turns.select("conv_id", "turn", "bucket", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"), "text")
+    classes = turns.groupBy("bucket", "digest").agg(F.min(F.struct("conv_id", "turn", "bucket", "digest")).alias("id"), F.first("text").alias("text"))
+    classes = classes.select("id", "bucket", word_set(F.col("text")).alias("words"))
+    pairs = materialize(_contradicting(classes), "contradictions")
+    held = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().select("id", "id.bucket", "id.digest")
+    members = turns.drop("text").join(held, ["bucket", "digest"]).select(F.col("id").alias("a"), F.struct("conv_id", "turn").alias("b"), F.lit(1.0).alias("similarity"))
+    return _flat(pairs, F.lit("pair").alias("relation")).unionByName(_flat(members, F.lit("member").alias("relation")))
 
 
 @query(

@@ -4,6 +4,8 @@ import json
 import math
 
 import pandas as pd
+import parity
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from lodestar.operators.chunking import chunks
 from lodestar.operators.ranking import mmr
 from lodestar.plans.evidence import trigram_term_candidates
 from lodestar.plans.graph import supersede_tips
-from lodestar.plans.health import duplicate_documents, near_dup_turns, similar_pairs, turn_classes, turn_contradictions
+from lodestar.plans.health import duplicate_documents, near_dup_turns, note_contradictions, similar_pairs, turn_classes, turn_contradictions
 from lodestar.plans.retrieval import near_vector_groups
+from lodestar.registry import ORACLES
 from lodestar.sources import sinks, vault
 from lodestar.streaming import ingest
 
@@ -104,6 +107,19 @@ def test_turns_of_long_conversations_stay_apart(spark, tmp_path):
     assert members == {(1, 150): (1, 150, 2), (3, 1): (1, 150, 2), (2, 50): (2, 50, 1), (4, 1): (4, 1, 1), (4, 2): (4, 2, 1)}
 
 
+def test_contradictions_keep_their_pairs_and_copies(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(20))
+    turns = [(1, 150, "user", words), (2, 1, "user", words), (2, 50, None, words), (3, 1, "user", words + " not"), (3, 2, "user", words + " not"), (3, 3, "user", words + " extra"), (4, None, None, words + " no")]
+    turns += [(5, 1, "both", words), (5, 1, "both", words + " pas"), (6, 1, "user", "alone not"), (7, 1, "user", None), (2, 1, "user", words)]  # two texts at one place; a row twice
+    pq.write_table(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").toArrow(), f"{tmp_path}/conversations.parquet")
+    found = [tuple(r) for r in note_contradictions(spark, str(tmp_path)).collect()]
+    pairs = sorted((r[:5] for r in found if r[0] == "pair"), key=str)
+    assert pairs == [("pair", 1, 150, 3, 1), ("pair", 2, 50, 4, None), ("pair", 3, 1, 3, 3), ("pair", 5, 1, 5, 1)]
+    members = sorted((r[1:5] for r in found if r[0] == "member"), key=str)
+    assert members == sorted([(1, 150, 1, 150), (1, 150, 2, 1), (1, 150, 2, 1), (2, 50, 2, 50), (3, 1, 3, 1), (3, 1, 3, 2), (3, 3, 3, 3), (4, None, 4, None), (5, 1, 5, 1), (5, 1, 5, 1)], key=str)
+    assert parity.compare(spark, parity.duck(str(tmp_path)), "", note_contradictions, ORACLES["note_contradictions"], str(tmp_path)) == ""
+
+
 def test_pages_and_logs(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text('---\ntitle: "A b"\ntags: [x, y]\n---\n# Body\n')
