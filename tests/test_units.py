@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalars as S
-from lodestar.operators import graph
+from lodestar.operators import components, graph
 from lodestar.operators.chunking import chunks
 from lodestar.operators.ranking import mmr
 from lodestar.plans.evidence import trigram_term_candidates
@@ -18,6 +18,7 @@ from lodestar.plans.graph import supersede_tips
 from lodestar.plans.health import duplicate_documents, near_dup_turns, note_contradictions, similar_pairs, turn_classes, turn_contradictions
 from lodestar.plans.retrieval import near_vector_groups
 from lodestar.registry import ORACLES
+from lodestar.session import materialize
 from lodestar.sources import sinks, vault
 from lodestar.streaming import ingest
 
@@ -120,6 +121,23 @@ def test_contradictions_keep_their_pairs_and_copies(spark, tmp_path):
     assert parity.compare(spark, parity.duck(str(tmp_path)), "", note_contradictions, ORACLES["note_contradictions"], str(tmp_path)) == ""
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_by_tasks_and_by_rounds(spark, monkeypatch, kind):
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    path = [(i, i + 1) for i in range(0, 60)]
+    edges = [(b, a) if a % 3 else (a, b) for a, b in path] + [(100, 101), (103, 101), (103, 103), (102, 103), (200, 200), (None, 5), (300, 1000), (1000, 300)]
+    of = (lambda x: x) if kind == "long" else (lambda x: None if x is None else f"é{x}")
+    want = {of(i): min(of(j) for j in range(61)) for i in range(61)} | {of(i): of(100) for i in range(100, 104)} | {of(i): min(of(300), of(1000)) for i in (300, 1000)}
+    table = spark.createDataFrame([(of(u), of(v)) for u, v in edges], f"u {kind}, v {kind}")
+    got = [tuple(r) for r in components.connect(table).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert len(written) == 2  # few edges: written once, united once
+    got = [tuple(r) for r in components.connect(table.repartition(5), at_once=3).collect()]
+    assert dict(got) == want and len(got) == len(want) and len(written) > 5
+    assert components.connect(table.limit(0)).count() == 0
+
+
 def test_pages_and_logs(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n/a.md").write_text('---\ntitle: "A b"\ntags: [x, y]\n---\n# Body\n')
