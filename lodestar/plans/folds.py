@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import clamp01, half_life, usage_decay, weibull_recency, wilson_lower
+from lodestar.operators.blocks import block_pairs
 from lodestar.operators.ranks import cumulative_counts, percentiles
 from lodestar.registry import query, table
 from lodestar.session import materialize
@@ -43,18 +48,30 @@ def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def co_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that were accessed on the same day three times or more; the pair's boost is capped.
 
-    Users of fewer than three days are in no pair. With the days in a global order, rarest first, two users who share three
-    must share one that isn't among the last two of either; so pairs meet on these days only, and are compared once.
+    A user's days are bits of words of 63, rarest day first. Users of fewer than three days are in no pair. Two users who share three days
+    must share one that isn't among the last two of either; so pairs meet on these days and count on the first that they
+    share. If those meetings are more than all pairs of users, as with few days, each pair meets once instead. Either way a
+    pair is tested where it is made, and only the result leaves that place.
     """
     baskets = events(spark, sf_dir).where("event_type = 'purchase'").select(F.to_date("ts").alias("day"), "user_id").distinct()
+    baskets = materialize(baskets.where("day IS NOT NULL AND user_id IS NOT NULL"), "co-access")
     sizes = baskets.groupBy("day").agg(F.count("*").alias("size"))
-    users = baskets.join(sizes, "day").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("size", "day"))).alias("d")).where(F.size("d") >= 3)
-    days = materialize(users.select("user_id", F.transform("d", lambda x: x["day"]).alias("days")), "co-access")
-    meeting = days.select("user_id", F.explode(F.slice("days", F.lit(1), F.size("days") - 2)).alias("day"))
-    maybe = meeting.select("day", F.col("user_id").alias("a")).join(meeting.select("day", F.col("user_id").alias("b")), "day").where("a < b").select("a", "b").distinct()
-    both = maybe.join(days.select(F.col("user_id").alias("a"), F.col("days").alias("da")), "a").join(days.select(F.col("user_id").alias("b"), F.col("days").alias("db")), "b")
-    shared = F.size(F.array_intersect("da", "db")).cast("long")
-    return both.select("a", "b", shared.alias("n")).where("n >= 3").withColumn("boost", F.least(F.lit(0.03), F.col("n") * 0.005))
+    order = materialize(sizes.select("day", (F.row_number().over(Window.orderBy("size", "day")) - 1).cast("long").alias("bit")), "co-access-days")  # one row a day
+    words = [f"w{k}" for k in range(math.ceil(order.count() / 63))]
+    bits = [F.expr(f"bit_or(CASE WHEN bit DIV 63 = {k} THEN shiftleft(1L, CAST(bit % 63 AS INT)) ELSE 0L END) AS w{k}") for k in range(len(words))]
+    users = baskets.join(order, "day").groupBy(F.col("user_id").alias("id")).agg(F.sort_array(F.collect_list("bit")).alias("bits"), *bits).where(F.size("bits") >= 3)
+    users = materialize(users, "co-access-users")
+    by_day = users.select(F.explode(F.slice("bits", F.lit(1), F.size("bits") - 2)).alias("group"), "id", *words)
+    days = materialize(by_day.groupBy("group").agg(F.count("*").alias("size")), "co-access-meetings")
+    everyone = users.agg(F.lit(0).cast("long").alias("group"), F.count("*").alias("size"))
+    if (days.agg(F.sum(F.col("size").cast("double") ** 2)).first()[0] or 0) < everyone.first()["size"] ** 2:
+        shared = [F.expr(f"x_{w} & y_{w}") for w in words]
+        before = [F.when(F.col("group") >= 63 * k + 63, shared[k]).when(F.col("group") >= 63 * k, shared[k].bitwiseAND(F.expr(f"shiftleft(1L, CAST(group - {63 * k} AS INT)) - 1"))).otherwise(0) == 0 for k in range(len(words))]
+        pairs = block_pairs(by_day, days).where(functools.reduce(operator.and_, before, F.lit(True)))
+    else:
+        pairs = block_pairs(users.select(F.lit(0).cast("long").alias("group"), "id", *words), everyone)
+    n = functools.reduce(operator.add, [F.expr(f"bit_count(x_{w} & y_{w})") for w in words], F.lit(0)).cast("long")
+    return pairs.select("a", "b", n.alias("n")).where("n >= 3").withColumn("boost", F.least(F.lit(0.03), F.col("n") * 0.005))
 
 
 @query("usage_decay", f"SELECT user_id, count(*) AS n, round(least(1.0, greatest(0.0, pow(0.5, greatest(min({_AGE}), 0.0) / 30) * (1 + 0.25 * ln(1 + count(*))))), 6) AS weight FROM events GROUP BY user_id")
