@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import word_set
 from lodestar.operators.components import connect
-from lodestar.operators.similarity import similar_pairs
+from lodestar.operators.similarity import similar_names
 from lodestar.session import materialize
 
 #: Least Jaccard similarity of two names' words; rounds in which identities spread along links.
@@ -26,18 +26,20 @@ def evolution_chain(names: Column) -> Column:
     return F.transform(first, lambda x: x["name"])
 
 
-def alias_candidates(entities: DataFrame, least: float = LEAST, scope: tuple[str, ...] = ("active",)) -> DataFrame:
+def alias_candidates(entities: DataFrame, least: float = LEAST, scope: tuple[str, ...] = ("active",), guarded: bool = False) -> DataFrame:
     """(category, a, b, similarity) of entities (id, category, name, aliases, status) whose names' words have at least this Jaccard similarity.
 
-    Both are of one category and in scope, and have no name or alias in common yet. A pair shares one of the first few words
-    of its names, rarest first, so that common words pair nothing. A null category is a category of its own.
+    Both are of one category and in scope, and have no name or alias in common yet. A pair shares some of the first few words
+    of its names, rarest first, so that common words pair nothing; it is tested where it is made and not joined again. A
+    null category is a category of its own. Keys of names are compared as 64-bit hashes. guarded: with the column identity
+    of both as identity_a and identity_b.
     """
-    known = entities.where(F.col("status").isin(*scope)).select("id", F.coalesce("category", F.lit("")).alias("bucket"), word_set(F.col("name")).alias("words"), F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))).alias("names"))
-    known = materialize(known.withColumn("keys", F.array_distinct(F.transform("names", entity_key))).drop("names"), "entities")
-    pairs = similar_pairs(known.select("id", "bucket", "words"), least)
-    keys = lambda side: known.select(F.col("id").alias(side), *(["bucket"] if side == "a" else []), F.col("keys").alias(f"keys_{side}"))
-    told = pairs.join(keys("a"), "a").join(keys("b"), "b")
-    return told.where(~F.arrays_overlap("keys_a", "keys_b")).select(F.col("bucket").alias("category"), "a", "b", F.round("similarity", 4).alias("similarity"))
+    names = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    keys = F.transform(F.array_distinct(F.transform(names, entity_key)), lambda k: F.when(k.isNotNull(), F.xxhash64(k)))
+    known = entities.where(F.col("status").isin(*scope)).select("id", F.coalesce("category", F.lit("")).alias("bucket"), word_set(F.col("name")).alias("words"), keys.alias("keys"), *(["identity"] if guarded else []))
+    pairs = similar_names(known, least, ["keys", "identity"] if guarded else ["keys"]).where(~F.arrays_overlap("x_keys", "y_keys"))
+    more = [F.col("x_identity").alias("identity_a"), F.col("y_identity").alias("identity_b")] if guarded else []
+    return pairs.select(F.col("bucket").alias("category"), "a", "b", F.round("similarity", 4).alias("similarity"), *more)
 
 
 def merge_groups(links: DataFrame, identities: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import jaccard
+from lodestar.session import materialize
+
+#: Taken from the least similarity, so that what rounds to it and what floats make of it is looked for.
+SLACK = 1e-6
 
 
 def similar_pairs(rows: DataFrame, least: float, across: str | None = None) -> DataFrame:
@@ -32,3 +38,40 @@ def similar_pairs(rows: DataFrame, least: float, across: str | None = None) -> D
     sets = rows.select("id", "words")
     both = maybe.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     return both.select("a", "b", F.round(jaccard(F.col("wa"), F.col("wb")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
+def similar_names(rows: DataFrame, least: float, kept: Sequence[str] = ()) -> DataFrame:
+    """(bucket, a, b, similarity, x_..., y_...) of rows (id, bucket, words, ...) alike as in similar_pairs, for short sets.
+
+    x_... and y_... are the columns `kept` of a and of b. With words in a global order, rarest first, two sets that must
+    share two words or more share two of the first n - ceil(least * n) + 2, and the smaller one has them among the first
+    n - ceil(2 * least / (1 + least) * n) + 2; so sets meet by pairs of words. Sets that one word may be enough for meet by
+    one as well. A pair counts where the first words that it shares say so, with its exact similarity: no pair is
+    gathered, sorted out or joined again. A word is a number, its place in the order.
+    """
+    low = least - SLACK
+    words = rows.where("id IS NOT NULL").select("id", "bucket", F.explode("words").alias("w"))
+    known = words.groupBy("bucket", "w").agg(F.count("*").alias("df")).orderBy("df", "bucket", "w")
+    order = materialize(known.select("bucket", "w", F.monotonically_increasing_id().alias("token")), "names-order")
+    sets = words.join(order, ["bucket", "w"]).groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("o"))
+    sets = materialize(sets.join(rows.select("id", "bucket", *kept), "id").withColumn("n", F.size("o")), "names")
+    sketch = F.expr("aggregate(o, 0L, (s, t) -> s ^ shiftleft(1L, CAST(pmod(xxhash64(t), 64L) AS INT)))")
+    sets = sets.withColumn("sketch", sketch)
+    none = F.lit(-1).cast("long")
+
+    def keyed(share: float, s: str) -> DataFrame:
+        """Sets with (t1, t2), every two of their first words, or (t1, -1), when one may be enough."""
+        some = lambda more: F.slice("o", F.lit(1), F.least(F.col("n"), (F.col("n") - F.ceil(F.col("n") * share) + more).cast("int")))
+        two = F.flatten(F.transform(some(2), lambda t, i: F.transform(F.slice(some(2), i + 2, F.size(some(2))), lambda u: F.struct(t.alias("t1"), u.alias("t2")))))
+        one = F.when(F.col("n") * low <= 1, F.transform(some(1), lambda t: F.struct(t.alias("t1"), none.alias("t2")))).otherwise(F.array().cast("array<struct<t1:bigint,t2:bigint>>"))
+        return sets.select(F.explode(F.concat(two, one)).alias("t"), *[F.col(c).alias(f"{s}_{c}") for c in ("id", "n", "o", "sketch", *(["bucket"] if s == "x" else []), *kept)]).select("t.*", "*").drop("t")
+
+    met = keyed(low, "x").join(keyed(2 * low / (1 + low), "y"), ["t1", "t2"])
+    met = met.where("x_n > y_n OR (x_n = y_n AND x_id > y_id)").where(F.col("y_n") >= F.col("x_n") * low)
+    met = met.where(F.expr("bit_count(x_sketch ^ y_sketch)") <= (F.col("x_n") + F.col("y_n")) * ((1 - low) / (1 + low)))
+    met = met.select("*", F.explode(F.array(F.array_intersect("x_o", "y_o"))).alias("both"))  # the generator keeps it from being worked out once for each use
+    met = met.where((F.get("both", F.lit(0)) == F.col("t1")) & (F.coalesce(F.get("both", F.lit(1)), none) == F.col("t2")))
+    union = F.col("x_n") + F.col("y_n") - F.size("both")
+    met = met.where(F.size("both") >= union * low).withColumn("similarity", F.round(F.size("both") / union, 6)).where(F.when(F.size("both") < union * (least + SLACK), F.col("similarity") >= least).otherwise(True))
+    side = lambda s, o, c: F.when(F.col("x_id") < F.col("y_id"), F.col(f"{s}_{c}")).otherwise(F.col(f"{o}_{c}"))
+    return met.select(F.col("x_bucket").alias("bucket"), F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"), "similarity", *[side("x", "y", c).alias(f"x_{c}") for c in kept], *[side("y", "x", c).alias(f"y_{c}") for c in kept])
