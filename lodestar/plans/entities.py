@@ -38,14 +38,11 @@ _MERGED = f"""{_ENTITIES}, sym AS MATERIALIZED (SELECT a AS u, b AS v, similarit
 @query("entity_groups", f'WITH RECURSIVE {_MERGED} SELECT id, min(id) OVER (PARTITION BY root, identity) AS "group", identity, divided FROM ended')
 def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part that has an alias candidate, with the group it merges into; groups of two guarded identities are divided."""
-    return _merged(spark, sf_dir)[0]
+    return entities.merged_entities(part_entities(spark, sf_dir), 0.6)
 
 
 @query("entity_conflicts", f"WITH RECURSIVE {_MERGED} SELECT a, b, similarity, x.identity AS identity_a, y.identity AS identity_b FROM cand JOIN ended x ON x.id = a JOIN ended y ON y.id = b WHERE x.identity <> y.identity")
 def entity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The candidates that the guard refuses."""
-    return _merged(spark, sf_dir)[1]
-
-
-def _merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return entities.merge_groups(alias_candidates(spark, sf_dir).select("a", "b", "similarity"), part_entities(spark, sf_dir).select("id", "identity"))
+    parts = part_entities(spark, sf_dir)
+    return entities.refused_aliases(parts, entities.merged_entities(parts, 0.6), 0.6)

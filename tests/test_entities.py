@@ -71,3 +71,19 @@ def test_merges(spark):
     assert entities.merge_groups(frame.limit(0), spark.createDataFrame([], "id long, identity string"))[0].count() == 0
     with pytest.raises(ValueError):
         entities.merge_groups(frame, spark.createDataFrame([(1, "A"), (1, "B")], "id long, identity string"))
+
+
+def test_merges_of_aliases(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["p", "q"]), f"{rng.choice(['red', 'hot'])} {rng.choice(['ring', 'bolt', 'nut'])} {rng.choice(['big', 'wee'])} size {rng.randint(10, 14)}", None, "active", rng.choice(["A", "B"]) if i % 5 == 0 else None) for i in range(90)]
+    rows += [(100 + i, "chain", " ".join(f"w{k}" for k in range(3 * i, 3 * i + 12)), None, "active", {0: "A", 7: "B"}.get(i)) for i in range(8)]  # identities take several rounds here
+    frame = spark.createDataFrame(rows, "id long, category string, name string, aliases array<string>, status string, identity string")
+    links = [(r.a, r.b, r.similarity) for r in entities.alias_candidates(frame, 0.6).collect()]
+    want, cut = plain_merge(links, {r[0]: r[5] for r in rows})
+    for few in (100_000, 0):
+        monkeypatch.setattr(entities, "FEW", few)
+        groups = entities.merged_entities(frame, 0.6)
+        assert {r.id: (r.group, r.identity, r.divided) for r in groups.collect()} == want
+        refused = entities.refused_aliases(frame, groups, 0.6)
+        assert {(r.a, r.b) for r in refused.collect()} == cut and len(cut) > 5
+    assert refused._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0].count("Join") == 0  # no link is joined again
