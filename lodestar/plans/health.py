@@ -80,14 +80,14 @@ _NAMED = "SELECT conv_id, turn, min({'conv_id': conv_id, 'turn': turn}) OVER (PA
 )
 def lexical_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn with its group of near copies, by its first turn, and the number of other texts that it links to."""
-    classes = materialize(_turn_classes(spark, sf_dir), "turn-classes")
-    pairs = materialize(similar_pairs(classes, 0.8).select("a", "b"), "turn-pairs")
+    pairs = materialize(similar_pairs(_turn_classes(spark, sf_dir), 0.8).select("a", "b"), "turn-pairs")
     named = lambda c: F.format_string("%020d/%020d", F.col(f"{c}.conv_id"), F.col(f"{c}.turn"))
     roots = connect(pairs.select(named("a").alias("u"), named("b").alias("v")))
     degree = pairs.select(named("a").alias("u")).unionByName(pairs.select(named("b").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
-    key = lambda role: F.sha2(F.concat(F.coalesce(role, F.lit("")), F.lit("|"), F.col("text")).cast("binary"), 256)
-    known = classes.select(key(F.col("bucket")).alias("key"), named("id").alias("u")).join(roots, "u", "left").join(degree, "u", "left")
-    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", key(F.col("role")).alias("key"))
+    key = F.sha2(F.concat(F.coalesce("role", F.lit("")), F.lit("|"), F.col("text")).cast("binary"), 256)
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", key.alias("key"))
+    classes = turns.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("id"))
+    known = classes.select("key", named("id").alias("u")).join(roots, "u", "left").join(degree, "u", "left")
     root = F.split(F.coalesce("root", "u"), "/")
     return turns.join(known, "key").select("conv_id", "turn", F.get(root, F.lit(0)).cast("long").alias("group_conv"), F.get(root, F.lit(1)).cast("long").alias("group_turn"), F.coalesce("links", F.lit(0)).alias("links"))
 
