@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.scalars import significant_terms
 from lodestar.operators.lexical import bm25, query_terms, top
+from lodestar.operators.trigrams import most_shared
 from lodestar.plans.folds import events
 from lodestar.plans.retrieval import _BM25, _KW
 from lodestar.registry import query, table
@@ -42,6 +43,9 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("conv_id", "turn", F.substring("t", begin, F.lit(120)).alias("snippet"), (F.length("t") > 120).alias("clipped"))
 
 
+_SPELLED = ["lower(text) AS s", "length(text) AS n"]
+
+
 @query(
     "trigram_candidates",
     """WITH q AS (SELECT DISTINCT item_id AS query, unnest(list_transform(range(1, length(text) - 1), lambda i: lower(text)[i:i + 2])) AS g FROM benchmark WHERE length(text) >= 3),
@@ -50,14 +54,9 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query, conv_id, turn, shared, row_number() OVER (PARTITION BY query ORDER BY shared DESC, conv_id, turn) AS rank FROM m QUALIFY rank <= 5""",
 )
 def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five turns that share most trigrams with each whole query; only trigrams of a query leave the scan."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.lower("text"), i, F.lit(3))))
-    q = table(spark, sf_dir, "benchmark").where(F.length("text") >= 3).select(F.col("item_id").alias("query"), F.explode(grams).alias("g")).distinct()
-    turns = table(spark, sf_dir, "conversations").where(F.length("text") >= 3)
-    d = turns.select("conv_id", "turn", F.explode(grams).alias("g")).join(q.select("g").distinct(), "g", "left_semi").distinct()
-    shared = q.join(d, "g").groupBy("query", "conv_id", "turn").agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("query").orderBy(F.desc("shared"), "conv_id", "turn")
-    return shared.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 5")
+    """The five turns that share most trigrams with each whole query."""
+    asked = table(spark, sf_dir, "benchmark").selectExpr("item_id AS query", *_SPELLED)
+    return most_shared(asked, table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", *_SPELLED), 5)
 
 
 @query(
@@ -70,13 +69,9 @@ def trigram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def trigram_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five turns that share most trigrams with all terms of each query (trigram_candidates goes by the whole text, blanks included)."""
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3)))
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.length(w) >= 3)
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.flatten(F.transform(words, grams))).alias("g")).distinct()
-    turns = table(spark, sf_dir, "conversations").where(F.length(F.lower("text")) >= 3).select(F.struct("conv_id", "turn").alias("doc"), F.lower("text").alias("t"))
-    d = turns.select("doc", F.explode(F.array_distinct(grams(F.col("t")))).alias("g")).join(q.select("g").distinct(), "g", "left_semi").distinct()
-    shared = q.join(d, "g").groupBy("query", "doc").agg(F.count("*").alias("shared"))
-    return top(shared, "query", "shared", "doc", 5).select("query", "doc.conv_id", "doc.turn", "shared", F.col("rank").cast("long").alias("rank"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.explode(words).alias("s")).withColumn("n", F.length("s"))
+    return most_shared(asked, table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", *_SPELLED), 5)
 
 
 @query(
