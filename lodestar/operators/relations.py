@@ -29,8 +29,13 @@ def relation_edges(notes: DataFrame, relations: tuple[str, ...] = RELATIONS) ->
     Field names count in any case, with - or blanks for _. A null or empty value declares nothing; repeats stay.
     """
     named = notes.select("source", F.explode("fields").alias("field", "items"))
+    return declared_edges(named.select("source", "field", F.posexplode("items").alias("pos", "raw")), relations)
+
+
+def declared_edges(values: DataFrame, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
+    """relation_edges of single values (source, field, pos, raw), which need not be brought together by note."""
     relation = F.regexp_replace(F.lower(F.trim("field")), r"[\s-]+", "_")
-    each = named.select("source", relation.alias("relation"), F.posexplode("items").alias("pos", "raw")).where(F.col("relation").isin(*relations))
+    each = values.select("source", relation.alias("relation"), "pos", "raw").where(F.col("relation").isin(*relations))
     return each.select("source", "relation", relation_target(F.col("raw")).alias("target"), "pos").where("target IS NOT NULL")
 
 

@@ -137,6 +137,29 @@ def test_typed_fanout(spark):
     assert deep == {(7, 2): 3, (7, 3): 1, (7, 4): 1, (8, 6): 1}
 
 
+def test_typed_fanout_deals_out_once(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(30), rng.choice("abc"), rng.choice([*range(30), None])) for _ in range(120)]
+    seeds = [(q, rng.randrange(30)) for q in range(6) for _ in range(2)]
+    for depth in (1, 2, 3):
+        want = {}
+        for q in {q for q, _ in seeds}:
+            start = {d for x, d in seeds if x == q}
+            reached, front, out = set(start), start, {}
+            for hop in range(1, depth + 1):
+                steps = [(r, d) for f in front for s, r, d in edges if s == f and d is not None and d not in start]
+                for r, d in steps:
+                    h, n, via = out.get(d, (hop, 0, set()))
+                    out[d] = (h, n + 1, via | {r})
+                front = {d for _, d in steps} - reached
+                reached |= front
+            want |= {(q, d): (h, n, sorted(via)) for d, (h, n, via) in out.items()}
+        found = traversal.typed_fanout(spark.createDataFrame(seeds, "query long, doc long"), spark.createDataFrame(edges, "source long, relation string, doc long"), depth)
+        assert {(r.query, r.doc): (r.hops, r.edges, r.via) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == 1  # the last step meets the edges; what it finds is joined with nothing
+
+
 def test_lineage(spark):
     rows = [("a", "b", "reply", 0), ("a", "b", "copy", 1), ("a", "c", "copy", 2), ("b", "d", "reply", 0), ("c", "d", "reply", 0), ("d", "e", "reply", 0), ("e", "f", "reply", 0), ("a", "a", "self", 3), ("x", "y", "r", 0), ("y", "x", "r", 0), ("z", "x", "r", 0), ("w", None, "r", 0)]
     parents = spark.createDataFrame(rows, "child string, parent string, relation string, pos int")
